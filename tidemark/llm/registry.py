@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, url_filter
+from tidemark.llm import decontamination, packing, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_packing": packing.op3_packing,
+    "op6_topk": topk.op6_topk,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
 SQL = {
     "op1_url_filter": url_filter.SQL,
+    "op6_topk": topk.SQL,
 }
