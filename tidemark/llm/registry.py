@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, packing, topk, toxicity, url_filter
+from tidemark.llm import chat, decontamination, packing, secrets, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_secrets": secrets.op2_secrets,
     "op3_packing": packing.op3_packing,
+    "op4_chat": chat.op4_chat,
     "op6_topk": topk.op6_topk,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_decontamination": decontamination.op10_decontamination,
@@ -14,5 +16,7 @@ QUERIES = {
 
 SQL = {
     "op1_url_filter": url_filter.SQL,
+    "op2_secrets": secrets.SQL,
+    "op4_chat": chat.SQL,
     "op6_topk": topk.SQL,
 }
