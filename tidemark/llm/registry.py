@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontamination, packing, secrets, topk, toxicity, url_filter
+from tidemark.llm import chat, decontamination, ngram_join, packing, secrets, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op6_topk": topk.op6_topk,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
