@@ -7,7 +7,7 @@ per-word work is NumPy on integer codes.
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -40,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Let the driver find dead shuffles and checkpoints now, so that their files go."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,33 +106,3 @@ def mix(x: np.ndarray) -> np.ndarray:
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """For each element, the row it belongs to."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-
-
-def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's set of k-word shingles as sorted distinct 64-bit hashes: (offsets, values).
-
-    A text with 1 to k-1 words has one shingle, its whole word sequence; one
-    without words has none.
-    """
-    offsets, codes, names = encode_words(texts, lower=True)
-    h = hash_words(names)[codes] if len(codes) else np.zeros(0, np.uint64)
-    n = np.diff(offsets)
-    row, start = row_of(offsets), offsets[:-1]
-    at = np.arange(len(codes)) - start[row]
-    with np.errstate(over="ignore"):
-        acc = mix(h + np.uint64(1))
-        for i in range(1, k):
-            # the word i places on, or a mark for "past the end"
-            nxt = np.zeros_like(acc)
-            if len(h) > i:
-                nxt[:-i] = h[i:]
-            inside = at + i < n[row]
-            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, nxt, np.uint64(0)) + inside.astype(np.uint64))
-    keep = (at + k <= n[row]) | ((n[row] < k) & (at == 0))
-    acc, row = acc[keep], row[keep]
-    order = np.lexsort((acc, row))
-    acc, row = acc[order], row[order]
-    first = np.ones(len(acc), bool)
-    first[1:] = (acc[1:] != acc[:-1]) | (row[1:] != row[:-1])
-    acc, row = acc[first], row[first]
-    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))]).astype(np.int64), acc

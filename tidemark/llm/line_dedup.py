@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import setjoin
-from tidemark.llm.common import cut, slices, tables
+from tidemark.llm.common import cut, release, slices, tables
 from tidemark.llm.words import Texts, distinct, signatures
 
 LEAST_WORDS = 5
@@ -68,17 +68,21 @@ def matched(docs: DataFrame, units: setjoin.Units, threshold: setjoin.Threshold)
     """sig of every class that has a similar class before it."""
     codes = setjoin.sketch(docs, units)
     found = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, drop_single=True), threshold, setjoin.CAP))
+    release(docs)
     pairs = cut(setjoin.pairs_of(found.filter("not open")))
-    sure = cut(setjoin.verify(pairs, docs, units, threshold).select(F.col("sig2").alias("sig")).distinct())
+    sets = cut(setjoin.fetch_sets(pairs, docs, units))
+    later = lambda found: cut(found.select(F.col("sig2").alias("sig")).distinct())
+    sure = later(setjoin.verify(setjoin.earliest(pairs), sets, threshold))
+    rest = pairs.select("sig", "sig2").join(setjoin.earliest(pairs), ["sig", "sig2"], "left_anti").join(sure.withColumnRenamed("sig", "sig2"), "sig2", "left_anti")
+    sure = sure.unionByName(later(setjoin.verify(rest, sets, threshold)))
     open_rows = found.filter("open").select(*(f"`{c}`" for c in setjoin.POSTING))
     if open_rows.isEmpty():
         return sure
     # second round: classes that none of their first candidates matched, against all others of these groups
-    done = sure.withColumn("done", F.lit(True))
-    open_rows = open_rows.join(done, "sig", "left").withColumn("label", F.when(F.col("done"), F.lit(0).cast("long")).otherwise(F.col("sig"))).drop("done")
+    open_rows = open_rows.join(sure.withColumn("done", F.lit(True)), "sig", "left").withColumn("label", F.when(F.col("done"), F.lit(0).cast("long")).otherwise(F.col("sig"))).drop("done")
     more = setjoin.pairs_of(setjoin.candidates(open_rows.select(*setjoin.POSTING, "label"), threshold, None))
     more = cut(more.join(pairs.select("sig", "sig2"), ["sig", "sig2"], "left_anti"))
-    return sure.unionByName(cut(setjoin.verify(more, docs, units, threshold).select(F.col("sig2").alias("sig")).distinct())).distinct()
+    return sure.unionByName(later(setjoin.verify(more, setjoin.fetch_sets(more, docs, units), threshold))).distinct()
 
 
 def kept_lines(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import setjoin
-from tidemark.llm.common import cut, slices, tables
+from tidemark.llm.common import cut, release, slices, tables
 from tidemark.llm.components import components
 from tidemark.llm.words import Texts, distinct, shingles, signatures
 
@@ -61,21 +61,42 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     units = document_units(k)
     full = (1 << orders) - 1
     codes = setjoin.sketch(docs, units)
-    found = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, orders), threshold, setjoin.CAP))
-    first = cut(setjoin.pairs_of(found.filter("not open")))
+    found, only = None, None
+    for order in range(orders):  # each order posts only what candidates under the one before may still need
+        now = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, order, only), threshold, setjoin.CAP))
+        release(docs)
+        only = setjoin.bitmap(now.select(F.col("sig").alias("key")).unionByName(now.select(F.col("sig2").alias("key"))))
+        found = now if found is None else found.unionByName(now)
+    met = cut(setjoin.pairs_of(found.filter("not open")))
     every_order = F.col("bits").bitwiseAND(full) == full
-    sure = cut(setjoin.verify(first.filter(every_order), docs, units, threshold))
+    pairs = met.filter(every_order)
+    sets = cut(setjoin.fetch_sets(pairs, docs, units))
+    # one pair for each later class, then those pairs that the links found do not connect
+    sure = cut(setjoin.verify(setjoin.earliest(pairs), sets, threshold))
+    rest = unconnected(pairs.select("sig", "sig2").join(setjoin.earliest(pairs), ["sig", "sig2"], "left_anti"), sure)
+    sure = sure.unionByName(cut(setjoin.verify(rest, sets, threshold)))
     open_rows = found.filter("open").select(*(f"`{c}`" for c in setjoin.POSTING))
     if open_rows.isEmpty():
         return sure
     # second round: what groups left open, between what is not yet connected
-    label = components(sure.select(F.col("sig").alias("a"), F.col("sig2").alias("b")))
-    open_rows = open_rows.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("root", "sig")).drop("root")
+    open_rows = open_rows.join(labels(sure), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     more = setjoin.candidates(open_rows.select(*setjoin.POSTING, "label"), threshold, None)
-    again = first.select("sig", "sig2", "bits", "doc", "line", "doc2", "line2").unionByName(setjoin.pairs_of(more))
+    again = met.unionByName(setjoin.pairs_of(more))
     again = again.groupBy("sig", "sig2").agg(F.bit_or("bits").alias("bits"), *(F.min(c).alias(c) for c in ("doc", "line", "doc2", "line2")))
-    again = again.filter(every_order).join(first.filter(every_order).select("sig", "sig2"), ["sig", "sig2"], "left_anti")
-    return sure.unionByName(cut(setjoin.verify(again, docs, units, threshold)))
+    again = cut(again.filter(every_order).join(pairs.select("sig", "sig2"), ["sig", "sig2"], "left_anti"))
+    return sure.unionByName(cut(setjoin.verify(again, setjoin.fetch_sets(again, docs, units), threshold)))
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """sig, label of every class that a link names."""
+    return components(edges.select(F.col("sig").alias("a"), F.col("sig2").alias("b"))).select(F.col("node").alias("sig"), F.col("root").alias("label"))
+
+
+def unconnected(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components of the edges."""
+    label = cut(labels(edges))
+    out = pairs.join(label.withColumnRenamed("label", "l1"), "sig", "left").join(label.select(F.col("sig").alias("sig2"), F.col("label").alias("l2")), "sig2", "left")
+    return cut(out.filter(F.coalesce("l1", "sig") != F.coalesce("l2", "sig2")).select("sig", "sig2"))
 
 
 def join_documents(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), orders: int = ORDERS) -> DataFrame:

@@ -114,45 +114,47 @@ def ordered_by(order: int, token: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (code << np.uint64(56)) | (mix(token + np.uint64(order)) >> np.uint64(8))
 
 
-def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshold, orders: int = 1, drop_single: bool = False, text: str = "text") -> DataFrame:
-    """The prefix rows of all classes, each once per map task (again where an earlier unit of it turns up)."""
-    sent = df.sparkSession.sparkContext.broadcast(codes)  # 2**SKETCH_BITS bytes
+def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshold, order: int = 0, only: np.ndarray | None = None, drop_single: bool = False, text: str = "text") -> DataFrame:
+    """The prefix rows under one order of all classes (those that the bit map ``only`` may hold), each once per map task, and again where an earlier unit of it turns up."""
+    sent = df.sparkSession.sparkContext.broadcast((codes, only))  # sizes are fixed by SKETCH_BITS and bitmap()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple] = {}
-        codes = sent.value
+        codes, only = sent.value
         for batch in slices(batches, text):
             doc, line, unit, token = units(batch)
-            for order in range(orders):
-                offsets, ranked = distinct(unit, ordered_by(order, token, codes), len(doc))
-                if not order:
-                    sig, b0, b1 = signatures(*distinct(unit, token, len(doc)))
-                    n = np.diff(offsets)
-                    if len(seen) > SEEN:
-                        seen.clear()
-                    new = np.zeros(len(doc), bool)
-                    for i in np.flatnonzero(n > 0).tolist():
-                        at = (doc[i], line[i])
-                        if at < seen.get(sig[i], (np.inf,)):
-                            seen[sig[i]] = at
-                            new[i] = True
-                length = threshold.prefix(n)
-                u = np.repeat(np.arange(len(doc)), n)
-                pos = np.arange(len(ranked)) - offsets[u]
-                keep = new[u] & (pos < length[u])
-                if drop_single:  # a token of one unit in all meets no other
-                    keep &= ranked >> np.uint64(56) > 8
-                u, pos, ranked = u[keep], pos[keep], ranked[keep]
-                code = (ranked >> np.uint64(56)).astype(np.float64)
-                blocks = np.maximum(1, np.ceil((2 ** (code / 8)) / BLOCK)).astype(np.int64)
-                side = (mix(sig[u] + np.uint64(5)) % blocks.astype(np.uint64)).astype(np.int64)
-                r = np.repeat(np.arange(len(u)), blocks)
-                other = np.arange(len(r)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                u, pos, ranked, side = u[r], pos[r], ranked[r], side[r]
-                salt = (np.minimum(side, other) << 32) | np.maximum(side, other)
-                columns = [signed(ranked), salt, side, np.full(len(u), order), signed(sig[u]), n[u], pos, signed(b0[u]), signed(b1[u]), doc[u], line[u]]
-                for lo in range(0, len(u), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000].astype(ARROW[t].to_pandas_dtype()), ARROW[t]) for c, t in zip(columns, POSTING.values())], names=list(POSTING))
+            offsets, plain = distinct(unit, token, len(doc))
+            sig, b0, b1 = signatures(offsets, plain)
+            n = np.diff(offsets)
+            new = n > 0
+            if only is not None:
+                new &= has(only, signed(sig))
+            if len(seen) > SEEN:
+                seen.clear()
+            for i in np.flatnonzero(new).tolist():
+                at = (doc[i], line[i])
+                new[i] = at < seen.get(sig[i], (np.inf,))
+                if new[i]:
+                    seen[sig[i]] = at
+            u = np.repeat(np.arange(len(doc)), n)
+            keep = new[u]
+            offsets, ranked = distinct(u[keep], ordered_by(order, plain[keep], codes), len(doc))
+            u = np.repeat(np.arange(len(doc)), np.diff(offsets))
+            pos = np.arange(len(ranked)) - offsets[u]
+            keep = pos < threshold.prefix(n)[u]
+            if drop_single:  # a token of one unit in all meets no other
+                keep &= ranked >> np.uint64(56) > 8
+            u, pos, ranked = u[keep], pos[keep], ranked[keep]
+            code = (ranked >> np.uint64(56)).astype(np.float64)
+            blocks = np.maximum(1, np.ceil((2 ** (code / 8)) / BLOCK)).astype(np.int64)
+            side = (mix(sig[u] + np.uint64(5)) % blocks.astype(np.uint64)).astype(np.int64)
+            r = np.repeat(np.arange(len(u)), blocks)
+            other = np.arange(len(r)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            u, pos, ranked, side = u[r], pos[r], ranked[r], side[r]
+            salt = (np.minimum(side, other) << 32) | np.maximum(side, other)
+            columns = [signed(ranked), salt, side, np.full(len(u), order), signed(sig[u]), n[u], pos, signed(b0[u]), signed(b1[u]), doc[u], line[u]]
+            for lo in range(0, len(u), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000].astype(ARROW[t].to_pandas_dtype()), ARROW[t]) for c, t in zip(columns, POSTING.values())], names=list(POSTING))
 
     return df.mapInArrow(post, POSTING_SCHEMA)
 
@@ -320,56 +322,60 @@ def pairs_of(found: DataFrame) -> DataFrame:
     return found.groupBy("sig", "sig2").agg(F.bit_or("order").alias("bits"), F.min(F.struct("doc", "line")).alias("x"), F.min(F.struct("doc2", "line2")).alias("y")).select("sig", "sig2", "bits", "x.doc", "x.line", "y.doc2", "y.line2")
 
 
-def bitmap(keys: DataFrame, bits: int = 22) -> np.ndarray:
+def bitmap(keys: DataFrame, bits: int = 24) -> np.ndarray:
     """A bit for each bucket that a key (column ``key``, evenly spread longs) falls into; 2**bits bits, whatever the number of keys."""
     at = F.shiftrightunsigned("key", 64 - bits)
     words = keys.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at.bitwiseAND(F.lit(63))).cast("int")).alias("m"))
-    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).collect()
+    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    for r in rows:
-        out[r["w"]] = np.uint64(r["m"] & 0xFFFFFFFFFFFFFFFF)
+    out[rows.column("w").to_numpy()] = rows.column("m").to_numpy().view(np.uint64)
     return out
 
 
-def verify(pairs: DataFrame, df: DataFrame, units: Units, threshold: Threshold, text: str = "text") -> DataFrame:
-    """Those of the pairs (sig, doc, line, sig2, doc2, line2) whose sets have the similarity.
+def has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of the keys may be among those of the bit map."""
+    at = key.view(np.uint64) >> np.uint64(64 - (len(bits).bit_length() - 1 + 6))
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def classes_of(pairs: DataFrame) -> DataFrame:
+    """sig, doc, line of each class in pairs, with its earliest unit named there."""
+    later = pairs.select(F.col("sig2").alias("sig"), F.col("doc2").alias("doc"), F.col("line2").alias("line"))
+    return pairs.select("sig", "doc", "line").unionByName(later).groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("at")).select("sig", "at.doc", "at.line")
+
+
+def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, text: str = "text") -> DataFrame:
+    """sig, set (binary, ascending uint64) of the classes in pairs.
 
     Sets are made again, from the texts of the documents that pairs name: bit maps of
     bounded size keep most other texts out, and an exact join the rest.
     """
-    spark = df.sparkSession
-    named = cut(pairs.select("sig", "doc", "line").unionByName(pairs.select(F.col("sig2").alias("sig"), F.col("doc2").alias("doc"), F.col("line2").alias("line"))).groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("at")).select("sig", "at.doc", "at.line"))
-    wanted = spark.sparkContext.broadcast(bitmap(named.select(F.col("sig").alias("key"))))
-    docs = spark.sparkContext.broadcast(bitmap(named.select(F.xxhash64("doc").alias("key"))))
-
-    def has(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-        at = hashed.view(np.uint64) >> np.uint64(64 - 22)
-        return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+    context = df.sparkSession.sparkContext
+    named = cut(classes_of(pairs))
+    wanted = context.broadcast(bitmap(named.select(F.col("sig").alias("key"))))
+    docs = context.broadcast(bitmap(named.select(F.xxhash64("doc").alias("key"))))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set = set()
         for batch in slices(batches, text):
-            own = has(docs.value, batch.column("key").to_numpy())
-            batch = batch.filter(pa.array(own))
+            batch = batch.filter(pa.array(has(docs.value, batch.column("key").to_numpy())))
             if not batch.num_rows:
                 continue
             doc, line, unit, token = units(batch)
             offsets, token = distinct(unit, token, len(doc))
             sig, _, _ = signatures(offsets, token)
             pick = np.flatnonzero((np.diff(offsets) > 0) & has(wanted.value, signed(sig)))
-            rows = {"sig": [], "doc": [], "line": [], "set": []}
-            for i in pick.tolist():
-                rows["sig"].append(int(signed(sig[i : i + 1])[0]))
-                rows["doc"].append(int(doc[i]))
-                rows["line"].append(int(line[i]))
-                rows["set"].append(token[offsets[i] : offsets[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["sig"], pa.int64()), pa.array(rows["doc"], pa.int64()), pa.array(rows["line"], pa.int32()), pa.array(rows["set"], pa.binary())], names=list(rows))
-
-    keyed = df.withColumn("key", F.xxhash64(F.col("doc_id").cast("long")))
-    sets = keyed.mapInArrow(fetch, "sig long, doc long, line int, `set` binary")
-    # of repeated rows with one id, one is enough
-    sets = sets.join(named, ["sig", "doc", "line"], "left_semi").dropDuplicates(["sig"])
-    left = pairs.select("sig", "sig2").distinct().join(sets.select("sig", F.col("set").alias("s1")), "sig")
+            sets = [token[offsets[i] : offsets[i + 1]].tobytes() for i in pick.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig[pick])), pa.array(doc[pick]), pa.array(line[pick].astype(np.int32)), pa.array(sets, pa.binary())], names=["sig", "doc", "line", "set"])
+
+    sets = df.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(fetch, "sig long, doc long, line int, `set` binary")
+    at = named.select("sig", F.col("doc").alias("d"), F.col("line").alias("l"))
+    # of repeated rows of one document, one is enough
+    return sets.join(at, "sig").filter("doc = d and line = l").groupBy("sig").agg(F.first("set").alias("set"))
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """sig, sig2 of those pairs whose sets have the similarity."""
+    left = pairs.select("sig", "sig2").join(sets.select("sig", F.col("set").alias("s1")), "sig")
     both = left.join(sets.select(F.col("sig").alias("sig2"), F.col("set").alias("s2")), "sig2")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,3 +390,9 @@ def verify(pairs: DataFrame, df: DataFrame, units: Units, threshold: Threshold,
             yield pa.RecordBatch.from_arrays([b.column("sig").filter(pa.array(good)), b.column("sig2").filter(pa.array(good))], names=["sig", "sig2"])
 
     return both.select("sig", "sig2", "s1", "s2").mapInArrow(check, "sig long, sig2 long")
+
+
+def earliest(pairs: DataFrame) -> DataFrame:
+    """Of each later class, its pair with the earliest one."""
+    best = pairs.groupBy("sig2").agg(F.min(F.struct("doc", "line", "sig")).alias("p"))
+    return best.select("p.sig", "sig2")
