@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text that one NumPy step may hold at once.
+#: Bytes of text that one step may hold at once: with Arrow's words, and with arrays over every byte.
 SLICE_CHARS = 8_000_000
+TEXT_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,13 +51,13 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that ``text`` holds about SLICE_CHARS at most (a row is never cut)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that ``text`` holds about so many bytes at most (a row is never cut)."""
     for b in batches:
         if not b.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(size) - size) // SLICE_CHARS
+        part = (np.cumsum(size) - size) // chars
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield b.slice(lo, hi - lo)

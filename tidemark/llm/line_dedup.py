@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import setjoin
 from tidemark.llm.common import cut, release, slices, tables
-from tidemark.llm.words import Texts, distinct, signatures
+from tidemark.llm.words import Texts, distinct
 
 LEAST_WORDS = 5
 THRESHOLD = (80, 100)
@@ -36,53 +36,37 @@ def line_units(least_words: int, text: str = "text") -> setjoin.Units:
     def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         texts = Texts(batch.column(text))
         row, number, offsets = texts.lines()
-        unit = np.repeat(np.arange(len(row)), np.diff(offsets))
-        size, _ = distinct(unit, texts.hash, len(row))
-        long = np.diff(size) >= least_words
-        new = np.cumsum(long) - 1
-        keep = long[unit]
+        offsets, token = distinct(np.repeat(np.arange(len(row)), np.diff(offsets)), texts.hash, len(row))
+        size = np.diff(offsets)
+        long = size >= least_words
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        return doc[row[long]], number[long], new[unit[keep]], texts.hash[keep]
+        return doc[row[long]], number[long], np.concatenate([[0], np.cumsum(size[long])]), token[np.repeat(long, size)]
 
     return units
 
 
-def first_lines(docs: DataFrame, units: setjoin.Units) -> DataFrame:
-    """sig, doc, line: the first line of each class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            doc, line, unit, token = units(b)
-            sig, _, _ = signatures(*distinct(unit, token, len(doc)))
-            order = np.lexsort((line, doc, sig))
-            first = np.ones(len(order), bool)
-            first[1:] = sig[order][1:] != sig[order][:-1]
-            r = order[first]
-            yield pa.RecordBatch.from_arrays([pa.array(setjoin.signed(sig[r])), pa.array(doc[r]), pa.array(line[r].astype(np.int32))], names=["sig", "doc", "line"])
-
-    found = docs.mapInArrow(run, "sig long, doc long, line int")
-    return found.groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("at")).select("sig", "at.doc", "at.line")
-
-
-def matched(docs: DataFrame, units: setjoin.Units, threshold: setjoin.Threshold) -> DataFrame:
-    """sig of every class that has a similar class before it."""
-    codes = setjoin.sketch(docs, units)
-    found = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, drop_single=True), threshold, setjoin.CAP))
+def join_lines(docs: DataFrame, units: setjoin.Units, threshold: setjoin.Threshold) -> tuple[DataFrame, DataFrame]:
+    """(sig, doc, line: the first line of each class; sig of every class that has a similar class before it)."""
+    codes = setjoin.sketch(docs, lambda b: Texts(b.column("text")).hash)
+    found = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, drop_single=True, class_rows=True), threshold, setjoin.CAP))
     release(docs)
-    pairs = cut(setjoin.pairs_of(found.filter("not open")))
+    first = found.filter(F.col("kind") == setjoin.CLASS).select("sig", "doc", "line")
+    pairs = cut(setjoin.pairs_of(found))
     sets = cut(setjoin.fetch_sets(pairs, docs, units))
     later = lambda found: cut(found.select(F.col("sig2").alias("sig")).distinct())
     sure = later(setjoin.verify(setjoin.earliest(pairs), sets, threshold))
     rest = pairs.select("sig", "sig2").join(setjoin.earliest(pairs), ["sig", "sig2"], "left_anti").join(sure.withColumnRenamed("sig", "sig2"), "sig2", "left_anti")
     sure = sure.unionByName(later(setjoin.verify(rest, sets, threshold)))
-    open_rows = found.filter("open").select(*(f"`{c}`" for c in setjoin.POSTING))
-    if open_rows.isEmpty():
-        return sure
+    rows = setjoin.open_rows(found)
+    if rows.isEmpty():
+        return first, sure
     # second round: classes that none of their first candidates matched, against all others of these groups
-    open_rows = open_rows.join(sure.withColumn("done", F.lit(True)), "sig", "left").withColumn("label", F.when(F.col("done"), F.lit(0).cast("long")).otherwise(F.col("sig"))).drop("done")
-    more = setjoin.pairs_of(setjoin.candidates(open_rows.select(*setjoin.POSTING, "label"), threshold, None))
+    rows = rows.join(sure.withColumn("done", F.lit(True)), "sig", "left").withColumn("label", F.when(F.col("done"), F.lit(0).cast("long")).otherwise(F.col("sig"))).drop("done")
+    more = setjoin.pairs_of(setjoin.candidates(rows.select(*setjoin.POSTING, "label"), threshold, None))
     more = cut(more.join(pairs.select("sig", "sig2"), ["sig", "sig2"], "left_anti"))
-    return sure.unionByName(later(setjoin.verify(more, setjoin.fetch_sets(more, docs, units), threshold))).distinct()
+    if more.isEmpty():
+        return first, sure
+    return first, sure.unionByName(later(setjoin.verify(more, setjoin.fetch_sets(more, docs, units), threshold)))
 
 
 def kept_lines(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -90,34 +74,30 @@ def kept_lines(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: tuple
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     units = line_units(least_words)
     t = setjoin.Threshold(*threshold)
-    gone = matched(docs, units, t)
-    stay = first_lines(docs, units).join(gone, "sig", "left_anti")
+    first, gone = join_lines(docs, units, t)
+    stay = first.join(gone, "sig", "left_anti")
     return cut(stay.groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_list("line")).alias("kept")))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """All rows and columns, ``text`` without the lines that go; ``lines_removed`` (numbers) and ``lines_left`` (long enough ones) are added."""
     kept = kept_lines(docs, least_words, threshold)
-    units = line_units(least_words)
     names = [c for c in docs.columns if c not in ("lines_removed", "lines_left")]
     work = docs.select(*(f"`{c}`" for c in names)).join(kept, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            ids = b.column("doc_id")
-            numbered = b.set_column(b.schema.get_field_index("doc_id"), "doc_id", pa.array(np.arange(b.num_rows)))
-            row, line, _, _ = units(numbered)
-            start = np.searchsorted(row, np.arange(b.num_rows + 1))
             texts, removed, left = [], [], []
-            for i, (text, doc, keep) in enumerate(zip(b.column("text").to_pylist(), ids.to_pylist(), b.column("kept").to_pylist())):
-                own = line[start[i] : start[i + 1]].tolist()
-                gone = sorted(set(own) - set(keep or [])) if doc is not None else []
+            for text, doc, keep in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("kept").to_pylist()):
+                lines, keep = (text or "").split("\n"), set(keep or [])
+                # bytes split and lower just as the units do: ASCII white space, A-Z
+                gone = [i for i, x in enumerate(lines) if i not in keep and len(set(x.encode().lower().split())) >= least_words] if doc is not None else []
                 if gone:
                     out = set(gone)
-                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in out)
+                    text = "\n".join(x for i, x in enumerate(lines) if i not in out)
                 texts.append(text)
                 removed.append(gone)
-                left.append(len(own) - len(gone))
+                left.append(len(keep))
             columns = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.int32())), pa.array(left, pa.int64())], names=[*names, "lines_removed", "lines_left"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import setjoin
-from tidemark.llm.common import cut, release, slices, tables
+from tidemark.llm.common import TEXT_CHARS, cut, release, slices, tables
 from tidemark.llm.components import components
 from tidemark.llm.words import Texts, distinct, shingles, signatures
 
@@ -35,9 +35,8 @@ ORDERS = 2
 
 def document_units(k: int, text: str = "text") -> setjoin.Units:
     def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        row, token = shingles(Texts(batch.column(text)), k)
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        return doc, np.zeros(len(doc), np.int64), row, token
+        return doc, np.zeros(len(doc), np.int64), *distinct(*shingles(Texts(batch.column(text)), k), len(doc))
 
     return units
 
@@ -46,9 +45,8 @@ def classes(docs: DataFrame, units: setjoin.Units) -> DataFrame:
     """doc_id, n_shingles, sig of every row; sig is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            doc, _, unit, token = units(b)
-            offsets, token = distinct(unit, token, len(doc))
+        for b in slices(batches, "text", TEXT_CHARS):
+            doc, _, offsets, token = units(b)
             sig, _, _ = signatures(offsets, token)
             n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(setjoin.signed(sig), mask=n == 0)], names=["doc_id", "n_shingles", "sig"])
@@ -60,14 +58,14 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     """Verified links (sig, sig2) whose connected components are those of all links."""
     units = document_units(k)
     full = (1 << orders) - 1
-    codes = setjoin.sketch(docs, units)
+    codes = setjoin.sketch(docs, lambda b: shingles(Texts(b.column("text")), k)[1])
     found, only = None, None
     for order in range(orders):  # each order posts only what candidates under the one before may still need
         now = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, order, only), threshold, setjoin.CAP))
         release(docs)
-        only = setjoin.bitmap(now.select(F.col("sig").alias("key")).unionByName(now.select(F.col("sig2").alias("key"))))
+        only = setjoin.bitmap(now.select(F.explode(F.array("sig", "sig2")).alias("key")))
         found = now if found is None else found.unionByName(now)
-    met = cut(setjoin.pairs_of(found.filter("not open")))
+    met = cut(setjoin.pairs_of(found))
     every_order = F.col("bits").bitwiseAND(full) == full
     pairs = met.filter(every_order)
     sets = cut(setjoin.fetch_sets(pairs, docs, units))
@@ -75,7 +73,7 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     sure = cut(setjoin.verify(setjoin.earliest(pairs), sets, threshold))
     rest = unconnected(pairs.select("sig", "sig2").join(setjoin.earliest(pairs), ["sig", "sig2"], "left_anti"), sure)
     sure = sure.unionByName(cut(setjoin.verify(rest, sets, threshold)))
-    open_rows = found.filter("open").select(*(f"`{c}`" for c in setjoin.POSTING))
+    open_rows = setjoin.open_rows(found)
     if open_rows.isEmpty():
         return sure
     # second round: what groups left open, between what is not yet connected

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, mix, slices
+from tidemark.llm.common import TEXT_CHARS, cut, mix, slices
 from tidemark.llm.words import distinct, signatures
 
 #: Counters of the frequency sketch (one byte each when sent to tasks).
-SKETCH_BITS = 22
+SKETCH_BITS = 23
 CHUNK_BITS = 14
 #: Sets in a block of a split token group.
 BLOCK = 8_192
@@ -36,17 +36,22 @@ BLOCK = 8_192
 SMALL = 256
 CAP = 2
 #: Signatures a map task remembers, to post each class once.
-SEEN = 2_000_000
+SEEN = 500_000
 #: Candidate pairs that one NumPy step may hold.
 PAIRS = 2_000_000
 
-POSTING = {"token": "long", "salt": "long", "side": "int", "order": "int", "sig": "long", "n": "int", "pos": "int", "b0": "long", "b1": "long", "doc": "long", "line": "int"}
-POSTING_SCHEMA = ", ".join(f"`{k}` {v}" for k, v in POSTING.items())
-PAIR_SCHEMA = "`open` boolean, sig2 long, doc2 long, line2 int, " + POSTING_SCHEMA
-ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+#: Columns of posted rows, all long: ``at`` has the set's size and the token's place, ``tail`` line, side and order.
+POSTING = ("token", "salt", "at", "tail", "sig", "b0", "b1", "doc")
+POSTING_SCHEMA = ", ".join(f"{c} long" for c in POSTING)
+#: Of candidate rows: a pair, an open row (then a posted row with its order's bit), or a class with its first unit.
+PAIR, OPEN, CLASS = 0, 1, 2
+FOUND = ("kind", *POSTING, "line", "bits", "sig2", "doc2", "line2")
+FOUND_SCHEMA = ", ".join(f"{c} long" for c in FOUND)
+#: The salt of class rows, whose token is the class's signature.
+CLASS_SALT = -1
 
 Units = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-"""From a batch: (doc by unit, line by unit, unit of each token, token)."""
+"""From a batch: (doc by unit, line by unit, token offsets by unit, each unit's distinct tokens in ascending order)."""
 
 
 @dataclass(frozen=True)
@@ -66,19 +71,17 @@ class Threshold:
         return self.den * common >= self.num * (n + m - common)
 
 
-def sketch(df: DataFrame, units: Units, text: str = "text") -> np.ndarray:
-    """Codes of how many units hold the tokens of each of 2**SKETCH_BITS buckets: about 8 * log2(count + 1).
+def sketch(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], text: str = "text") -> np.ndarray:
+    """Codes of how often the tokens of each of 2**SKETCH_BITS buckets occur: about 8 * log2(count + 1).
 
-    Every unit counts. What is sent around and to the driver is bounded by the number of buckets.
+    Every occurrence counts. What is sent around and to the driver is bounded by the number of buckets.
     """
     chunks = 1 << (SKETCH_BITS - CHUNK_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for b in slices(batches, text):
-            _, _, unit, token = units(b)
-            _, token = distinct(unit, token, int(unit.max(initial=-1)) + 1)
-            total += np.bincount((token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+        for b in slices(batches, text, TEXT_CHARS):
+            np.add(total, np.bincount((tokens(b) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32), out=total)
         for c in range(chunks):
             part = total[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
             at = np.flatnonzero(part)
@@ -114,16 +117,18 @@ def ordered_by(order: int, token: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (code << np.uint64(56)) | (mix(token + np.uint64(order)) >> np.uint64(8))
 
 
-def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshold, order: int = 0, only: np.ndarray | None = None, drop_single: bool = False, text: str = "text") -> DataFrame:
-    """The prefix rows under one order of all classes (those that the bit map ``only`` may hold), each once per map task, and again where an earlier unit of it turns up."""
+def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshold, order: int = 0, only: np.ndarray | None = None, drop_single: bool = False, class_rows: bool = False, text: str = "text") -> DataFrame:
+    """The prefix rows under one order of all classes (those that the bit map ``only`` may hold), each once per map task, and again where an earlier unit of it turns up.
+
+    With ``class_rows``, also a row for each class itself.
+    """
     sent = df.sparkSession.sparkContext.broadcast((codes, only))  # sizes are fixed by SKETCH_BITS and bitmap()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple] = {}
         codes, only = sent.value
-        for batch in slices(batches, text):
-            doc, line, unit, token = units(batch)
-            offsets, plain = distinct(unit, token, len(doc))
+        for batch in slices(batches, text, TEXT_CHARS):
+            doc, line, offsets, plain = units(batch)
             sig, b0, b1 = signatures(offsets, plain)
             n = np.diff(offsets)
             new = n > 0
@@ -131,36 +136,42 @@ def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshol
                 new &= has(only, signed(sig))
             if len(seen) > SEEN:
                 seen.clear()
-            for i in np.flatnonzero(new).tolist():
-                at = (doc[i], line[i])
-                new[i] = at < seen.get(sig[i], (np.inf,))
-                if new[i]:
-                    seen[sig[i]] = at
+            for i, key, at in zip(np.flatnonzero(new).tolist(), sig[new].tolist(), zip(doc[new].tolist(), line[new].tolist())):
+                if at < seen.get(key, (np.inf,)):
+                    seen[key] = at
+                else:
+                    new[i] = False
             u = np.repeat(np.arange(len(doc)), n)
             keep = new[u]
             offsets, ranked = distinct(u[keep], ordered_by(order, plain[keep], codes), len(doc))
             u = np.repeat(np.arange(len(doc)), np.diff(offsets))
             pos = np.arange(len(ranked)) - offsets[u]
             keep = pos < threshold.prefix(n)[u]
-            if drop_single:  # a token of one unit in all meets no other
+            if drop_single:  # a token that occurs once in all meets no other
                 keep &= ranked >> np.uint64(56) > 8
             u, pos, ranked = u[keep], pos[keep], ranked[keep]
-            code = (ranked >> np.uint64(56)).astype(np.float64)
-            blocks = np.maximum(1, np.ceil((2 ** (code / 8)) / BLOCK)).astype(np.int64)
-            side = (mix(sig[u] + np.uint64(5)) % blocks.astype(np.uint64)).astype(np.int64)
-            r = np.repeat(np.arange(len(u)), blocks)
-            other = np.arange(len(r)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            u, pos, ranked, side = u[r], pos[r], ranked[r], side[r]
-            salt = (np.minimum(side, other) << 32) | np.maximum(side, other)
-            columns = [signed(ranked), salt, side, np.full(len(u), order), signed(sig[u]), n[u], pos, signed(b0[u]), signed(b1[u]), doc[u], line[u]]
-            for lo in range(0, len(u), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000].astype(ARROW[t].to_pandas_dtype()), ARROW[t]) for c, t in zip(columns, POSTING.values())], names=list(POSTING))
+            code = ranked >> np.uint64(56)
+            salt = tail = np.zeros(len(u), np.int64)
+            if len(code) and code.max() > 8 * np.log2(BLOCK):
+                blocks = np.maximum(1, np.ceil((2 ** (code / 8)) / BLOCK)).astype(np.int64)
+                side = (mix(sig[u] + np.uint64(5)) % blocks.astype(np.uint64)).astype(np.int64)
+                r = np.repeat(np.arange(len(u)), blocks)
+                other = np.arange(len(r)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                u, pos, ranked, side = u[r], pos[r], ranked[r], side[r]
+                salt, tail = (np.minimum(side, other) << 31) | np.maximum(side, other), (side > other).astype(np.int64)
+            columns = [signed(ranked), salt, (n[u] << 32) | pos, (line[u] << 8) | (tail << 7) | order, signed(sig[u]), signed(b0[u]), signed(b1[u]), doc[u]]
+            if class_rows:
+                own, zero = np.flatnonzero(new), np.zeros(int(new.sum()), np.int64)
+                more = [signed(sig[own]), zero + CLASS_SALT, zero, line[own] << 8, signed(sig[own]), zero, zero, doc[own]]
+                columns = [np.concatenate(x) for x in zip(columns, more)]
+            for lo in range(0, len(columns[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000]) for c in columns], names=list(POSTING))
 
     return df.mapInArrow(post, POSTING_SCHEMA)
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted rows as columns, cut only between groups of (order, token, salt)."""
+    """Sorted rows as columns, cut only between groups of (token, salt)."""
     rest: dict[str, np.ndarray] = {}
     for b in batches:
         got = {k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names}
@@ -168,7 +179,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
         n = len(rest["token"])
         if not n:
             continue
-        last = (rest["token"] == rest["token"][-1]) & (rest["salt"] == rest["salt"][-1]) & (rest["order"] == rest["order"][-1])
+        last = (rest["token"] == rest["token"][-1]) & (rest["salt"] == rest["salt"][-1])
         end = n - int(np.argmin(last[::-1])) if not last.all() else 0
         if end:
             yield {k: v[:end] for k, v in rest.items()}
@@ -198,9 +209,10 @@ class Group:
 
     def __init__(self, rows: dict[str, np.ndarray], threshold: Threshold):
         self.rows, self.t = rows, threshold
-        self.n, self.pos = rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
+        self.n, self.pos = rows["at"] >> 32, rows["at"] & 0xFFFFFFFF
+        self.line, self.side = rows["tail"] >> 8, rows["tail"] >> 7 & 1
         self.b0, self.b1 = rows["b0"].view(np.uint64), rows["b1"].view(np.uint64)
-        self.cross = (rows["salt"] >> 32) != (rows["salt"] & 0xFFFFFFFF)
+        self.cross = (rows["salt"] >> 31) != (rows["salt"] & 0x7FFFFFFF)
         self.label = rows.get("label")
 
     def passing(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +220,7 @@ class Group:
         r, n = self.rows, self.n
         low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = self.t.den * low >= self.t.num * high
-        ok &= ~self.cross[i] | (r["side"][i] != r["side"][j])
+        ok &= ~self.cross[i] | (self.side[i] != self.side[j])
         i, j = i[ok], j[ok]
         need = self.t.overlap(n[i], n[j])
         ok = np.minimum(n[i] - self.pos[i], n[j] - self.pos[j]) >= need
@@ -216,7 +228,7 @@ class Group:
         apart = np.bitwise_count(self.b0[i] ^ self.b0[j]).astype(np.int64) + np.bitwise_count(self.b1[i] ^ self.b1[j])
         ok = apart <= n[i] + n[j] - 2 * need
         i, j = i[ok], j[ok]
-        swap = (r["doc"][j] < r["doc"][i]) | ((r["doc"][j] == r["doc"][i]) & (r["line"][j] < r["line"][i]))
+        swap = (r["doc"][j] < r["doc"][i]) | ((r["doc"][j] == r["doc"][i]) & (self.line[j] < self.line[i]))
         a, b = np.where(swap, j, i), np.where(swap, i, j)
         if self.label is not None:
             ok = (self.label[a] != self.label[b]) & (self.label[b] != 0)
@@ -230,7 +242,7 @@ class Group:
 
     def large(self, at: np.ndarray, cap: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Passing pairs of one group: with a cap, a row is done once that many earlier ones fit it."""
-        order = at[np.lexsort((self.rows["line"][at], self.rows["doc"][at]))]
+        order = at[np.lexsort((self.line[at], self.rows["doc"][at]))]
         if self.label is not None:  # two rows of different labels are not both of the most frequent one
             names, count = np.unique(self.label[order], return_counts=True)
             rest = self.label[order] != names[np.argmax(count)]
@@ -256,33 +268,58 @@ class Group:
             yield a, b
 
 
-def boundaries(rows: dict[str, np.ndarray], *more: str) -> np.ndarray:
-    first = np.ones(len(rows["token"]), bool)
-    first[1:] = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in ("order", "token", "salt", *more)])
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    first = np.ones(len(columns[0]), bool)
+    first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     return first
 
 
+def several(g: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Rows of groups with more than one row, and the sizes of these groups."""
+    start = np.flatnonzero(changes(g["token"], g["salt"]))
+    size = np.diff(np.append(start, len(g["token"])))
+    keep = np.repeat(size > 1, size)
+    return {k: v[keep] for k, v in g.items()}, size[size > 1]
+
+
+def found_rows(kind: int, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    n = len(columns["sig"])
+    zero = np.zeros(n, np.int64)
+    full = [columns.get(c, zero + kind if c == "kind" else zero) for c in FOUND]
+    for lo in range(0, n, 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000].astype(np.int64, copy=False)) for c in full], names=list(FOUND))
+
+
 def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> DataFrame:
-    """Pairs (the earlier unit's class in sig, doc, line; the later one's in sig2 ...) that pass all filters.
+    """PAIR rows (the earlier unit's class in sig, doc, line; the later one's in sig2 ...) that pass all filters.
 
-    ``order`` has the bits of the orders that a pair was met under; all bits where a
-    cap may have hidden it from others. With a cap, also the open rows of groups
-    where it cut something off. Rows with a column ``label`` make no pairs of equal labels,
-    nor pairs whose later class has label 0.
+    ``bits`` tells under which orders a pair was met; all bits where a cap may have hidden
+    it from others. With a cap, also OPEN rows: those of groups where it cut something off.
+    Rows with a column ``label`` make no pairs of equal labels, nor pairs whose later class has
+    label 0. Class rows come out once per class (CLASS), with the first unit.
     """
-    kinds = dict(p.replace("`", "").split(" ") for p in PAIR_SCHEMA.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches):
-            # the same class from several map tasks: its earliest unit is sorted first
-            first = boundaries(g, "sig")
-            g = {k: v[first] for k, v in g.items()}
-            size = np.bincount(np.cumsum(boundaries(g)) - 1)
-            keep = np.repeat(size > 1, size)
-            if not keep.any():
+            is_class = g["salt"] == CLASS_SALT
+            if is_class.any():
+                c = {k: v[is_class] for k, v in g.items()}
+                order = np.lexsort((c["tail"], c["doc"], c["sig"]))
+                order = order[changes(c["sig"][order])]
+                yield from found_rows(CLASS, {"sig": c["sig"][order], "doc": c["doc"][order], "line": c["tail"][order] >> 8})
+                g = {k: v[~is_class] for k, v in g.items()}
+            if not len(g["token"]):
+                continue
+            g, size = several(g)
+            if not len(size):
+                continue
+            # the same class from several map tasks: its earliest unit comes first, and stays
+            order = np.lexsort((g["tail"], g["doc"], g["sig"], np.repeat(np.arange(len(size)), size)))
+            order = order[changes(g["token"][order], g["salt"][order], g["sig"][order])]
+            g, size = several({k: v[order] for k, v in g.items()})
+            if not len(size):
                 continue
-            g = {k: v[keep] for k, v in g.items()}
-            size = size[size > 1]
             number = np.repeat(np.arange(len(size)), size)
             group = Group(g, threshold)
             small = np.flatnonzero((size <= SMALL)[number])
@@ -293,33 +330,31 @@ def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> Data
             a, b = (np.concatenate(x) for x in zip(*parts))
             over = np.zeros(len(size), bool)
             if cap is not None and len(a):
-                order = np.lexsort((g["line"][a], g["doc"][a], b))
+                order = np.lexsort((group.line[a], g["doc"][a], b))
                 a, b = a[order], b[order]
-                start = np.ones(len(b), bool)
-                start[1:] = b[1:] != b[:-1]
+                start = changes(b)
                 rank = np.arange(len(b)) - np.maximum.accumulate(np.where(start, np.arange(len(b)), 0))
                 # a row that reached the cap may have more; a small group tells for sure
                 over[number[b[rank >= cap]]] = True
                 over[number[b[(rank == cap - 1) & (size[number[b]] > SMALL)]]] = True
                 a, b = a[rank < cap], b[rank < cap]
-            bits = np.where(over[number[b]], -1, 1 << g["order"][b])
-            for rows, is_open in ((a, False), (np.flatnonzero(over[number]), True)):
-                for lo in range(0, len(rows), 200_000):
-                    r = rows[lo : lo + 200_000]
-                    p = r if is_open else b[lo : lo + 200_000]
-                    out = {k: g[k][r] for k in POSTING} | {"sig2": g["sig"][p], "doc2": g["doc"][p], "line2": g["line"][p], "open": np.full(len(r), is_open)}
-                    if not is_open:
-                        out["order"] = bits[lo : lo + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(out[k].astype(ARROW[t].to_pandas_dtype()), ARROW[t]) for k, t in kinds.items()], names=list(kinds))
+            bits = np.where(over[number[b]], -1, 1 << (g["tail"][b] & 127))
+            yield from found_rows(PAIR, {"sig": g["sig"][a], "doc": g["doc"][a], "line": group.line[a], "bits": bits, "sig2": g["sig"][b], "doc2": g["doc"][b], "line2": group.line[b]})
+            r = np.flatnonzero(over[number])
+            yield from found_rows(OPEN, {k: g[k][r] for k in POSTING})
 
-    keys = ["order", "token", "salt"]
-    dealt = posted.repartition(*map(F.col, keys)).sortWithinPartitions(*keys, "sig", "doc", "line")
-    return dealt.mapInArrow(run, PAIR_SCHEMA)
+    # the token first: its bytes decide nearly every comparison of the sort
+    return posted.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, FOUND_SCHEMA)
 
 
 def pairs_of(found: DataFrame) -> DataFrame:
     """Each pair of classes once, with the bits of its orders and the earliest units named."""
-    return found.groupBy("sig", "sig2").agg(F.bit_or("order").alias("bits"), F.min(F.struct("doc", "line")).alias("x"), F.min(F.struct("doc2", "line2")).alias("y")).select("sig", "sig2", "bits", "x.doc", "x.line", "y.doc2", "y.line2")
+    found = found.filter(F.col("kind") == PAIR)
+    return found.groupBy("sig", "sig2").agg(F.bit_or("bits").alias("bits"), F.min(F.struct("doc", "line")).alias("x"), F.min(F.struct("doc2", "line2")).alias("y")).select("sig", "sig2", "bits", "x.doc", "x.line", "y.doc2", "y.line2")
+
+
+def open_rows(found: DataFrame) -> DataFrame:
+    return found.filter(F.col("kind") == OPEN).select(*POSTING)
 
 
 def bitmap(keys: DataFrame, bits: int = 24) -> np.ndarray:
@@ -356,18 +391,17 @@ def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, text: str = "text"
     docs = context.broadcast(bitmap(named.select(F.xxhash64("doc").alias("key"))))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TEXT_CHARS):
             batch = batch.filter(pa.array(has(docs.value, batch.column("key").to_numpy())))
             if not batch.num_rows:
                 continue
-            doc, line, unit, token = units(batch)
-            offsets, token = distinct(unit, token, len(doc))
+            doc, line, offsets, token = units(batch)
             sig, _, _ = signatures(offsets, token)
             pick = np.flatnonzero((np.diff(offsets) > 0) & has(wanted.value, signed(sig)))
             sets = [token[offsets[i] : offsets[i + 1]].tobytes() for i in pick.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(sig[pick])), pa.array(doc[pick]), pa.array(line[pick].astype(np.int32)), pa.array(sets, pa.binary())], names=["sig", "doc", "line", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig[pick])), pa.array(doc[pick]), pa.array(line[pick]), pa.array(sets, pa.binary())], names=["sig", "doc", "line", "set"])
 
-    sets = df.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(fetch, "sig long, doc long, line int, `set` binary")
+    sets = df.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(fetch, "sig long, doc long, line long, `set` binary")
     at = named.select("sig", F.col("doc").alias("d"), F.col("line").alias("l"))
     # of repeated rows of one document, one is enough
     return sets.join(at, "sig").filter("doc = d and line = l").groupBy("sig").agg(F.first("set").alias("set"))
