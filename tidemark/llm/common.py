@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Let the driver find dead shuffles and checkpoints now, so that their files go."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,7 +50,7 @@ def join_lines(docs: DataFrame, units: setjoin.Units, threshold: setjoin.Thresho
     codes = setjoin.sketch(docs, lambda b: Texts(b.column("text")).hash)
     found = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, drop_single=True, class_rows=True), threshold, setjoin.CAP))
     release(docs)
-    first = found.filter(F.col("kind") == setjoin.CLASS).select("sig", "doc", "line")
+    first = setjoin.of_kind(found, setjoin.CLASS, ("sig", "doc", "line"))
     pairs = cut(setjoin.pairs_of(found))
     sets = cut(setjoin.fetch_sets(pairs, docs, units))
     later = lambda found: cut(found.select(F.col("sig2").alias("sig")).distinct())

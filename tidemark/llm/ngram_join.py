@@ -63,7 +63,8 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     for order in range(orders):  # each order posts only what candidates under the one before may still need
         now = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, order, only), threshold, setjoin.CAP))
         release(docs)
-        only = setjoin.bitmap(now.select(F.explode(F.array("sig", "sig2")).alias("key")))
+        named = setjoin.of_kind(now, setjoin.PAIR, setjoin.PAIR_COLUMNS).select(F.explode(F.array("sig", "sig2")).alias("key"))
+        only = setjoin.bitmap(named.unionByName(setjoin.open_rows(now).select(F.col("sig").alias("key"))))
         found = now if found is None else found.unionByName(now)
     met = cut(setjoin.pairs_of(found))
     every_order = F.col("bits").bitwiseAND(full) == full

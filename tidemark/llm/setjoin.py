@@ -38,17 +38,21 @@ CAP = 2
 #: Signatures a map task remembers, to post each class once.
 SEEN = 500_000
 #: Candidate pairs that one NumPy step may hold.
-PAIRS = 2_000_000
+PAIRS = 4_000_000
 
-#: Columns of posted rows, all long: ``at`` has the set's size and the token's place, ``tail`` line, side and order.
-POSTING = ("token", "salt", "at", "tail", "sig", "b0", "b1", "doc")
+#: Columns of posted rows, all long. ``token`` names the group: the ranked token, mixed with its pair of blocks if it is
+#: split, or a class's signature. ``at`` has the set's size and the token's place, ``tail`` line and flags.
+POSTING = ("token", "at", "tail", "sig", "b0", "b1", "doc")
 POSTING_SCHEMA = ", ".join(f"{c} long" for c in POSTING)
-#: Of candidate rows: a pair, an open row (then a posted row with its order's bit), or a class with its first unit.
+#: Flags in ``tail``, under the line: a class row, a row of two blocks, the second of these, and the order.
+LINE_SHIFT, IS_CLASS, IS_CROSS, IS_SECOND, ORDER_MASK = 10, 512, 256, 128, 127
+#: Kinds of candidate rows: a pair, an open row (a posted row), or a class with its first unit.
 PAIR, OPEN, CLASS = 0, 1, 2
-FOUND = ("kind", *POSTING, "line", "bits", "sig2", "doc2", "line2")
+PAIR_COLUMNS = ("bits", "line", "line2", "sig", "doc", "sig2", "doc2")
+FOUND = ("kind", *(f"c{i}" for i in range(7)))
 FOUND_SCHEMA = ", ".join(f"{c} long" for c in FOUND)
-#: The salt of class rows, whose token is the class's signature.
-CLASS_SALT = -1
+#: Posted rows that are taken together, at least.
+CHUNK = 250_000
 
 Units = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 """From a batch: (doc by unit, line by unit, token offsets by unit, each unit's distinct tokens in ascending order)."""
@@ -79,9 +83,16 @@ def sketch(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], text:
     chunks = 1 << (SKETCH_BITS - CHUNK_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        held, n = [], 0
         for b in slices(batches, text, TEXT_CHARS):
-            np.add(total, np.bincount((tokens(b) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32), out=total)
+            held.append((tokens(b) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+            n += len(held[-1])
+            if n > PAIRS:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         for c in range(chunks):
             part = total[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
             at = np.flatnonzero(part)
@@ -151,18 +162,20 @@ def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshol
                 keep &= ranked >> np.uint64(56) > 8
             u, pos, ranked = u[keep], pos[keep], ranked[keep]
             code = ranked >> np.uint64(56)
-            salt = tail = np.zeros(len(u), np.int64)
+            tail = np.full(len(u), order)
             if len(code) and code.max() > 8 * np.log2(BLOCK):
                 blocks = np.maximum(1, np.ceil((2 ** (code / 8)) / BLOCK)).astype(np.int64)
                 side = (mix(sig[u] + np.uint64(5)) % blocks.astype(np.uint64)).astype(np.int64)
                 r = np.repeat(np.arange(len(u)), blocks)
                 other = np.arange(len(r)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                u, pos, ranked, side = u[r], pos[r], ranked[r], side[r]
-                salt, tail = (np.minimum(side, other) << 31) | np.maximum(side, other), (side > other).astype(np.int64)
-            columns = [signed(ranked), salt, (n[u] << 32) | pos, (line[u] << 8) | (tail << 7) | order, signed(sig[u]), signed(b0[u]), signed(b1[u]), doc[u]]
+                u, pos, ranked, side, split = u[r], pos[r], ranked[r], side[r], blocks[r] > 1
+                both = ((np.minimum(side, other) << 31) | np.maximum(side, other)).astype(np.uint64)
+                ranked = np.where(split, mix(ranked ^ mix(both + np.uint64(1))), ranked)
+                tail = order + np.where(side != other, IS_CROSS, 0) + np.where(side > other, IS_SECOND, 0)
+            columns = [signed(ranked), (n[u] << 32) | pos, (line[u] << LINE_SHIFT) | tail, signed(sig[u]), signed(b0[u]), signed(b1[u]), doc[u]]
             if class_rows:
                 own, zero = np.flatnonzero(new), np.zeros(int(new.sum()), np.int64)
-                more = [signed(sig[own]), zero + CLASS_SALT, zero, line[own] << 8, signed(sig[own]), zero, zero, doc[own]]
+                more = [signed(mix(sig[own])), zero, (line[own] << LINE_SHIFT) | IS_CLASS, signed(sig[own]), zero, zero, doc[own]]
                 columns = [np.concatenate(x) for x in zip(columns, more)]
             for lo in range(0, len(columns[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000]) for c in columns], names=list(POSTING))
@@ -171,21 +184,22 @@ def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshol
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted rows as columns, cut only between groups of (token, salt)."""
-    rest: dict[str, np.ndarray] = {}
+    """Rows sorted by token as columns, cut only between tokens."""
+    held: list[dict[str, np.ndarray]] = []
+    n = 0
     for b in batches:
-        got = {k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names}
-        rest = {k: np.concatenate([rest[k], v]) for k, v in got.items()} if rest else got
-        n = len(rest["token"])
-        if not n:
+        if b.num_rows:
+            held.append({k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names})
+            n += b.num_rows
+        if n < CHUNK:
             continue
-        last = (rest["token"] == rest["token"][-1]) & (rest["salt"] == rest["salt"][-1])
-        end = n - int(np.argmin(last[::-1])) if not last.all() else 0
+        rest = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        end = int(np.searchsorted(rest["token"], rest["token"][-1]))
         if end:
             yield {k: v[:end] for k, v in rest.items()}
-            rest = {k: v[end:] for k, v in rest.items()}
-    if rest and len(rest["token"]):
-        yield rest
+        held, n = [{k: v[end:] for k, v in rest.items()}], n - end
+    if held:
+        yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
 
 def pair_indices(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -210,9 +224,9 @@ class Group:
     def __init__(self, rows: dict[str, np.ndarray], threshold: Threshold):
         self.rows, self.t = rows, threshold
         self.n, self.pos = rows["at"] >> 32, rows["at"] & 0xFFFFFFFF
-        self.line, self.side = rows["tail"] >> 8, rows["tail"] >> 7 & 1
+        self.line, self.side = rows["tail"] >> LINE_SHIFT, rows["tail"] & IS_SECOND
         self.b0, self.b1 = rows["b0"].view(np.uint64), rows["b1"].view(np.uint64)
-        self.cross = (rows["salt"] >> 31) != (rows["salt"] & 0x7FFFFFFF)
+        self.cross = (rows["tail"] & IS_CROSS) != 0
         self.label = rows.get("label")
 
     def passing(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,16 +291,15 @@ def changes(*columns: np.ndarray) -> np.ndarray:
 
 def several(g: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Rows of groups with more than one row, and the sizes of these groups."""
-    start = np.flatnonzero(changes(g["token"], g["salt"]))
+    start = np.flatnonzero(changes(g["token"]))
     size = np.diff(np.append(start, len(g["token"])))
     keep = np.repeat(size > 1, size)
     return {k: v[keep] for k, v in g.items()}, size[size > 1]
 
 
-def found_rows(kind: int, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    n = len(columns["sig"])
-    zero = np.zeros(n, np.int64)
-    full = [columns.get(c, zero + kind if c == "kind" else zero) for c in FOUND]
+def found_rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    n = len(columns[0])
+    full = [np.full(n, kind), *columns, *[np.zeros(n, np.int64)] * (7 - len(columns))]
     for lo in range(0, n, 200_000):
         yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000].astype(np.int64, copy=False)) for c in full], names=list(FOUND))
 
@@ -302,12 +315,12 @@ def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches):
-            is_class = g["salt"] == CLASS_SALT
+            is_class = (g["tail"] & IS_CLASS) != 0
             if is_class.any():
                 c = {k: v[is_class] for k, v in g.items()}
                 order = np.lexsort((c["tail"], c["doc"], c["sig"]))
                 order = order[changes(c["sig"][order])]
-                yield from found_rows(CLASS, {"sig": c["sig"][order], "doc": c["doc"][order], "line": c["tail"][order] >> 8})
+                yield from found_rows(CLASS, c["sig"][order], c["doc"][order], c["tail"][order] >> LINE_SHIFT)
                 g = {k: v[~is_class] for k, v in g.items()}
             if not len(g["token"]):
                 continue
@@ -316,7 +329,7 @@ def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> Data
                 continue
             # the same class from several map tasks: its earliest unit comes first, and stays
             order = np.lexsort((g["tail"], g["doc"], g["sig"], np.repeat(np.arange(len(size)), size)))
-            order = order[changes(g["token"][order], g["salt"][order], g["sig"][order])]
+            order = order[changes(g["token"][order], g["sig"][order])]
             g, size = several({k: v[order] for k, v in g.items()})
             if not len(size):
                 continue
@@ -338,23 +351,27 @@ def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> Data
                 over[number[b[rank >= cap]]] = True
                 over[number[b[(rank == cap - 1) & (size[number[b]] > SMALL)]]] = True
                 a, b = a[rank < cap], b[rank < cap]
-            bits = np.where(over[number[b]], -1, 1 << (g["tail"][b] & 127))
-            yield from found_rows(PAIR, {"sig": g["sig"][a], "doc": g["doc"][a], "line": group.line[a], "bits": bits, "sig2": g["sig"][b], "doc2": g["doc"][b], "line2": group.line[b]})
+            bits = np.where(over[number[b]], -1, 1 << (g["tail"][b] & ORDER_MASK))
+            yield from found_rows(PAIR, bits, group.line[a], group.line[b], g["sig"][a], g["doc"][a], g["sig"][b], g["doc"][b])
             r = np.flatnonzero(over[number])
-            yield from found_rows(OPEN, {k: g[k][r] for k in POSTING})
+            yield from found_rows(OPEN, *(g[k][r] for k in POSTING))
 
-    # the token first: its bytes decide nearly every comparison of the sort
-    return posted.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, FOUND_SCHEMA)
+    # one sort column, which Spark sorts by radix
+    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(run, FOUND_SCHEMA)
+
+
+def of_kind(found: DataFrame, kind: int, names: tuple[str, ...]) -> DataFrame:
+    return found.filter(F.col("kind") == kind).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def pairs_of(found: DataFrame) -> DataFrame:
     """Each pair of classes once, with the bits of its orders and the earliest units named."""
-    found = found.filter(F.col("kind") == PAIR)
-    return found.groupBy("sig", "sig2").agg(F.bit_or("bits").alias("bits"), F.min(F.struct("doc", "line")).alias("x"), F.min(F.struct("doc2", "line2")).alias("y")).select("sig", "sig2", "bits", "x.doc", "x.line", "y.doc2", "y.line2")
+    pairs = of_kind(found, PAIR, PAIR_COLUMNS)
+    return pairs.groupBy("sig", "sig2").agg(F.bit_or("bits").alias("bits"), F.min(F.struct("doc", "line")).alias("x"), F.min(F.struct("doc2", "line2")).alias("y")).select("sig", "sig2", "bits", "x.doc", "x.line", "y.doc2", "y.line2")
 
 
 def open_rows(found: DataFrame) -> DataFrame:
-    return found.filter(F.col("kind") == OPEN).select(*POSTING)
+    return of_kind(found, OPEN, POSTING)
 
 
 def bitmap(keys: DataFrame, bits: int = 24) -> np.ndarray:
