@@ -70,6 +70,9 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     every_order = F.col("bits").bitwiseAND(full) == full
     pairs = met.filter(every_order)
     sets = cut(setjoin.fetch_sets(pairs, docs, units))
+    release(docs)
+    kept = cut(setjoin.sift(pairs, sets, threshold))  # of long sets, most pairs that met by chance go here
+    pairs = cut(pairs.join(kept, ["sig", "sig2"], "left_semi"))
     # one pair for each later class, then those pairs that the links found do not connect
     sure = cut(setjoin.verify(setjoin.earliest(pairs), sets, threshold))
     rest = unconnected(pairs.select("sig", "sig2").join(setjoin.earliest(pairs), ["sig", "sig2"], "left_anti"), sure)
@@ -82,8 +85,11 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     more = setjoin.candidates(open_rows.select(*setjoin.POSTING, "label"), threshold, None)
     again = met.unionByName(setjoin.pairs_of(more))
     again = again.groupBy("sig", "sig2").agg(F.bit_or("bits").alias("bits"), *(F.min(c).alias(c) for c in ("doc", "line", "doc2", "line2")))
-    again = cut(again.filter(every_order).join(pairs.select("sig", "sig2"), ["sig", "sig2"], "left_anti"))
-    return sure.unionByName(cut(setjoin.verify(again, setjoin.fetch_sets(again, docs, units), threshold)))
+    again = cut(again.filter(every_order).join(met.filter(every_order).select("sig", "sig2"), ["sig", "sig2"], "left_anti"))
+    if again.isEmpty():
+        return sure
+    sets = cut(setjoin.fetch_sets(again, docs, units))
+    return sure.unionByName(cut(setjoin.verify(setjoin.sift(again, sets, threshold), sets, threshold)))
 
 
 def labels(edges: DataFrame) -> DataFrame:
