@@ -24,8 +24,8 @@ class Fold:
     """``agg(m, seq)`` aggregates rows, ``array(ms)`` an array of metrics in order, ``python(ms)`` a list."""
 
     name: str
-    agg: Callable[[Column, Column], Column]
-    array: Callable[[Column], Column] | None
+    agg: Callable[[Column, Column], Column] | None
+    array: Callable[[Column], Column]
     python: Callable[[list[float]], float]
 
 
@@ -44,24 +44,31 @@ BY_NAME = {f.name: f for f in (sum, product, difference, mean, minimum, maximum,
 
 
 def user(name: str, python: Callable[[list[float]], float]) -> Fold:
-    """A fold from a Python function over metrics; grouped and windowed it runs as a pandas aggregate."""
+    """A fold from a Python function over metrics in order; it runs as a pandas function over collected arrays."""
     import pandas as pd
 
-    def over(ms):
-        return float(python(ms.tolist()))
+    def over(lists):
+        return pd.Series([float(python(list(ms))) for ms in lists])
 
-    over.__annotations__ = {"ms": pd.Series, "return": float}
-    run = F.pandas_udf(over, "double")
-    return Fold(name, lambda m, s: run(m), None, lambda ms: float(python(ms)))
+    over.__annotations__ = {"lists": pd.Series, "return": pd.Series}
+    return Fold(name, None, F.pandas_udf(over, "double"), lambda ms: float(python(ms)))
+
+
+def collected(fold: Fold, rows: Column) -> Column:
+    """A fold that is no aggregate, from rows of (seq, m)."""
+    return fold.array(F.transform(F.array_sort(rows), lambda r: r["m"]))
 
 
 def fold_groups(df: DataFrame, by: list[str], fold: Fold, keep: list[str] = (), having: Column | None = None) -> DataFrame:
     """One event per group: the group's first event with the fold's metric, its greatest time and its last seq."""
     others = [c for c in FIELDS if c not in ("seq", "time", "metric")] + [c for c in keep if c not in by]
     first = F.min_by(F.struct(*others), F.col("seq"))
-    out = df.groupBy(*by).agg(first.alias("__first"), fold.agg(metric(), F.col("seq")).alias("__m"), F.max("time").alias("__t"), F.max("seq").alias("__s"), F.count(F.lit(1)).alias("__n"))
+    value = fold.agg(metric(), F.col("seq")) if fold.agg else F.collect_list(F.struct("seq", metric().alias("m")))
+    out = df.groupBy(*by).agg(first.alias("__first"), value.alias("__m"), F.max("time").alias("__t"), F.max("seq").alias("__s"), F.count(F.lit(1)).alias("__n"))
     if having is not None:
         out = out.filter(having)
+    if not fold.agg:
+        out = out.withColumn("__m", collected(fold, F.col("__m")))
     pick = {"seq": F.col("__s"), "time": F.col("__t"), "metric": F.col("__m")}
     return out.select(*((pick.get(c, F.col(f"__first.{c}"))).cast(EVENT[c].dataType).alias(c) for c in FIELDS), *(F.col(c) if c in by else F.col(f"__first.{c}").alias(c) for c in keep))
 
@@ -71,8 +78,11 @@ def fold_window(df: DataFrame, frame: WindowSpec, fold: Fold) -> DataFrame:
     first = {c: F.first(F.struct(c)).over(frame)[c] for c in FIELDS if c not in ("seq", "time", "metric")}
     if fold.name == "difference":
         value = 2 * F.first(metric()).over(frame) - F.sum(metric()).over(frame)
-    else:
+    elif fold.agg:
         value = fold.agg(metric(), F.col("seq")).over(frame)
+    else:
+        df = df.withColumn("__rows", F.collect_list(F.struct("seq", metric().alias("m"))).over(frame))
+        value = collected(fold, F.col("__rows"))
     return df.withColumns(first | {"metric": value.cast("double"), "time": F.max("time").over(frame)})
 
 

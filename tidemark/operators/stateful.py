@@ -136,7 +136,7 @@ class Project(Node):
         for i, p in reversed(list(enumerate(self.predicates))):
             first = F.when(p, F.lit(i)).otherwise(first)
         marked = df.withColumn("__p", first)
-        if df.isStreaming or self.fold.array is None or not (ctx.ordered or ctx.clock is not None):
+        if df.isStreaming or self.fold.agg is None or not (ctx.ordered or ctx.clock is not None):
             return scan(marked, ctx, machines.Project(len(self.predicates), self.fold.python, ctx.clock), ["__p"]), ctx
         return self.native(marked.filter("__p >= 0"), ctx), ctx
 
