@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, line_dedup, ngram_join, packing, toxicity
-from tidemark.llm.common import shared_dir, tables
+from tidemark.llm.common import discard, shared_dir, tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
         if before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            discard(spark, before)
         before = f"{at}/{k}"
     return docs

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Compute ``df`` once into a Parquet table in the shared folder: (the table, its path for ``discard``)."""
+    at = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    """Delete a table that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Let the driver find dead shuffles and checkpoints now, so that their files go."""
     for _ in range(2):

@@ -4,9 +4,9 @@ Words are lower-cased, stripped of everything but letters and digits, and hashed
 A seed is a fixed mask over SPAN places that ignores some of them; all masks are
 hashed at every place of test items and documents, so a shared passage gives a
 common seed even where words were exchanged. Each hit fixes an alignment (item,
-shift); along it the best-scoring segment (1 for an equal word, -2 for another)
-is the overlap, and counts if it has ``min_matches`` equal words, or if the item
-is shorter, ``share`` of the item.
+shift); along it the best-scoring segment (1 for an equal word, -1 for another)
+is the overlap. It counts if ``share`` of its words are equal, and ``min_matches`` in all,
+or ``share`` of the item where that is less.
 
 Test items are read in slices of at most ``slice_chars`` characters, and all
 documents are held against each slice in one pass without any shuffle; a larger
@@ -66,8 +66,8 @@ def seeds(h: np.ndarray, mask: int) -> np.ndarray:
 
 
 def best_segment(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the segment with the highest score (equal 1, other -2)."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
+    """Start and end of the segment with the highest score (equal 1, other -1)."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
@@ -126,7 +126,7 @@ class Index:
             equal = own[lo:hi] == words[lo - d : hi - d]
             start, end = best_segment(equal)
             same = int(equal[start:end].sum())
-            if same >= min(min_matches, share * len(words)):
+            if same >= min(min_matches, share * len(words)) and same >= share * (end - start):
                 yield r, self.ids[i], lo + start, lo + end, lo + start - d, lo + end - d, same
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import setjoin
-from tidemark.llm.common import cut, release, slices, tables
+from tidemark.llm.common import cut, discard, release, slices, stored, tables
 from tidemark.llm.words import Texts, distinct
 
 LEAST_WORDS = 5
@@ -45,11 +45,13 @@ def line_units(least_words: int, text: str = "text") -> setjoin.Units:
     return units
 
 
-def join_lines(docs: DataFrame, units: setjoin.Units, threshold: setjoin.Threshold) -> tuple[DataFrame, DataFrame]:
-    """(sig, doc, line: the first line of each class; sig of every class that has a similar class before it)."""
+def candidate_lines(docs: DataFrame, units: setjoin.Units, threshold: setjoin.Threshold) -> DataFrame:
     codes = setjoin.sketch(docs, lambda b: Texts(b.column("text")).hash)
-    found = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, drop_single=True, class_rows=True), threshold, setjoin.CAP))
-    release(docs)
+    return setjoin.candidates(setjoin.postings(docs, units, codes, threshold, drop_single=True, class_rows=True), threshold, setjoin.CAP)
+
+
+def join_lines(found: DataFrame, docs: DataFrame, units: setjoin.Units, threshold: setjoin.Threshold) -> tuple[DataFrame, DataFrame]:
+    """(sig, doc, line: the first line of each class; sig of every class that has a similar class before it)."""
     first = setjoin.of_kind(found, setjoin.CLASS, ("sig", "doc", "line"))
     pairs = cut(setjoin.pairs_of(found))
     sets = cut(setjoin.fetch_sets(pairs, docs, units))
@@ -74,9 +76,13 @@ def kept_lines(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: tuple
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     units = line_units(least_words)
     t = setjoin.Threshold(*threshold)
-    first, gone = join_lines(docs, units, t)
+    found, at = stored(candidate_lines(docs, units, t))
+    release(docs)
+    first, gone = join_lines(found, docs, units, t)
     stay = first.join(gone, "sig", "left_anti")
-    return cut(stay.groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_list("line")).alias("kept")))
+    kept = cut(stay.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("line").alias("kept")))
+    discard(docs.sparkSession, at)
+    return kept
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

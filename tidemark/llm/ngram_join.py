@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import setjoin
-from tidemark.llm.common import TEXT_CHARS, cut, release, slices, tables
+from tidemark.llm.common import TEXT_CHARS, cut, discard, release, slices, stored, tables
 from tidemark.llm.components import components
 from tidemark.llm.words import Texts, distinct, shingles, signatures
 
@@ -59,9 +59,10 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     units = document_units(k)
     full = (1 << orders) - 1
     codes = setjoin.sketch(docs, lambda b: shingles(Texts(b.column("text")), k)[1])
-    found, only = None, None
+    found, only, kept_at = None, None, []
     for order in range(orders):  # each order posts only what candidates under the one before may still need
-        now = cut(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, order, only), threshold, setjoin.CAP))
+        now, at = stored(setjoin.candidates(setjoin.postings(docs, units, codes, threshold, order, only), threshold, setjoin.CAP))
+        kept_at.append(at)
         release(docs)
         named = setjoin.of_kind(now, setjoin.PAIR, setjoin.PAIR_COLUMNS).select(F.explode(F.array("sig", "sig2")).alias("key"))
         only = setjoin.bitmap(named.unionByName(setjoin.open_rows(now).select(F.col("sig").alias("key"))))
@@ -79,6 +80,8 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     sure = sure.unionByName(cut(setjoin.verify(rest, sets, threshold)))
     open_rows = setjoin.open_rows(found)
     if open_rows.isEmpty():
+        for at in kept_at:
+            discard(docs.sparkSession, at)
         return sure
     # second round: what groups left open, between what is not yet connected
     open_rows = open_rows.join(labels(sure), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
@@ -86,6 +89,8 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     again = met.unionByName(setjoin.pairs_of(more))
     again = again.groupBy("sig", "sig2").agg(F.bit_or("bits").alias("bits"), *(F.min(c).alias(c) for c in ("doc", "line", "doc2", "line2")))
     again = cut(again.filter(every_order).join(met.filter(every_order).select("sig", "sig2"), ["sig", "sig2"], "left_anti"))
+    for at in kept_at:
+        discard(docs.sparkSession, at)
     if again.isEmpty():
         return sure
     sets = cut(setjoin.fetch_sets(again, docs, units))

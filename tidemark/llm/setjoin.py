@@ -37,8 +37,10 @@ SMALL = 256
 CAP = 2
 #: Signatures a map task remembers, to post each class once.
 SEEN = 500_000
+#: Documents up to which a list of their ids is sent to every task to select texts.
+FEW_DOCUMENTS = 300_000
 #: Candidate pairs that one NumPy step may hold.
-PAIRS = 4_000_000
+PAIRS = 1_000_000
 
 #: Columns of posted rows, all long. ``token`` names the group: the ranked token, mixed with its pair of blocks if it is
 #: split, or a class's signature. ``at`` has the set's size and the token's place, ``tail`` line and flags.
@@ -88,7 +90,7 @@ def sketch(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], text:
         for b in slices(batches, text, TEXT_CHARS):
             held.append((tokens(b) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
             n += len(held[-1])
-            if n > PAIRS:
+            if n > 4 * PAIRS:
                 total += np.bincount(np.concatenate(held), minlength=len(total))
                 held, n = [], 0
         if held:
@@ -404,6 +406,9 @@ def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, text: str = "text"
     """
     context = df.sparkSession.sparkContext
     named = cut(classes_of(pairs))
+    ids = named.select("doc").distinct().limit(FEW_DOCUMENTS + 1)
+    if ids.count() <= FEW_DOCUMENTS:  # a checked size
+        df = df.join(F.broadcast(ids), F.col("doc_id") == F.col("doc"), "left_semi")
     wanted = context.broadcast(bitmap(named.select(F.col("sig").alias("key"))))
     docs = context.broadcast(bitmap(named.select(F.xxhash64("doc").alias("key"))))
 
