@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,19 +94,24 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            texts, removed, left = [], [], []
-            for text, doc, keep in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("kept").to_pylist()):
-                lines, keep = (text or "").split("\n"), set(keep or [])
+            kept = pc.fill_null(pc.list_value_length(b.column("kept")), 0)
+            lines = pc.add(pc.count_substring(pc.fill_null(b.column("text"), ""), "\n"), 1)
+            # only where some line is not among the kept ones there is anything to look for
+            some = pc.and_(pc.not_equal(lines, kept), pc.is_valid(b.column("doc_id")))
+            at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            picked = b.take(pa.array(at))
+            removed: list[list[int]] = [[]] * b.num_rows
+            changed, texts = np.zeros(b.num_rows, bool), []
+            for r, text, keep in zip(at.tolist(), picked.column("text").to_pylist(), picked.column("kept").to_pylist()):
+                own, keep = (text or "").split("\n"), set(keep or [])
                 # bytes split and lower just as the units do: ASCII white space, A-Z
-                gone = [i for i, x in enumerate(lines) if i not in keep and len(set(x.encode().lower().split())) >= least_words] if doc is not None else []
+                gone = [i for i, x in enumerate(own) if i not in keep and len(x) >= 2 * least_words - 1 and len(set(x.encode().lower().split())) >= least_words]
                 if gone:
-                    out = set(gone)
-                    text = "\n".join(x for i, x in enumerate(lines) if i not in out)
-                texts.append(text)
-                removed.append(gone)
-                left.append(len(keep))
-            columns = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.int32())), pa.array(left, pa.int64())], names=[*names, "lines_removed", "lines_left"])
+                    removed[r], changed[r], out = gone, True, set(gone)
+                    texts.append("\n".join(x for i, x in enumerate(own) if i not in out))
+            text = pc.replace_with_mask(b.column("text"), pa.array(changed), pa.array(texts, b.schema.field("text").type))
+            columns = [text if c == "text" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.int32())), kept.cast(pa.int64())], names=[*names, "lines_removed", "lines_left"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.drop("kept").schema.fields)
     return work.select(*(f"`{c}`" for c in names), "kept").mapInArrow(run, f"{fields}, lines_removed array<int>, lines_left long")
@@ -116,3 +122,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", F.size("lines_removed").cast("long").alias("n_removed"), "lines_left", F.array_join(F.transform("lines_removed", lambda x: x.cast("string")), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+SQL = """
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as t, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) as i from documents),
+w as (select doc_id, i, t, list_distinct([x for x in string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+') if x <> '']) g from l),
+o as (select doc_id, i, list_sort(g) as h from w where len(g) >= 5),
+c as (select h as g, min((doc_id, i)) as f, len(h) as n from o group by h),
+u as (select f, n, unnest(g) t from c),
+m as (select distinct b.f from u a join u b on a.t = b.t and a.f < b.f and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      group by a.f, b.f, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+k as (select f from c where f not in (select f from m)),
+z as (select w.*, len(g) >= 5 as long, len(g) >= 5 and (doc_id, i) not in (select f from k) as gone from w)
+select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where long and not gone) as lines_left,
+       coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where gone), '') as removed,
+       sha256(coalesce(string_agg(t, chr(10) order by i) filter (where not gone), '')) as text_sha256 from z group by doc_id
+"""

@@ -127,3 +127,16 @@ def join_documents(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(tables(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
+
+
+SQL = """
+with recursive d as (select doc_id, [w for w in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+') if w <> ''] w from documents),
+s as (select doc_id, case when len(w) >= 3 then list_distinct([w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] for i in range(1, len(w) - 1)])
+                          when len(w) > 0 then [array_to_string(w, chr(1))] else cast([] as varchar[]) end g from d),
+x as (select doc_id, unnest(g) t, len(g) n from s),
+p as (select a.doc_id a, b.doc_id b from x a join x b on a.t = b.t and a.doc_id < b.doc_id
+      group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+r(doc_id, root) as (select doc_id, doc_id from s union select e.b, r.root from r join e on e.a = r.doc_id)
+select s.doc_id, cast(len(g) as bigint) as n_shingles, (select min(root) from r where r.doc_id = s.doc_id) as component_id from s
+"""

@@ -22,4 +22,6 @@ SQL = {
     "op2_secrets": secrets.SQL,
     "op4_chat": chat.SQL,
     "op6_topk": topk.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+    "op9_ngram_join": ngram_join.SQL,
 }
