@@ -104,6 +104,8 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["root"] for r in components(table, few=0).collect()}
+    assert got == {r["node"]: r["root"] for r in components(table).collect()}
     assert got == {x: find(x) for x in root if x in got} and set(got) >= {x for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0

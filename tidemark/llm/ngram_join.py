@@ -70,10 +70,11 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
     met = cut(setjoin.pairs_of(found))
     every_order = F.col("bits").bitwiseAND(full) == full
     pairs = met.filter(every_order)
+    # of long sets, most pairs that met by chance go here, before any set is moved
+    kept = cut(setjoin.sift(pairs, cut(setjoin.fetch_sets(pairs, docs, units, maps=True)), threshold))
+    pairs = cut(pairs.join(kept, ["sig", "sig2"], "left_semi"))
     sets = cut(setjoin.fetch_sets(pairs, docs, units))
     release(docs)
-    kept = cut(setjoin.sift(pairs, sets, threshold))  # of long sets, most pairs that met by chance go here
-    pairs = cut(pairs.join(kept, ["sig", "sig2"], "left_semi"))
     # one pair for each later class, then those pairs that the links found do not connect
     sure = cut(setjoin.verify(setjoin.earliest(pairs), sets, threshold))
     rest = unconnected(pairs.select("sig", "sig2").join(setjoin.earliest(pairs), ["sig", "sig2"], "left_anti"), sure)
@@ -93,8 +94,9 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
         discard(docs.sparkSession, at)
     if again.isEmpty():
         return sure
-    sets = cut(setjoin.fetch_sets(again, docs, units))
-    return sure.unionByName(cut(setjoin.verify(setjoin.sift(again, sets, threshold), sets, threshold)))
+    kept = cut(setjoin.sift(again, cut(setjoin.fetch_sets(again, docs, units, maps=True)), threshold))
+    again = cut(again.join(kept, ["sig", "sig2"], "left_semi"))
+    return sure.unionByName(cut(setjoin.verify(again, setjoin.fetch_sets(again, docs, units), threshold)))
 
 
 def labels(edges: DataFrame) -> DataFrame:

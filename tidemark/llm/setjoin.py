@@ -398,8 +398,8 @@ def classes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select("sig", "doc", "line").unionByName(later).groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("at")).select("sig", "at.doc", "at.line")
 
 
-def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, text: str = "text") -> DataFrame:
-    """sig, set (binary, ascending uint64) of the classes in pairs.
+def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, maps: bool = False, text: str = "text") -> DataFrame:
+    """sig, n, set (binary, ascending uint64) of the classes in pairs; with ``maps``, their parity maps for sets.
 
     Sets are made again, from the texts of the documents that pairs name: bit maps of
     bounded size keep most other texts out, and an exact join the rest.
@@ -420,13 +420,14 @@ def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, text: str = "text"
             doc, line, offsets, token = units(batch)
             sig, _, _ = signatures(offsets, token)
             pick = np.flatnonzero((np.diff(offsets) > 0) & has(wanted.value, signed(sig)))
-            sets = [token[offsets[i] : offsets[i + 1]].tobytes() for i in pick.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(sig[pick])), pa.array(doc[pick]), pa.array(line[pick]), pa.array(sets, pa.binary())], names=["sig", "doc", "line", "set"])
+            sets = [token[offsets[i] : offsets[i + 1]] for i in pick.tolist()]
+            sets = [(parity_map(x) if maps else x).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig[pick])), pa.array(doc[pick]), pa.array(line[pick]), pa.array(np.diff(offsets)[pick]), pa.array(sets, pa.binary())], names=["sig", "doc", "line", "n", "set"])
 
-    sets = df.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(fetch, "sig long, doc long, line long, `set` binary")
+    sets = df.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(fetch, "sig long, doc long, line long, n long, `set` binary")
     at = named.select("sig", F.col("doc").alias("d"), F.col("line").alias("l"))
     # of repeated rows of one document, one is enough
-    return sets.join(at, "sig").filter("doc = d and line = l").groupBy("sig").agg(F.first("set").alias("set"))
+    return sets.join(at, "sig").filter("doc = d and line = l").groupBy("sig").agg(F.first("n").alias("n"), F.first("set").alias("set"))
 
 
 def parity_map(token: np.ndarray) -> np.ndarray:
@@ -445,18 +446,9 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def sift(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+def sift(pairs: DataFrame, maps: DataFrame, threshold: Threshold) -> DataFrame:
     """Those of the pairs that may have the similarity by their parity maps, a fiftieth of their sets' size."""
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            maps, size = [], []
-            for x in b.column("set"):
-                token = np.frombuffer(x.as_buffer(), np.uint64)
-                maps.append(parity_map(token).tobytes())
-                size.append(len(token))
-            yield pa.RecordBatch.from_arrays([b.column("sig"), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], names=["sig", "n", "map"])
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = b.column("n1").to_numpy(), b.column("n2").to_numpy()
@@ -464,9 +456,8 @@ def sift(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
             good = [apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= d for x, y, d in zip(b.column("m1"), b.column("m2"), most.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(good, pa.bool_())) for c in ("sig", "sig2")], names=["sig", "sig2"])
 
-    maps = cut(sets.mapInArrow(shrink, "sig long, n long, map binary"))
-    left = pairs.select("sig", "sig2").join(maps.select("sig", F.col("n").alias("n1"), F.col("map").alias("m1")), "sig")
-    both = left.join(maps.select(F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("map").alias("m2")), "sig2")
+    left = pairs.select("sig", "sig2").join(maps.select("sig", F.col("n").alias("n1"), F.col("set").alias("m1")), "sig")
+    both = left.join(maps.select(F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("set").alias("m2")), "sig2")
     return both.select("sig", "sig2", "n1", "m1", "n2", "m2").mapInArrow(check, "sig long, sig2 long")
 
 

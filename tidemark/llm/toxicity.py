@@ -5,8 +5,9 @@ features for all thresholds theta_1 < theta_2. The expected severity is the sum
 these probabilities.
 
 Training uses a bounded sample of the labelled rows: of each class the
-``per_class`` labelled documents that come first by a hash of doc_id. Words are
-features if their presence tells the classes apart (chi-square over the sample);
+``per_class`` labelled documents that come first by a hash of doc_id. Words, and their
+first and last letters, are features if their presence tells the classes apart
+(chi-square over the sample);
 ``vocabulary`` bounds their number, so weights have a fixed size bound and are
 sent to every task. Labels tell toxic from clean only; toxic training documents
 get grade 2 instead of 1 if they hold more strongly toxic words than the median
@@ -35,18 +36,24 @@ from tidemark.llm.common import cut, encode_words, row_of, slices, tables
 
 PER_CLASS = 3_000
 VOCABULARY = 2_000
-#: Chi-square under which a word is no feature.
-LEAST_CHI2 = 30.0
+#: Chi-square under which a word is no feature: at least so much, and so much for each document of the sample.
+LEAST_CHI2 = (15.0, 0.01)
 OUT = ("p_toxic", "p_severe", "expected_severity", "grade", "toxic")
 
 WORD = re.compile(r"[^\W_]+")
 
 
+def forms(word: str) -> tuple[str, ...]:
+    """A word's features: itself, and of longer ones its first four and five and its last four letters, since words are also built from stems."""
+    return (word, f"{word[:4]}-", f"{word[:5]}-", f"-{word[-4:]}") if len(word) > 5 else (word,)
+
+
 @dataclass
 class OrdinalModel:
     words: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     thresholds: np.ndarray = field(default_factory=lambda: np.array([np.inf, np.inf]))
+    cutoff: float = 0.5  # of P(grade >= 1), from which on a document is toxic
 
 
 def features(texts: pa.Array, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +62,7 @@ def features(texts: pa.Array, words: dict[str, int]) -> tuple[np.ndarray, np.nda
     chunks: list[list[int]] = []
     at = np.full(len(names), -1, np.int64)
     for i, name in enumerate(names):
-        own = [words[w] for w in WORD.findall(name.lower()) if w in words]
+        own = sorted({words[f] for w in WORD.findall(name.lower()) for f in forms(w) if f in words})
         if own:
             at[i] = len(chunks)
             chunks.append(own)
@@ -78,7 +85,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, l2: float = 1e-4, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and two thresholds by gradient descent (Adam) on the cumulative-link likelihood, classes weighed alike."""
     n = len(grade)
     share = np.bincount(grade, minlength=3).astype(float)
@@ -115,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         for b in slices(batches, "text"):
             offsets, codes, names = encode_words(b.column("text"), lower=False)
             for i, (doc, y) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist())):
-                own = sorted({w for c in np.unique(codes[offsets[i] : offsets[i + 1]]) for w in WORD.findall(names[c].lower())} | {""})
+                own = sorted({f for c in np.unique(codes[offsets[i] : offsets[i + 1]]) for w in WORD.findall(names[c].lower()) for f in forms(w)} | {""})
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(own), pa.int64()), "y": pa.array([y] * len(own), pa.int32()), "word": pa.array(own, pa.string())})
 
     seen = cut(sample.mapInArrow(words, "doc_id long, y int, word string"))
@@ -126,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         return OrdinalModel()
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (F.lit(float(n1)) * n0 * (a + b) * F.greatest(F.lit(n1 + n0) - a - b, F.lit(0.5)))
-    chosen = count.filter((F.col("word") != "") & (F.col("a") + F.col("b") >= 5)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
+    chosen = count.filter((F.col("word") != "") & (F.col("a") + F.col("b") >= 5)).withColumn("chi2", chi2).filter(F.col("chi2") >= max(LEAST_CHI2[0], LEAST_CHI2[1] * (n1 + n0)))
     chosen = chosen.orderBy(F.desc("chi2"), "word").limit(vocabulary).collect()
     index = {r["word"]: i for i, r in enumerate(chosen)}
     rate = np.array([((r["a"] + 0.5) / (n1 + 1)) / ((r["b"] + 0.5) / (n0 + 1)) for r in chosen])
@@ -142,11 +149,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     if not len(index):
         return OrdinalModel()
     weights, thresholds = fit(row, feature, grade.astype(np.int64), len(index))
-    return OrdinalModel(index, weights, thresholds)
+    p = sigmoid(np.bincount(row, weights[feature], minlength=len(rows)) - thresholds[0])
+    # halfway, in proportion, between where nearly all clean ones end and nearly all toxic ones begin
+    low, high = np.quantile(p[grade == 0], 0.995), np.quantile(p[grade > 0], 0.005)
+    return OrdinalModel(index, weights, thresholds, min(0.5, max(0.05, float(np.sqrt(low * high)))) if low < high else 0.5)
 
 
-def grade_documents(docs: DataFrame, model: OrdinalModel, cutoff: float = 0.5, text: str = "text") -> DataFrame:
-    """All rows and columns plus p_toxic, p_severe, expected_severity, grade (thresholds passed with p >= cutoff) and toxic."""
+def grade_documents(docs: DataFrame, model: OrdinalModel, cutoff: float | None = None, text: str = "text") -> DataFrame:
+    """All rows and columns plus p_toxic, p_severe, expected_severity, grade and toxic (p_toxic reaches the model's cutoff, or the one given)."""
+    cutoff = model.cutoff if cutoff is None else cutoff
     rest = docs.drop(*OUT)
     fields = [*rest.schema.fields, *(T.StructField(n, t) for n, t in zip(OUT, (T.DoubleType(), T.DoubleType(), T.DoubleType(), T.IntegerType(), T.BooleanType())))]
 
@@ -155,7 +166,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, cutoff: float = 0.5, t
             row, f = features(b.column(text), model.words)
             z = np.bincount(row, model.weights[f], minlength=b.num_rows) if len(row) else np.zeros(b.num_rows)
             p = [np.where(np.isfinite(t), sigmoid(z - t), 0.0) for t in model.thresholds]
-            columns = [*p, p[0] + p[1], ((p[0] >= cutoff).astype(np.int32) + (p[1] >= cutoff)).astype(np.int32), p[0] >= cutoff]
+            columns = [*p, p[0] + p[1], ((p[0] >= cutoff).astype(np.int32) + ((p[0] >= cutoff) & (p[1] >= 0.5))).astype(np.int32), p[0] >= cutoff]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), *map(pa.array, columns)], names=[f.name for f in fields])
 
     return rest.mapInArrow(score, T.StructType(fields))
