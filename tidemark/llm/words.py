@@ -1,37 +1,45 @@
 """Words, lines and shingles of whole batches of texts, as 64-bit hashes in NumPy.
 
-A word's hash is a polynomial over its bytes, so the hashes of all words of a
-batch come from one running sum: (C[end] - C[start]) * R**-start modulo 2**64.
-Words lie between ASCII white space; A-Z count as a-z. Words are compared by
-their hashes.
+Words lie between ASCII white space; A-Z count as a-z. A word's hash takes its bytes
+eight at a time, for all words of a batch together; very long words are hashed
+alone. Words are compared by their hashes.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from tidemark.llm.common import mix
 
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INVERSE = pow(_R, -1, 1 << 64)
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-_BYTE = mix(_LOWER.astype(np.uint64) + np.uint64(0x1234567))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[int, np.ndarray] = {}
+#: Bytes from which on a word is hashed alone.
+LONG_WORD = 512
+
 
+def hash_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start on, A-Z as a-z."""
+    lower = np.zeros(len(data) + 8, np.uint8)
+    lower[:-8] = data + (((data - np.uint8(65)) < 26).view(np.uint8) << 5)  # A-Z only
+    eight = np.ndarray((len(data) + 1,), "<u8", lower, 0, (1,))  # at each place, the eight bytes from there on
+    multiplier, every = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFFFFFFFFFF)
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    known = _POWERS.get(base, np.ones(1, np.uint64))
-    while len(known) < n:
-        known = np.concatenate([known, known * np.uint64(pow(base, len(known), 1 << 64))])
-    if len(known) <= 1 << 23:
-        _POWERS[base] = known
-    return known[:n]
+    def part(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[at] & (every >> ((8 - np.minimum(left, 8)) << 3).astype(np.uint64))
+
+    with np.errstate(over="ignore"):
+        h = mix(size.astype(np.uint64) * multiplier + part(start, size))
+        rows = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        at, left = start[rows] + 8, size[rows] - 8
+        while len(rows):
+            h[rows] = mix(h[rows] * multiplier + part(at, left))
+            more = left > 8
+            rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] ^= np.uint64(int.from_bytes(blake2b(lower[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little"))
+    return h
 
 
 class Texts:
@@ -46,7 +54,7 @@ class Texts:
         self.data = np.frombuffer(data, np.uint8)[lo:hi] if data is not None and hi > lo else np.zeros(0, np.uint8)
         n = len(self.data)
         inside = np.ones(n + 1, bool)
-        inside[:n] = ~_SPACE[self.data]
+        inside[:n] = (self.data != 32) & ((self.data - np.uint8(9)) > 4)
         inside[n] = False
         before = np.zeros(n + 1, bool)
         before[1:] = inside[:-1]
@@ -54,10 +62,7 @@ class Texts:
         cut[self.edges] = True
         start = np.flatnonzero(inside & (~before | cut))
         end = np.flatnonzero(before & (~inside | cut))
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * powers(_R, n), out=total[1:])
-            self.hash = mix((total[end] - total[start]) * powers(_R_INVERSE, n)[start] + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+        self.hash = hash_spans(self.data, start, end - start)
         self.begin = start
         self.offsets = np.searchsorted(start, self.edges)
 
