@@ -28,7 +28,7 @@ from tidemark.llm.common import TEXT_CHARS, cut, mix, slices
 from tidemark.llm.words import distinct, signatures
 
 #: Counters of the frequency sketch (one byte each when sent to tasks).
-SKETCH_BITS = 23
+SKETCH_BITS = 22
 CHUNK_BITS = 14
 #: Sets in a block of a split token group.
 BLOCK = 8_192
@@ -36,11 +36,11 @@ BLOCK = 8_192
 SMALL = 256
 CAP = 2
 #: Signatures a map task remembers, to post each class once.
-SEEN = 500_000
+SEEN = 200_000
 #: Documents up to which a list of their ids is sent to every task to select texts.
 FEW_DOCUMENTS = 300_000
 #: Candidate pairs that one NumPy step may hold.
-PAIRS = 1_000_000
+PAIRS = 500_000
 
 #: Columns of posted rows, all long. ``token`` names the group: the ranked token, mixed with its pair of blocks if it is
 #: split, or a class's signature. ``at`` has the set's size and the token's place, ``tail`` line and flags.
