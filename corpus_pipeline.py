@@ -21,10 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line resembles; a document that such lines leave without any long enough line goes."""
+    """Documents without lines that an earlier line resembles; a document that such lines leave without any word goes."""
     out = line_dedup.dedup_lines(docs)
     lost = F.size("lines_removed") > 0
-    out = out.filter(~lost | (F.col("lines_left") > 0))
+    out = out.filter(~lost | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(lost, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tests.llm.helpers import DOCS, group_ids, shingle_set
+from tests.llm.helpers import DOCS, documents, group_ids, shingle_set
 from tests.llm.test_joins import expected_lines
 from tests.llm.test_packing import check, tokenizer  # noqa: F401
 
@@ -57,3 +57,10 @@ def test_stages_keep_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).schema == docs.schema
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "decontamination", "packing"]
+
+
+def test_short_lines_keep_their_document(spark, tmp_path):
+    shared = ["alpha beta gamma delta epsilon", "one two three four five six"]
+    texts = ["\n".join(shared), f"{shared[0]}\nOur own\nshort lines\n{shared[1]}", f"{shared[0]}\n \n{shared[1]}", shared[0]]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_lines(spark, documents(spark, texts), str(tmp_path)).collect()}
+    assert got == {0: (texts[0], len(texts[0])), 1: ("Our own\nshort lines", 19)}
