@@ -1,5 +1,11 @@
+import itertools
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from tests.llm.helpers import documents
 from tidemark.llm import decontamination as D
 
@@ -82,3 +88,42 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in D.remove(docs, b).collect()) == [(False, 1), (False, 2), (False, 4), (True, 0)]
     assert D.overlaps(docs.limit(0), b).count() == 0 and D.overlaps(docs, b.limit(0)).count() == 0
     assert D.remove(docs, b.limit(0)).count() == 7
+
+
+def exchanged(n):
+    """All sets of places of an item of n words of which SHARE lets others be exchanged."""
+    most = n - math.ceil(D.SHARE * n)
+    return [p for k in range(most + 1) for p in itertools.combinations(range(n), k)]
+
+
+@pytest.mark.parametrize("n", range(14, 25))
+def test_masks_meet_all_patterns(n):
+    p = np.array([sum(1 << i for i in x) for x in exchanged(n)])
+    met = np.zeros(len(p), bool)
+    for m in D.MASKS:
+        for at in range(n - len(m) + 1):
+            met |= p & (int(m[::-1], 2) << at) == 0
+    assert met.all()
+
+
+def found(n, patterns):
+    item = [f"q{i}" for i in range(n)]
+    texts = ["a b " + " ".join(f"x{i}" if i in p else w for i, w in enumerate(item)) + " c" for p in map(set, patterns)]
+    return {r for r, *_ in D.Index([7], [" ".join(item)]).overlaps(pa.array(texts), D.MIN_MATCHES, D.SHARE)}
+
+
+@pytest.mark.parametrize("n", range(8, 18))
+def test_all_patterns_are_found(n):
+    patterns, want = exchanged(n), set()
+    for k, p in enumerate(patterns):
+        equal = np.array([i not in p for i in range(n)])
+        start, end = D.best_segment(equal)
+        same = equal[start:end].sum()
+        if same >= min(D.MIN_MATCHES, D.SHARE * n) and same >= D.SHARE * (end - start):
+            want.add(k)
+    assert want and found(n, patterns) == want
+
+
+def test_every_fourth_word_exchanged():
+    for n in range(20, 101, 8):
+        assert found(n, [range(phase, n, 4) for phase in range(4)]) == {0, 1, 2, 3}

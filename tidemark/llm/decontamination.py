@@ -3,7 +3,10 @@
 Words are lower-cased, stripped of everything but letters and digits, and hashed.
 A seed is a fixed mask over SPAN places that ignores some of them; all masks are
 hashed at every place of test items and documents, so a shared passage gives a
-common seed even where words were exchanged. Each hit fixes an alignment (item,
+common seed even where words were exchanged: of 11 equal words or more, among
+which no more than every fourth is another one, some mask meets equal words only.
+Items of under LEAST_SEEDED words are cut into one part more than words may differ,
+so one of the parts is whole; these are their seeds. Each hit fixes an alignment (item,
 shift); along it the best-scoring segment (1 for an equal word, -1 for another)
 is the overlap. It counts if ``share`` of its words are equal, and ``min_matches`` in all,
 or ``share`` of the item where that is less.
@@ -21,6 +24,7 @@ columns pass through ``remove`` and are ignored by ``overlaps``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,10 +35,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import encode_words, hash_words, slices, tables
 
-#: Fixed masks over eight places: six count, two are ignored.
-MASKS = ("11100111", "11011011", "10111101", "11111100")
-SPAN = 8
+#: Fixed masks over eight places: five count, three are ignored. Found by search; tests go through all patterns that SHARE accepts.
+MASKS = ("11010011", "00101111", "11101100", "01110101")
 MIN_ITEM = 8
+#: Words from which on an accepted overlap has the 11 equal words that the masks need.
+LEAST_SEEDED = 14
 MIN_MATCHES = 12
 SHARE = 0.75
 SLICE_CHARS = 16_000_000
@@ -53,18 +58,25 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(keep)])[offsets], h
 
 
-def seeds(h: np.ndarray, mask: int) -> np.ndarray:
-    """The mask's hash at every place of h that has SPAN words from there on."""
-    n = max(0, len(h) - SPAN + 1)
-    acc = np.full(n, mask + 1, np.uint64)
+def seeds(h: np.ndarray, mask: str) -> np.ndarray:
+    """The mask's hash at every place of h that has its number of words from there on."""
+    n = max(0, len(h) - len(mask) + 1)
+    acc = np.full(n, int("1" + mask, 2), np.uint64)
     with np.errstate(over="ignore"):
-        for i, c in enumerate(MASKS[mask]):
+        for i, c in enumerate(mask):
             if c == "1":
                 acc = (acc * np.uint64(0x9E3779B97F4A7C15)) ^ h[i : i + n]
                 acc ^= acc >> np.uint64(29)
     return acc * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def parts(n: int) -> list[tuple[int, int]]:
+    """Start and end of the parts of an item of n words, one of which is whole in each overlap."""
+    count = n - math.ceil(SHARE * n) + 1
+    edges = [n * k // count for k in range(count + 1)]
+    return list(zip(edges, edges[1:]))
+
+
 def best_segment(equal: np.ndarray) -> tuple[int, int]:
     """Start and end of the segment with the highest score (equal 1, other -1)."""
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
@@ -80,16 +92,21 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str]):
         offsets, h = tokens(pa.array(texts, pa.large_string()))
         self.ids, self.words = [], []
+        self.masks: dict[str, None] = {}  # those in use
         found, item, place = [], [], []
         for i, doc in enumerate(ids):
             own = h[offsets[i] : offsets[i + 1]]
             if len(own) < MIN_ITEM:
                 continue
-            for m in range(len(MASKS)):
-                s = seeds(own, m)
+            if len(own) < LEAST_SEEDED:
+                new = [("1" * (b - a), a, seeds(own[a:b], "1" * (b - a))) for a, b in parts(len(own))]
+            else:
+                new = [(m, 0, seeds(own, m)) for m in MASKS]
+            for m, a, s in new:
+                self.masks[m] = None
                 found.append(s)
                 item.append(np.full(len(s), len(self.ids)))
-                place.append(np.arange(len(s)))
+                place.append(a + np.arange(len(s)))
             self.ids.append(doc)
             self.words.append(own)
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
@@ -99,26 +116,26 @@ class Index:
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[(self.seed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in h, item, place in item) of all common seeds."""
-        out = []
-        for m in range(len(MASKS)):
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place in h, item, place in item, words from there on) of all common seeds."""
+        out = [(np.zeros(0, np.int64),) * 4]
+        for m in self.masks:
             s = seeds(h, m)
             at = np.flatnonzero(self.maybe[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.seed, s[at], "left"), np.searchsorted(self.seed, s[at], "right")
             n = hi - lo
             k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append((np.repeat(at, n), self.item[k], self.place[k]))
+            out.append((np.repeat(at, n), self.item[k], self.place[k], np.full(len(k), len(m))))
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def overlaps(self, texts: pa.Array, min_matches: int, share: float) -> Iterator[tuple]:
         """(row, item id, start and end in the text's words, start and end in the item's, equal words)."""
         offsets, h = tokens(texts)
-        at, item, place = self.hits(h)
+        at, item, place, span = self.hits(h)
         if not len(at):
             return
         row = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + SPAN <= offsets[row + 1]
+        inside = at + span <= offsets[row + 1]
         shift = at - offsets[row] - place
         for r, i, d in np.unique(np.stack([row[inside], item[inside], shift[inside]]), axis=1).T.tolist():
             own, words = h[offsets[r] : offsets[r + 1]], self.words[i]
