@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line resembles; a document that such lines leave without any word goes."""
-    out = line_dedup.dedup_lines(docs)
+    """Documents without lines, of any length, that an earlier line resembles; a document that such lines leave without any word goes."""
+    out = line_dedup.dedup_lines(docs, least_words=1)
     lost = F.size("lines_removed") > 0
     out = out.filter(~lost | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
     if "n_chars" in docs.columns:

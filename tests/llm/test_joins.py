@@ -83,6 +83,14 @@ def test_lines_with_hot_tokens(spark, monkeypatch):
     check_lines(spark, line_texts(2, 40))
 
 
+def test_lines_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK", 8)
+    monkeypatch.setattr(setjoin, "SMALL", 4)
+    texts = line_texts(3, 40) + ["ODD one\none odd one", "w1 w2 w3\nw3 w1\n \nw1 w2 w3 w4\nw1 w2 w3 w4 w5"]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in dedup_lines(documents(spark, texts), least_words=1).collect()}
+    assert got == dict(enumerate(expected_lines(texts, least=1)))
+
+
 def test_lines_order_and_odd_rows(spark):
     line = "alpha beta gamma delta epsilon"
     docs = documents(spark, [line, "x\n" + line.upper(), (line,)]).sort("doc_id", ascending=False)

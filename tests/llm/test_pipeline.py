@@ -64,3 +64,9 @@ def test_short_lines_keep_their_document(spark, tmp_path):
     texts = ["\n".join(shared), f"{shared[0]}\nOur own\nshort lines\n{shared[1]}", f"{shared[0]}\n \n{shared[1]}", shared[0]]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_lines(spark, documents(spark, texts), str(tmp_path)).collect()}
     assert got == {0: (texts[0], len(texts[0])), 1: ("Our own\nshort lines", 19)}
+
+
+def test_short_lines_go_as_well(spark, tmp_path):
+    texts = ["All rights reserved.\nfirst", "one two three four\nRESERVED. all rights\n\nsecond", "all rights reserved.\nfirst", "five one two three four", "six one two", ""]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, documents(spark, texts), str(tmp_path)).collect()}
+    assert got == {0: texts[0], 1: "one two three four\n\nsecond", 4: texts[4], 5: ""}
