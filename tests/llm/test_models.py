@@ -29,6 +29,20 @@ def test_license_paragraphs(spark):
     assert licenses.scan_paragraphs(documents(spark, texts).limit(0)).count() == 0
 
 
+NOTICES = {
+    "mit": "Released under the MIT terms.", "apache-2.0": "Apache, Version 2.0", "gpl-2.0": "General Public version 2 only", "gpl-3.0": "GNU GPL v3.", "lgpl": "GNU Lesser General Public", "agpl": "under the terms of the GNU Affero General Public",
+    "mpl-2.0": "Mozilla Public v. 2.0.", "bsd": "Distributed under the BSD 3-Clause terms.", "isc": "Released under the ISC terms.", "cc-by": "Text is available under Creative Commons Attribution 4.0 International.",
+    "cc-by-sa": "Content available under CC BY-SA 4.0.", "cc-by-nc": "Available under CC BY-NC 4.0.", "public-domain": "CC0 1.0 Universal.", "proprietary": "No part of this publication may be reproduced",
+}
+
+
+def test_license_notices_without_the_word(spark):
+    assert NOTICES.keys() == licenses.TEMPLATES.keys() and not any("licen" in t.lower() for t in NOTICES.values())
+    texts = [*NOTICES.values(), "He sat in the shade of the tree.", "Distributed under MPL 2.0."]
+    got = {r["doc_id"]: r["family"] for r in licenses.scan_paragraphs(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(NOTICES)) | {len(NOTICES) + 1: "unknown"}
+
+
 def toxic_corpus(seed, n=400):
     rng = random.Random(seed)
     clean, bad = [f"word{i}" for i in range(80)], ["foul", "nasty", "awful", "vile"]

@@ -1,14 +1,16 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-Paragraphs (lines) that hold an anchor word are scored by a multinomial logistic
-regression over sparse word 1- and 2-grams, whose classes are licence families
-and ``unknown``. The model is trained once per process on variants of notice
+Paragraphs (lines) that hold an anchor word, or so many 2-grams of templates that
+one may confirm a family, are scored by a multinomial logistic regression over
+sparse word 1- and 2-grams, whose classes are licence families and ``unknown``. The model is trained once per process on variants of notice
 templates and on other sentences with the same words; its weights are a table of
 bounded size. A family counts where its probability passes a threshold that was
 set on held-out unknown sentences, and where a template of the family confirms
 it: the 2-grams of paragraph and template overlap by ``CONFIRM`` of the smaller set.
 
-Results for odd input: null and empty texts have no paragraphs with an anchor.
+Without an anchor word, only confirmed paragraphs are reported.
+
+Results for odd input: null and empty texts have no such paragraphs.
 Rows whose doc_id is null take no part in ``scan_paragraphs``. Repeated rows of one
 doc_id give repeated paragraph rows. An empty table gives no rows; other columns
 are ignored.
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tables
+from tidemark.llm.common import cut, tables
 
 #: Short notices of well-known licences, by family.
 TEMPLATES = {
@@ -53,7 +55,7 @@ OTHERS = [
     "The bar lost its license to serve drinks.", "Public work on the road was under way.", "The software was slow and the source of the error unknown.",
     "Released in spring, the film was free of charge for students.", "Copyright disputes between the two artists lasted for years.", "Licensed drivers may rent a car here.",
 ]
-ANCHOR = r"(?i)licen[sc]|copyright|rights reserved|public domain|permission|redistribut|gpl\b|\bcc0|apache 2|published by the free software|free software foundation"
+ANCHOR = r"(?i)licen[sc]|copyright|rights reserved|public domain|permission|redistribut|gpl\b|\bcc0|apache 2|published by the free software|free software foundation|creative commons|\bcc[ -]by\b|mozilla public|(?-i:\b(?:BSD|ISC|MPL)\b)"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CONFIRM = 0.5
 
@@ -76,6 +78,19 @@ def variants(rng: np.random.Generator, text: str, filler: list[str], n: int) ->
     return out
 
 
+def gate() -> tuple[str, list[str], list[str]]:
+    """What a paragraph needs to be confirmed by any template: a match of this pattern (in lower case), and one of the first 2-grams or two of the others, unless it has two in all."""
+    sets = [set(grams(t, (2,))) for ts in TEMPLATES.values() for t in ts]
+    every = set().union(*sets)
+    first: dict[str, dict[str, set[str]]] = {}
+    for a, b in (g.split(" ") for g in every):
+        first.setdefault(a[0], {}).setdefault(a[1:], set()).add(b)
+    join = lambda parts: f"(?:{'|'.join(sorted(parts))})"
+    tree = join(c + join(f"{re.escape(rest)}[^a-z0-9]+{join(map(re.escape, b))}" for rest, b in words.items()) for c, words in first.items())
+    few = set().union(*(s for s in sets if CONFIRM * len(s) <= 1))
+    return f"(?<![a-z0-9]){tree}", sorted(few), sorted(every)
+
+
 @dataclass(frozen=True)
 class LicenseModel:
     grams: tuple[str, ...]
@@ -149,10 +164,14 @@ def gram_column(text: Column, sizes: tuple[int, ...]) -> Column:
 
 
 def scan_paragraphs(docs: DataFrame, model: LicenseModel | None = None, text: str = "text") -> DataFrame:
-    """A row per paragraph with an anchor: doc_id, paragraph, content, family, probability, similarity, confirmed."""
+    """A row per paragraph with an anchor or confirmed: doc_id, paragraph, content, family, probability, similarity, confirmed."""
     spark, model = docs.sparkSession, model or trained()
-    keep = docs.filter(F.col("doc_id").isNotNull() & F.col(text).rlike(ANCHOR)).select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "content"))
-    keep = keep.filter(F.col("content").rlike(ANCHOR))
+    pattern, few, every = gate()
+    some = lambda c: F.lower(c).rlike(pattern)
+    keep = docs.filter(F.col("doc_id").isNotNull() & (some(F.col(text)) | F.col(text).rlike(ANCHOR))).select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "content"))
+    two, content = gram_column(F.col("content"), (2,)), F.col("content")
+    enough = (F.size(two) <= 2) | F.arrays_overlap(two, F.array(*map(F.lit, few))) | (F.size(F.array_intersect(two, F.array(*map(F.lit, every)))) >= 2)
+    keep = keep.filter(content.rlike(ANCHOR) | (some(content) & enough))
     weights = spark.createDataFrame([(g, [float(x) for x in model.weights[i]]) for i, g in enumerate(model.grams)], "gram string, w array<double>")
     forms = [(f, k, g) for f, ts in TEMPLATES.items() for k, t in enumerate(ts) for g in grams(t, (2,))]
     size = {}
@@ -161,7 +180,7 @@ def scan_paragraphs(docs: DataFrame, model: LicenseModel | None = None, text: st
     templates = spark.createDataFrame([(g, f, k, size[f, k]) for f, k, g in forms], "gram string, tfamily string, template int, tsize int")
     keys = ["doc_id", "paragraph"]
     # both tables on the right are of fixed size: model and templates
-    one = keep.groupBy(*keys).agg(F.min("content").alias("content"))
+    one = cut(keep.groupBy(*keys).agg(F.min("content").alias("content")))
     pairs = one.select(*keys, F.explode(gram_column(F.col("content"), (1, 2))).alias("gram")).join(F.broadcast(weights), "gram")
     n = len(FAMILIES)
     score = pairs.groupBy(*keys).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)))
@@ -177,7 +196,7 @@ def scan_paragraphs(docs: DataFrame, model: LicenseModel | None = None, text: st
     meet = meet.groupBy(*keys, "template").agg((F.count("*") / F.least(F.max("psize"), F.max("tsize"))).alias("s")).groupBy(*keys).agg(F.max("s").alias("similarity"))
     out = scored.join(meet, keys, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     sure = (F.col("guess") != "unknown") & (F.col("similarity") >= CONFIRM)
-    return out.select(*keys, "content", F.when(sure, F.col("guess")).otherwise("unknown").alias("family"), "probability", "similarity", sure.alias("confirmed"))
+    return out.filter(sure | content.rlike(ANCHOR)).select(*keys, "content", F.when(sure, F.col("guess")).otherwise("unknown").alias("family"), "probability", "similarity", sure.alias("confirmed"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
