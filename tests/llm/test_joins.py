@@ -1,7 +1,10 @@
 """Line dedup, the n-gram join and components, against all pairs."""
 
+import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import corpus, documents, group_ids, shingle_set, similar, words
@@ -9,6 +12,7 @@ from tidemark.llm import setjoin
 from tidemark.llm.components import components
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import join_documents
+from tidemark.llm.words import distinct
 
 ODD = ["", None, " \n ", "one", "one", "ONE two", "a b c", "A b\tc", "x " * 30000, "x " * 30000 + "y"]
 
@@ -36,6 +40,70 @@ def test_join_with_hot_tokens(spark, monkeypatch):
     check_join(spark, corpus(8, n=150, vocabulary=300, length=(30, 40)), 2, 70, 100)
 
 
+def shrink(monkeypatch, **sizes):
+    for name, n in dict(BLOCK=8, SMALL=4, CHUNK=50, CHUNK_MAPS=20, OPEN_BLOCK=5, MAP_FROM=10, LIMIT=12).items():
+        monkeypatch.setattr(setjoin, name, sizes.get(name, n))
+
+
+@pytest.mark.parametrize("cap, limit", [(1, 12), (2, 1000), (2, 3)])
+def test_second_round(spark, monkeypatch, cap, limit):
+    """Groups that are cut off or too large, dealt anew, with parity maps: families of near copies whose pairs lie on both sides of the threshold."""
+    shrink(monkeypatch, LIMIT=limit)
+    monkeypatch.setattr(setjoin, "CAP", cap)
+    rng = random.Random(cap + limit)
+    texts = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(60 + 30 * family)]
+        for rate in rng.choices([0.01, 0.05, 0.09], k=30):
+            own = [w if rng.random() > rate else rng.choice(["the", "of", f"x{rng.randint(0, 99)}"]) for w in base]
+            texts.append(" ".join(own))
+    group = check_join(spark, texts, 1, 88, 100)
+    assert 8 < len(set(group.values())) < 110
+    check_lines(spark, ["\n".join(texts[i : i + 3]) for i in range(0, 120, 3)])
+
+
+def test_groups_of_any_size():
+    """Pieces of too large tokens are marked, class rows collapse to their first unit, nothing else is lost."""
+    rng = random.Random(3)
+    tokens = sorted([*range(40)] + [7] * 100 + [19] * 55 + [rng.randint(0, 40) for _ in range(60)])
+    rows = [(t, 0, setjoin.IS_CLASS if t == 19 else 0, 1 if t == 19 else i, 0, 0, i) for i, t in enumerate(tokens)]
+    for step in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[lo : lo + step])], names=list(setjoin.POSTING)) for lo in range(0, len(rows), step)]
+        seen = []
+        for large, g in setjoin.groups(iter(batches), 20, 30):
+            assert not large or set(g["token"].tolist()) == {7}
+            seen += list(zip(g["token"].tolist(), g["doc"].tolist()))
+        if step < 1000:
+            assert len([1 for t, _ in seen if t == 19]) < 55
+        want = [(r[0], r[6]) for r in rows]
+        first = min(w for w in want if w[0] == 19)
+        assert [w for w in seen if w[0] != 19] == [w for w in want if w[0] != 19] and first in seen
+
+
+def test_tokens_that_share_their_first_bits():
+    """Sets come in the order of whole tokens, whatever the order they are met in."""
+    a, b, c = (np.uint64((77 << 40) + x) for x in (5, 9, 1 << 23))
+    for order in itertools.permutations([a, b, c, a, b, a]):
+        offsets, token = distinct(np.zeros(6, np.int64), np.array(order, np.uint64), 1)
+        assert token.tolist() == [a, b, c] and offsets.tolist() == [0, 3]
+    row = np.array([(1 << 24) + 5, 0, (1 << 24) + 5, 1 << 24])
+    offsets, token = distinct(row, np.array([b, c, a, a], np.uint64), (1 << 24) + 6)
+    assert token.tolist() == [c, a, a, b] and offsets[-1] == 4
+
+
+def test_ordinary_tokens_are_not_dealt_out():
+    """In a sketch whose every bucket holds a thousand tokens, only what stands out is split."""
+    counts = np.random.default_rng(0).poisson(50_000, 4096).astype(float)
+    counts[7] += 400_000
+    codes = np.floor(8 * np.log2(counts + 1)).astype(np.uint8)
+    blocks = setjoin.hot_blocks(codes)[codes]
+    assert np.delete(blocks, 7).max() == 1 and blocks[7] >= 400_000 / setjoin.BLOCK
+    few = np.zeros(4096)
+    few[:5] = [3 * setjoin.BLOCK, 10, setjoin.BLOCK // 2, 1, 1]
+    codes = np.floor(8 * np.log2(few + 1)).astype(np.uint8)
+    assert setjoin.hot_blocks(codes)[codes][:5].tolist() == [3, 1, 1, 1, 1]
+
+
 def test_join_odd_rows(spark):
     df = documents(spark, ["a b c d e f", ("a b c d e f",), "a b c d e f"]).unionByName(documents(spark, ["a b c d e f"]))
     rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in join_documents(df.withColumnRenamed("lang", "component_id")).collect())

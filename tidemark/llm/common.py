@@ -7,6 +7,7 @@ per-word work is NumPy on integer codes.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -68,6 +69,19 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
+def trim() -> None:
+    """Give memory that this process has freed back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``text`` holds about so many bytes at most (a row is never cut)."""
     for b in batches:
@@ -78,6 +92,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             yield b.slice(lo, hi - lo)
+        del b, size, part
+    trim()
 
 
 def encode_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:

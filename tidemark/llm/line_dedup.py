@@ -65,7 +65,8 @@ def join_lines(found: DataFrame, docs: DataFrame, units: setjoin.Units, threshol
         return first, sure
     # second round: classes that none of their first candidates matched, against all others of these groups
     rows = rows.join(sure.withColumn("done", F.lit(True)), "sig", "left").withColumn("label", F.when(F.col("done"), F.lit(0).cast("long")).otherwise(F.col("sig"))).drop("done")
-    more = setjoin.pairs_of(setjoin.candidates(rows.select(*setjoin.POSTING, "label"), threshold, None))
+    maps = lambda long: setjoin.fetch_sets(long, docs, units, maps=True, bits=setjoin.MAP_BITS)
+    more = setjoin.pairs_of(setjoin.candidates(setjoin.reopened(rows, maps), threshold, None))
     more = cut(more.join(pairs.select("sig", "sig2"), ["sig", "sig2"], "left_anti"))
     if more.isEmpty():
         return first, sure

@@ -86,7 +86,8 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
         return sure
     # second round: what groups left open, between what is not yet connected
     open_rows = open_rows.join(labels(sure), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    more = setjoin.candidates(open_rows.select(*setjoin.POSTING, "label"), threshold, None)
+    maps = lambda long: setjoin.fetch_sets(long, docs, units, maps=True, bits=setjoin.MAP_BITS)
+    more = setjoin.candidates(setjoin.reopened(open_rows, maps), threshold, None)
     again = met.unionByName(setjoin.pairs_of(more))
     again = again.groupBy("sig", "sig2").agg(F.bit_or("bits").alias("bits"), *(F.min(c).alias(c) for c in ("doc", "line", "doc2", "line2")))
     again = cut(again.filter(every_order).join(met.filter(every_order).select("sig", "sig2"), ["sig", "sig2"], "left_anti"))
@@ -94,8 +95,6 @@ def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = O
         discard(docs.sparkSession, at)
     if again.isEmpty():
         return sure
-    kept = cut(setjoin.sift(again, cut(setjoin.fetch_sets(again, docs, units, maps=True)), threshold))
-    again = cut(again.join(kept, ["sig", "sig2"], "left_semi"))
     return sure.unionByName(cut(setjoin.verify(again, setjoin.fetch_sets(again, docs, units), threshold)))
 
 

@@ -9,9 +9,12 @@ far two sets differ.
 
 A group of one token may be large. Each class then gets only its CAP earliest
 candidates from it; the group's rows are kept as *open* rows and gone through
-again once the first links are known, for what these left open. Tokens that
-very many sets hold, by a sketch of all counts, are dealt to pairs of blocks
-from the start, so no group is larger than two blocks and no pair is lost.
+again once the first links are known, for what these left open: dealt to pairs of
+blocks by exact counts of their tokens, groups that links have made one are left out, and
+parity maps as large as the sets need them go along, so that hardly more pairs
+leave a group than have the similarity. Tokens that very many sets hold, by a
+sketch of all counts, are dealt to pairs of blocks from the start; a group that
+is too large all the same becomes open rows as a whole. No pair is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TEXT_CHARS, cut, mix, slices
+from tidemark.llm.common import TEXT_CHARS, cut, mix, slices, trim
 from tidemark.llm.words import distinct, signatures
 
 #: Counters of the frequency sketch (one byte each when sent to tasks).
@@ -36,11 +39,19 @@ BLOCK = 8_192
 SMALL = 256
 CAP = 2
 #: Signatures a map task remembers, to post each class once.
-SEEN = 200_000
+SEEN = 50_000
 #: Documents up to which a list of their ids is sent to every task to select texts.
 FEW_DOCUMENTS = 300_000
+#: Rows of a block in the second round.
+OPEN_BLOCK = 1_024
+#: Posted rows of one token from which on a group is not paired in the first round.
+LIMIT = 3 * BLOCK
 #: Candidate pairs that one NumPy step may hold.
-PAIRS = 500_000
+PAIRS = 250_000
+#: Bytes of maps that one NumPy step may hold.
+MAP_BYTES = 4_000_000
+#: Sets of more tokens have a parity map of their own in the second round, of so many bits at most.
+MAP_FROM, MAP_BITS = 64, 2_048
 
 #: Columns of posted rows, all long. ``token`` names the group: the ranked token, mixed with its pair of blocks if it is
 #: split, or a class's signature. ``at`` has the set's size and the token's place, ``tail`` line and flags.
@@ -53,8 +64,9 @@ PAIR, OPEN, CLASS = 0, 1, 2
 PAIR_COLUMNS = ("bits", "line", "line2", "sig", "doc", "sig2", "doc2")
 FOUND = ("kind", *(f"c{i}" for i in range(7)))
 FOUND_SCHEMA = ", ".join(f"{c} long" for c in FOUND)
-#: Posted rows that are taken together, at least.
-CHUNK = 250_000
+#: Posted rows that are taken together, at least; with parity maps, fewer.
+CHUNK, CHUNK_MAPS = 125_000, 50_000
+BITMAP_BITS = 27
 
 Units = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 """From a batch: (doc by unit, line by unit, token offsets by unit, each unit's distinct tokens in ascending order)."""
@@ -130,12 +142,24 @@ def ordered_by(order: int, token: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (code << np.uint64(56)) | (mix(token + np.uint64(order)) >> np.uint64(8))
 
 
+def hot_blocks(codes: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """For each code of a sketch, into how many blocks its tokens are dealt.
+
+    A bucket is shared by many tokens when there are far more of them than buckets. So
+    only what stands out counts: above the median bucket twice over, and less that median.
+    """
+    count = 2 ** (np.arange(256) / 8) - 1
+    floor = count[int(np.median(codes))]
+    return np.where(count > max(block, 2 * floor), np.ceil((count - floor) / block), 1).astype(np.int64)
+
+
 def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshold, order: int = 0, only: np.ndarray | None = None, drop_single: bool = False, class_rows: bool = False, text: str = "text") -> DataFrame:
     """The prefix rows under one order of all classes (those that the bit map ``only`` may hold), each once per map task, and again where an earlier unit of it turns up.
 
     With ``class_rows``, also a row for each class itself.
     """
     sent = df.sparkSession.sparkContext.broadcast((codes, only))  # sizes are fixed by SKETCH_BITS and bitmap()
+    blocks_of = hot_blocks(codes)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple] = {}
@@ -165,8 +189,8 @@ def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshol
             u, pos, ranked = u[keep], pos[keep], ranked[keep]
             code = ranked >> np.uint64(56)
             tail = np.full(len(u), order)
-            if len(code) and code.max() > 8 * np.log2(BLOCK):
-                blocks = np.maximum(1, np.ceil((2 ** (code / 8)) / BLOCK)).astype(np.int64)
+            blocks = blocks_of[code.astype(np.int64)]
+            if len(code) and blocks.max() > 1:
                 side = (mix(sig[u] + np.uint64(5)) % blocks.astype(np.uint64)).astype(np.int64)
                 r = np.repeat(np.arange(len(u)), blocks)
                 other = np.arange(len(r)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -185,23 +209,60 @@ def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshol
     return df.mapInArrow(post, POSTING_SCHEMA)
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Rows sorted by token as columns, cut only between tokens."""
+def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return parts[0] if len(parts) == 1 else {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def groups(batches: Iterator[pa.RecordBatch], chunk: int, limit: int) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
+    """Rows sorted by token as columns, cut only between tokens.
+
+    A token of more than ``limit`` rows comes in pieces that are marked True. Of a class's
+    rows, which also have a token of their own, the earliest is kept instead.
+    """
     held: list[dict[str, np.ndarray]] = []
-    n = 0
+    n, most, inside = 0, max(chunk, limit), None  # inside: the token whose pieces are under way
     for b in batches:
         if b.num_rows:
             held.append({k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names})
             n += b.num_rows
-        if n < CHUNK:
+        while held and inside is not None:
+            rest = joined(held)
+            end = int(np.searchsorted(rest["token"], inside, side="right"))
+            if end:
+                yield True, {k: v[:end] for k, v in rest.items()}
+            if end < len(rest["token"]):
+                inside = None
+                held, n = [{k: v[end:] for k, v in rest.items()}], n - end
+            else:
+                held, n = [], 0
+        if n < chunk:
             continue
-        rest = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        rest = joined(held)
         end = int(np.searchsorted(rest["token"], rest["token"][-1]))
         if end:
-            yield {k: v[:end] for k, v in rest.items()}
-        held, n = [{k: v[end:] for k, v in rest.items()}], n - end
+            yield False, {k: v[:end] for k, v in rest.items()}
+            rest, n = {k: v[end:] for k, v in rest.items()}, n - end
+        if n > most:
+            if (rest["tail"] & IS_CLASS).all():
+                rest = first_units(rest)
+                n = len(rest["token"])
+            else:
+                inside = rest["token"][0]
+                yield True, rest
+                held, n = [], 0
+                continue
+        held = [rest]
     if held:
-        yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        yield False, joined(held)
+    held.clear()
+    trim()
+
+
+def first_units(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of class rows, each class's earliest unit."""
+    order = np.lexsort((rows["tail"], rows["doc"], rows["sig"]))
+    order = order[changes(rows["sig"][order])]
+    return {k: v[order] for k, v in rows.items()}
 
 
 def pair_indices(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -220,6 +281,44 @@ def pair_indices(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo = hi
 
 
+class Maps:
+    """Parity maps of rows (bytes, of powers of two; None: no map)."""
+
+    def __init__(self, column: np.ndarray):
+        self.size = np.array([0 if x is None else len(x) for x in column], np.int64)
+        self.place = np.zeros(len(column), np.int64)
+        self.words: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size[self.size > 0]).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.place[at] = np.arange(len(at))
+            self.words[size] = np.frombuffer(b"".join(column[at].tolist()), np.uint64).reshape(len(at), size // 8)
+
+    def taken(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The rows' maps, folded to a size none of theirs is under."""
+        out = np.zeros((len(at), size // 8), np.uint64)
+        for own, words in self.words.items():
+            k = np.flatnonzero(self.size[at] == own)
+            if len(k):
+                part = words[self.place[at[k]]]
+                while part.shape[1] > size // 8:
+                    half = part.shape[1] // 2
+                    part = part[:, :half] ^ part[:, half:]
+                out[k] = part
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which pairs' maps differ in so many bits at most."""
+        size = np.minimum(self.size[i], self.size[j])
+        ok = np.ones(len(i), bool)
+        for s in np.unique(size[size > 0]).tolist():
+            k = np.flatnonzero(size == s)
+            step = max(1, MAP_BYTES // s)
+            for lo in range(0, len(k), step):
+                p = k[lo : lo + step]
+                ok[p] = np.bitwise_count(self.taken(i[p], s) ^ self.taken(j[p], s)).sum(axis=1) <= most[p]
+        return ok
+
+
 class Group:
     """Rows of one or many token groups, and the filters that candidates among them must pass."""
 
@@ -230,6 +329,7 @@ class Group:
         self.b0, self.b1 = rows["b0"].view(np.uint64), rows["b1"].view(np.uint64)
         self.cross = (rows["tail"] & IS_CROSS) != 0
         self.label = rows.get("label")
+        self.maps = Maps(rows["map"]) if "map" in rows else None
 
     def passing(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the index pairs that pass, as (earlier, later)."""
@@ -244,10 +344,16 @@ class Group:
         apart = np.bitwise_count(self.b0[i] ^ self.b0[j]).astype(np.int64) + np.bitwise_count(self.b1[i] ^ self.b1[j])
         ok = apart <= n[i] + n[j] - 2 * need
         i, j = i[ok], j[ok]
+        if self.label is not None:
+            ok = self.label[i] != self.label[j]
+            i, j = i[ok], j[ok]
+        if self.maps is not None and len(i):
+            ok = self.maps.near(i, j, n[i] + n[j] - 2 * self.t.overlap(n[i], n[j]))
+            i, j = i[ok], j[ok]
         swap = (r["doc"][j] < r["doc"][i]) | ((r["doc"][j] == r["doc"][i]) & (self.line[j] < self.line[i]))
         a, b = np.where(swap, j, i), np.where(swap, i, j)
         if self.label is not None:
-            ok = (self.label[a] != self.label[b]) & (self.label[b] != 0)
+            ok = self.label[b] != 0
             a, b = a[ok], b[ok]
         return a, b
 
@@ -306,24 +412,72 @@ def found_rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000].astype(np.int64, copy=False)) for c in full], names=list(FOUND))
 
 
+def runs(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive groups with at most PAIRS pairs together, or one."""
+    total = np.cumsum(size * (size - 1) // 2)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> DataFrame:
     """PAIR rows (the earlier unit's class in sig, doc, line; the later one's in sig2 ...) that pass all filters.
 
     ``bits`` tells under which orders a pair was met; all bits where a cap may have hidden
-    it from others. With a cap, also OPEN rows: those of groups where it cut something off.
+    it from others. With a cap, also OPEN rows: those of groups where it cut something off,
+    or of more than LIMIT rows, which make no pairs here.
     Rows with a column ``label`` make no pairs of equal labels, nor pairs whose later class has
-    label 0. Class rows come out once per class (CLASS), with the first unit.
+    label 0; parity maps in a column ``map`` are one more filter. Class rows come out once per class (CLASS), with the first unit.
     """
+    chunk, limit = CHUNK_MAPS if "map" in posted.columns else CHUNK, LIMIT if cap is not None else 1 << 62
+
+    def paired(g: dict[str, np.ndarray], size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Groups that may be paired together."""
+        number = np.repeat(np.arange(len(size)), size)
+        group = Group(g, threshold)
+        begin = np.cumsum(size) - size
+        if size[0] <= SMALL:
+            parts = group.small(size, np.arange(len(number)))
+        else:
+            parts = group.large(np.arange(begin[0], begin[0] + size[0]), cap)
+        order = g["tail"] & ORDER_MASK
+        if cap is None:
+            for a, b in parts:
+                if len(a):
+                    first = np.lexsort((order[b], g["sig"][b], g["sig"][a]))
+                    a, b = a[first], b[first]
+                    new = changes(g["sig"][a], g["sig"][b], order[b])
+                    a, b = a[new], b[new]
+                    yield from found_rows(PAIR, 1 << order[b], group.line[a], group.line[b], g["sig"][a], g["doc"][a], g["sig"][b], g["doc"][b])
+            return
+        a, b = (np.concatenate(x) for x in zip(*parts))
+        over = np.zeros(len(size), bool)
+        if len(a):
+            by = np.lexsort((group.line[a], g["doc"][a], b))
+            a, b = a[by], b[by]
+            start = changes(b)
+            rank = np.arange(len(b)) - np.maximum.accumulate(np.where(start, np.arange(len(b)), 0))
+            # a row that reached the cap may have more; a small group tells for sure
+            over[number[b[rank >= cap]]] = True
+            over[number[b[(rank == cap - 1) & (size[number[b]] > SMALL)]]] = True
+            a, b = a[rank < cap], b[rank < cap]
+        bits = np.where(over[number[b]], -1, 1 << order[b])
+        yield from found_rows(PAIR, bits, group.line[a], group.line[b], g["sig"][a], g["doc"][a], g["sig"][b], g["doc"][b])
+        r = np.flatnonzero(over[number])
+        yield from found_rows(OPEN, *(g[k][r] for k in POSTING))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches):
+        for too_large, g in groups(batches, chunk, limit):
             is_class = (g["tail"] & IS_CLASS) != 0
             if is_class.any():
-                c = {k: v[is_class] for k, v in g.items()}
-                order = np.lexsort((c["tail"], c["doc"], c["sig"]))
-                order = order[changes(c["sig"][order])]
-                yield from found_rows(CLASS, c["sig"][order], c["doc"][order], c["tail"][order] >> LINE_SHIFT)
+                c = first_units({k: v[is_class] for k, v in g.items()})
+                yield from found_rows(CLASS, c["sig"], c["doc"], c["tail"] >> LINE_SHIFT)
                 g = {k: v[~is_class] for k, v in g.items()}
+            if too_large:
+                yield from found_rows(OPEN, *(g[k] for k in POSTING))
+                continue
             if not len(g["token"]):
                 continue
             g, size = several(g)
@@ -333,35 +487,45 @@ def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> Data
             order = np.lexsort((g["tail"], g["doc"], g["sig"], np.repeat(np.arange(len(size)), size)))
             order = order[changes(g["token"][order], g["sig"][order])]
             g, size = several({k: v[order] for k, v in g.items()})
-            if not len(size):
-                continue
-            number = np.repeat(np.arange(len(size)), size)
-            group = Group(g, threshold)
-            small = np.flatnonzero((size <= SMALL)[number])
-            parts = [*group.small(size[size <= SMALL], small)]
-            begin = np.cumsum(size) - size
-            for k in np.flatnonzero(size > SMALL):
-                parts += group.large(np.arange(begin[k], begin[k] + size[k]), cap)
-            a, b = (np.concatenate(x) for x in zip(*parts))
-            over = np.zeros(len(size), bool)
-            if cap is not None and len(a):
-                order = np.lexsort((group.line[a], g["doc"][a], b))
-                a, b = a[order], b[order]
-                start = changes(b)
-                rank = np.arange(len(b)) - np.maximum.accumulate(np.where(start, np.arange(len(b)), 0))
-                # a row that reached the cap may have more; a small group tells for sure
-                over[number[b[rank >= cap]]] = True
-                over[number[b[(rank == cap - 1) & (size[number[b]] > SMALL)]]] = True
-                a, b = a[rank < cap], b[rank < cap]
-            bits = np.where(over[number[b]], -1, 1 << (g["tail"][b] & ORDER_MASK))
-            yield from found_rows(PAIR, bits, group.line[a], group.line[b], g["sig"][a], g["doc"][a], g["sig"][b], g["doc"][b])
-            r = np.flatnonzero(over[number])
-            yield from found_rows(OPEN, *(g[k][r] for k in POSTING))
+            begin = np.append(np.cumsum(size) - size, size.sum())
+            at = 0
+            for large in [*np.flatnonzero(size > SMALL).tolist(), len(size)]:
+                spans = [(at + lo, at + hi) for lo, hi in runs(size[at:large])]
+                for lo, hi in [*spans, *[(large, large + 1)] * (large < len(size))]:
+                    own = {k: v[begin[lo] : begin[hi]] for k, v in g.items()}
+                    if size[lo] > limit:
+                        yield from found_rows(OPEN, *(own[k] for k in POSTING))
+                    else:
+                        yield from paired(own, size[lo:hi])
+                at = large + 1
 
     # one sort column, which Spark sorts by radix
     return posted.repartition("token").sortWithinPartitions("token").mapInArrow(run, FOUND_SCHEMA)
 
 
+def reopened(rows: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Open rows (with ``label``) as the second round takes them.
+
+    Groups of one label are done and go. The others are dealt to pairs of blocks by their exact
+    counts. Classes of more than MAP_FROM tokens get parity maps, by ``sets`` from pairs of them.
+    """
+    size = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token", "rows")
+    rows = cut(rows.join(size, "token"))
+    blocks = F.ceil(F.col("rows") / OPEN_BLOCK)
+    rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("sig", F.lit(5)), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    mark = F.when(F.col("side") != F.col("other"), IS_CROSS).otherwise(0) + F.when(F.col("side") > F.col("other"), IS_SECOND).otherwise(0)
+    plain = F.col("tail").bitwiseAND(F.lit(~(IS_CROSS | IS_SECOND)))
+    dealt = rows.withColumns({
+        "token": F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("side", "other"), F.greatest("side", "other"))),
+        "tail": F.when(F.col("blocks") == 1, F.col("tail")).otherwise(plain + mark),
+    }).select(*POSTING, "label")
+    long = rows.filter(F.shiftright("at", 32) > MAP_FROM).groupBy("sig").agg(F.min(F.struct("doc", F.shiftright("tail", LINE_SHIFT).alias("line"))).alias("x"))
+    # each such class once, as a pair with itself
+    long = cut(long.select("sig", "x.doc", "x.line", F.col("sig").alias("sig2"), F.col("x.doc").alias("doc2"), F.col("x.line").alias("line2")))
+    maps = sets(long).select("sig", F.col("set").alias("map")) if not long.isEmpty() else None
+    return dealt.withColumn("map", F.lit(None).cast("binary")) if maps is None else dealt.join(cut(maps), "sig", "left").select(*POSTING, "label", "map")
+
+
 def of_kind(found: DataFrame, kind: int, names: tuple[str, ...]) -> DataFrame:
     return found.filter(F.col("kind") == kind).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
@@ -376,8 +540,14 @@ def open_rows(found: DataFrame) -> DataFrame:
     return of_kind(found, OPEN, POSTING)
 
 
-def bitmap(keys: DataFrame, bits: int = 24) -> np.ndarray:
-    """A bit for each bucket that a key (column ``key``, evenly spread longs) falls into; 2**bits bits, whatever the number of keys."""
+def bitmap(keys: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A bit for each bucket that a key (column ``key``, evenly spread longs) falls into.
+
+    About sixteen bits for each key, from 2**20 on, 2**BITMAP_BITS at most: 16 MB. Beyond
+    some ten million keys it lets more through, which the joins behind it keep out.
+    """
+    if bits is None:
+        bits = min(BITMAP_BITS, max(20, (16 * keys.count()).bit_length()))
     at = F.shiftrightunsigned("key", 64 - bits)
     words = keys.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at.bitwiseAND(F.lit(63))).cast("int")).alias("m"))
     rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
@@ -398,8 +568,8 @@ def classes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select("sig", "doc", "line").unionByName(later).groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("at")).select("sig", "at.doc", "at.line")
 
 
-def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, maps: bool = False, text: str = "text") -> DataFrame:
-    """sig, n, set (binary, ascending uint64) of the classes in pairs; with ``maps``, their parity maps for sets.
+def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, maps: bool = False, text: str = "text", bits: int | None = None) -> DataFrame:
+    """sig, n, set (binary, ascending uint64) of the classes in pairs; with ``maps``, their parity maps for sets, of so many bits at most.
 
     Sets are made again, from the texts of the documents that pairs name: bit maps of
     bounded size keep most other texts out, and an exact join the rest.
@@ -421,7 +591,7 @@ def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, maps: bool = False
             sig, _, _ = signatures(offsets, token)
             pick = np.flatnonzero((np.diff(offsets) > 0) & has(wanted.value, signed(sig)))
             sets = [token[offsets[i] : offsets[i + 1]] for i in pick.tolist()]
-            sets = [(parity_map(x) if maps else x).tobytes() for x in sets]
+            sets = [(parity_map(x, bits) if maps else x).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([pa.array(signed(sig[pick])), pa.array(doc[pick]), pa.array(line[pick]), pa.array(np.diff(offsets)[pick]), pa.array(sets, pa.binary())], names=["sig", "doc", "line", "n", "set"])
 
     sets = df.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(fetch, "sig long, doc long, line long, n long, `set` binary")
@@ -430,9 +600,10 @@ def fetch_sets(pairs: DataFrame, df: DataFrame, units: Units, maps: bool = False
     return sets.join(at, "sig").filter("doc = d and line = l").groupBy("sig").agg(F.first("n").alias("n"), F.first("set").alias("set"))
 
 
-def parity_map(token: np.ndarray) -> np.ndarray:
+def parity_map(token: np.ndarray, most: int | None = None) -> np.ndarray:
     """A bit for each residue, flipped by each token of it; as many bits as the next power of two from the set's size, 256 at least."""
     bits = max(256, 1 << (len(token) - 1).bit_length())
+    bits = min(bits, most or bits)
     flips = np.bincount((mix(token + np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(bool), bitorder="little")
 

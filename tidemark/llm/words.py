@@ -101,10 +101,20 @@ def shingles(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distinct tokens in ascending order: (offsets by row, tokens). Rows must be below 2**24."""
-    key = (row.astype(np.uint64) << np.uint64(40)) | (token >> np.uint64(24))
-    order = np.argsort(key)
-    row, token = row[order], token[order]
+    """Each row's distinct tokens in ascending order: (offsets by row, tokens)."""
+    if rows <= 1 << 24:
+        # one key of the row and the token's first 40 bits; the few runs that it leaves tied are put in order by themselves
+        key = (row.astype(np.uint64) << np.uint64(40)) | (token >> np.uint64(24))
+        order = np.argsort(key)
+        row, token, key = row[order], token[order], key[order]
+        tied = (key[1:] == key[:-1]) & (token[1:] != token[:-1])
+        if tied.any():
+            loose = np.isin(key, key[1:][tied])
+            own = np.flatnonzero(loose)
+            token[own] = token[own][np.lexsort((token[own], key[own]))]
+    else:
+        order = np.lexsort((token, row))
+        row, token = row[order], token[order]
     keep = np.ones(len(row), bool)
     keep[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
     row, token = row[keep], token[keep]
