@@ -6,14 +6,16 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import predicates
 from tidemark.functions.exprs import metric
 from tidemark.functions.folds import Fold, fold_structs
+from tidemark.operators import live
 from tidemark.plans.stream import Context, Node, Stream, hidden
 from tidemark.schema import EVENT, FIELDS
 from tidemark.streaming import machines
-from tidemark.streaming.state import scan
+from tidemark.streaming.state import annotate, scan
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,18 @@ class Throttle(Node):
     dt: float
 
     def lower(self, df, ctx):
-        return scan(df, ctx, machines.Throttle(self.n, self.dt)), ctx
+        if df.isStreaming:
+            return scan(df, ctx, machines.Throttle(self.n, self.dt)), ctx
+        n, dt = self.n, self.dt
+
+        def step(period: list, t: int) -> tuple[bool]:
+            if period[0] is None or period[0] < t:
+                period[:] = [t + dt, 0]
+            period[1] += 1
+            return (period[1] <= n,)
+
+        marked = annotate(df.select(*hidden(ctx), F.coalesce("time", F.lit(0)).alias("__t")), ctx, lambda: [None, 0], step, ["__t"], T.StructType([T.StructField("__keep", T.BooleanType())]))
+        return marked.filter("__keep").select(hidden(ctx)), ctx
 
 
 def throttle(n: int, dt: float) -> Stream:
@@ -108,22 +121,61 @@ class Hysteresis(Node):
 
     def lower(self, df, ctx):
         marked = df.withColumn("__trigger", F.coalesce(self.trigger, F.lit(False))).withColumn("__cancel", F.coalesce(self.cancel, F.lit(False)))
-        return scan(marked, ctx, machines.Hysteresis(self.dt), ["__trigger", "__cancel"]), ctx
+        if df.isStreaming:
+            return scan(marked, ctx, machines.Hysteresis(self.dt), ["__trigger", "__cancel"]), ctx
+        dt = self.dt
+
+        def step(s: dict, t: int, trigger: bool, cancel: bool) -> tuple[str, int, bool, bool]:
+            state = "critical" if trigger or (s["bad"] and not cancel) else "ok"
+            if state != s["state"]:
+                s.update(state=state, start=t, open=False, run=s["run"] + 1)
+            elif t < s["start"]:
+                return state, s["run"], False, s["open"]
+            s["open"] = s["open"] or s["start"] + dt <= t
+            if s["open"]:
+                s["bad"] = state != "ok"
+            return state, s["run"], True, s["open"]
+
+        added = T.StructType([T.StructField("__state", T.StringType()), T.StructField("__run", T.LongType()), T.StructField("__in", T.BooleanType()), T.StructField("__open", T.BooleanType())])
+        marked = marked.select(*hidden(ctx), "__trigger", "__cancel", F.coalesce("time", F.lit(0)).alias("__t"))
+        out = annotate(marked, ctx, lambda: {"state": "", "start": 0, "open": False, "bad": False, "run": 0}, step, ["__t", "__trigger", "__cancel"], added)
+        # a run that lasts is let out from its first event on
+        lasts = F.max("__open").over(Window.partitionBy(*ctx.keys, "__run"))
+        out = out.withColumn("__lasts", lasts).filter("__in and __lasts").withColumn("state", F.col("__state"))
+        return out.select(hidden(ctx)), ctx
 
 
 @dataclass(frozen=True)
 class Coalesce(Node):
-    name: str
-    python: object
-    keep_events: bool = False
+    fold: Fold
 
     def lower(self, df, ctx):
-        return scan(df, ctx, machines.Coalesce(self.name, self.python, ctx.clock, self.keep_events)), ctx
+        if df.isStreaming or self.fold.name not in live.FOLDS:
+            return scan(df, ctx, machines.Coalesce(self.fold.name, self.fold.python, ctx.clock)), ctx
+        return live.coalesced(df, ctx, self.fold.name)
 
 
 def coalesce(fold: Fold) -> Stream:
     """Per event: the fold of what has just expired of the latest events by host and service, then of those alive."""
-    return Stream((Coalesce(fold.name, fold.python),))
+    return Stream((Coalesce(fold),))
+
+
+@dataclass(frozen=True)
+class CountAlive(Node):
+    """The first of the latest events by host and service, its state by whether so many are critical; of those expired first, then of those alive."""
+
+    n: int
+
+    def lower(self, df, ctx):
+        name = lambda hits: F.when(hits >= self.n, "critical").otherwise("ok")
+        if not df.isStreaming:
+            return live.counted(df, ctx, predicates.state("critical"), lambda hits: {"state": name(hits)})
+        n = self.n
+
+        def fold(events: list[dict]) -> dict:
+            return events[0] | {"state": "critical" if sum(e["state"] == "critical" for e in events) >= n else "ok"}
+
+        return scan(df, ctx, machines.Coalesce("critical", fold, ctx.clock, True)), ctx
 
 
 @dataclass(frozen=True)
@@ -132,33 +184,48 @@ class Project(Node):
     fold: Fold
 
     def lower(self, df, ctx):
-        first = F.lit(-1)
-        for i, p in reversed(list(enumerate(self.predicates))):
-            first = F.when(p, F.lit(i)).otherwise(first)
-        marked = df.withColumn("__p", first)
+        marked = df.withColumn("__p", first_of(self.predicates))
         if df.isStreaming or self.fold.agg is None or not (ctx.ordered or ctx.clock is not None):
             return scan(marked, ctx, machines.Project(len(self.predicates), self.fold.python, ctx.clock), ["__p"]), ctx
-        return self.native(marked.filter("__p >= 0"), ctx), ctx
+        return self.native(marked.filter("__p >= 0"), ctx)
 
     def native(self, df, ctx: Context):
-        """Each slot's latest event by a running ``last``; a slot that has expired is told once, at the first event after."""
-        now, w = ctx.now(), ctx.window()
-        slots = []
-        for i in range(len(self.predicates)):
-            event = F.struct(*FIELDS)
-            df = df.withColumn(f"__s{i}", F.last(F.when(F.col("__p") == i, event), ignorenulls=True).over(ctx.running()))
-            s = F.col(f"__s{i}")
-            t = F.coalesce(s["time"], F.lit(0))
-            old = (s["state"].eqNullSafe("expired")) | ((now >= t) & (now - t > F.coalesce(s["ttl"].cast("double"), F.lit(float(predicates.PREDICATE_DEFAULT_TTL)))))
-            df = df.withColumn(f"__old{i}", F.col(f"__s{i}").isNotNull() & (F.col("__p") != i) & old)
-            before = F.lag(F.struct(F.col(f"__old{i}").alias("old"), s["seq"].alias("seq"))).over(w)
-            df = df.withColumn(f"__gone{i}", F.col(f"__old{i}") & ~(F.coalesce(before["old"], F.lit(False)) & (before["seq"] == s["seq"])))
-            slots.append(i)
+        slots = range(len(self.predicates))
+        df = slotted(df, ctx, len(self.predicates))
         pick = lambda flag: F.filter(F.array(*(F.when(flag(i), F.col(f"__s{i}")) for i in slots)), lambda e: e.isNotNull())
-        outs = F.array(fold_structs(pick(lambda i: F.col(f"__gone{i}")), self.fold), fold_structs(pick(lambda i: F.col(f"__s{i}").isNotNull() & ~F.col(f"__old{i}")), self.fold))
-        df = df.withColumn("__out", F.explode(F.filter(outs, lambda e: e.isNotNull())))
-        own = {c: F.col(f"__out.{c}").cast(EVENT[c].dataType) for c in FIELDS if c != "seq"}
-        return df.withColumns(own).select(hidden(ctx))
+        outs = F.array(fold_structs(pick(lambda i: F.col(f"__gone{i}")), self.fold), fold_structs(pick(alive), self.fold))
+        df = df.select("*", F.posexplode(outs).alias("__sub", "__out")).filter("__out is not null")
+        after = replace(ctx, order=(*ctx.order, f"__sub{len(ctx.order)}"))
+        own = {c: F.col(f"__out.{c}").cast(EVENT[c].dataType) for c in FIELDS if c != "seq"} | {after.order[-1]: F.col("__sub")}
+        return df.withColumns(own).select(hidden(after)), after
+
+
+def slotted(df, ctx: Context, n: int):
+    """Events that fit one of n predicates (``__p``: which), with each slot's latest event (``__s0`` ...), whether that has expired (``__old0`` ...) and is first found so here (``__gone0`` ...)."""
+    now, w = ctx.now(), ctx.window()
+    for i in range(n):
+        event = F.struct(*FIELDS)
+        df = df.withColumn(f"__s{i}", F.last(F.when(F.col("__p") == i, event), ignorenulls=True).over(ctx.running()))
+        s = F.col(f"__s{i}")
+        t = F.coalesce(s["time"], F.lit(0))
+        old = (s["state"].eqNullSafe("expired")) | ((now >= t) & (now - t > F.coalesce(s["ttl"].cast("double"), F.lit(float(predicates.PREDICATE_DEFAULT_TTL)))))
+        df = df.withColumn(f"__old{i}", F.col(f"__s{i}").isNotNull() & (F.col("__p") != i) & old)
+        before = F.lag(F.struct(F.col(f"__old{i}").alias("old"), s["seq"].alias("seq"))).over(w)
+        df = df.withColumn(f"__gone{i}", F.col(f"__old{i}") & ~(F.coalesce(before["old"], F.lit(False)) & (before["seq"] == s["seq"])))
+    return df
+
+
+def alive(i: int) -> Column:
+    """Of ``slotted`` events, whether slot i holds one that is alive."""
+    return F.col(f"__s{i}").isNotNull() & ~F.col(f"__old{i}")
+
+
+def first_of(preds) -> Column:
+    """The number of the first predicate that holds, or -1."""
+    first = F.lit(-1)
+    for i, p in reversed(list(enumerate(preds))):
+        first = F.when(p, F.lit(i)).otherwise(first)
+    return first
 
 
 def project(preds: list[Column], fold: Fold) -> Stream:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
-from tidemark.functions.exprs import metric
-from tidemark.plans.stream import Assign, Filter, Stream, Transform, expired_now
+from tidemark.functions.exprs import json_str, metric, report_json
+from tidemark.plans.stream import Assign, Filter, Node, Stream, Transform, expired_now
 
 STRING_KEYS = ("host", "service", "description", "state")
 
@@ -91,9 +92,20 @@ def null() -> Stream:
     return _filter(F.lit(False))
 
 
+@dataclass(frozen=True)
+class Print(Node):
+    stateless = True
+    prefix: str
+
+    def lower(self, df, ctx):
+        line = F.concat(F.lit(self.prefix), json_str())
+        ctx.reports.append(df.select(F.lit("print").alias("method"), "time", line.alias("message"), F.lit("").alias("extra"), report_json().alias("event"), "seq"))
+        return df, ctx
+
+
 def prn(prefix: str = "") -> Stream:
-    """A pass-through; to print, write a stream with ``sinks.printer``."""
-    return Stream()
+    """Pass all events on; each leaves a report ``print`` of the prefix and the event as JSON, which its transport prints."""
+    return Stream((Print(prefix),))
 
 
 def smap(changes: dict[str, Column] | Callable[[DataFrame], DataFrame]) -> Stream:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import metric
 from tidemark.functions.folds import Fold, fold_groups, fold_structs, fold_window
+from tidemark.operators import live
 from tidemark.plans.stream import Context, Node, Stream, hidden
 from tidemark.schema import EVENT, FIELDS
 from tidemark.streaming import machines
@@ -63,8 +64,8 @@ class MovingTime(Node):
             return scan(df, ctx, machines.MovingTime(self.dt, self.fold.python)), ctx
         df = df.withColumn("__max", F.max("time").over(ctx.running()))
         near = Window.partitionBy(*(ctx.keys or (F.lit(0),))).orderBy("__max").rangeBetween(1 - self.dt, 0)
-        if ctx.ordered and self.fold.name in ("sum", "count", "mean"):
-            return self.ordered(df, ctx, near).select(hidden(ctx)), ctx
+        if ctx.ordered and self.fold.name in live.FOLDS:
+            return self.in_order(df, ctx).select(hidden(ctx)), ctx
         slim = F.struct(*((F.map_entries(c).alias(c) if c == "attributes" else F.col(c)) for c in FIELDS))  # maps can't be sorted
         df = df.withColumn("__near", F.collect_list(slim).over(near))
         # rows of the same greatest time are peers, also those that arrive later: these are taken out again
@@ -73,15 +74,22 @@ class MovingTime(Node):
         own = {c: F.map_from_entries("__out.attributes") if c == "attributes" else F.col(f"__out.{c}") for c in FIELDS if c != "seq"}
         return out.withColumns(own).select(hidden(ctx)), ctx
 
-    def ordered(self, df: DataFrame, ctx: Context, near) -> DataFrame:
-        """Times in order: frame aggregates less those of peers behind, no arrays."""
-        peers = Window.partitionBy(*(ctx.keys or (F.lit(0),)), "time").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-        total = F.sum(metric()).over(near) - F.coalesce(F.sum(metric()).over(peers), F.lit(0.0))
-        n = F.count(F.lit(1)).over(near) - F.count(F.lit(1)).over(peers)
-        value = {"sum": total, "count": n.cast("double"), "mean": total / n}[self.fold.name]
-        first = F.min_by(F.struct(*(c for c in FIELDS if c not in ("seq", "time", "metric"))), "seq").over(near)
-        df = df.withColumn("__first", first).withColumn("metric", value)
-        return df.withColumns({c: F.col(f"__first.{c}") for c in FIELDS if c not in ("seq", "time", "metric")})
+    def in_order(self, df: DataFrame, ctx: Context) -> DataFrame:
+        """Times in order: what lies before the event's second, by a range of times, and what came in that second up to it, by rows. No arrays."""
+        part = ctx.keys or (F.lit(0),)
+        before = Window.partitionBy(*part).orderBy("time").rangeBetween(1 - self.dt, -1)
+        same = Window.partitionBy(*part, "time").orderBy(*ctx.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        meet = {"sum": lambda a, b: F.coalesce(a, F.lit(0.0)) + b, "count": lambda a, b: F.coalesce(a, F.lit(0)) + b, "product": lambda a, b: F.coalesce(a, F.lit(1.0)) * b, "minimum": F.least, "maximum": F.greatest}
+        fields = [c for c in FIELDS if c not in ("seq", "time")]
+        first = lambda frame: F.min_by(F.struct(*fields), F.struct(*ctx.order)).over(frame)
+        parts, value = live.FOLDS[self.fold.name]
+        df = df.withColumn("__first", F.coalesce(first(before), first(same)) if self.dt > 1 else first(same))
+        for name in parts:
+            m, agg = live.PARTS[name]
+            own = agg(m(metric())).over(same)
+            df = df.withColumn(f"__{name}", meet[name](agg(m(metric())).over(before), own) if self.dt > 1 else own)
+        df = df.withColumn("__value", value(F.coalesce("__first.metric", F.lit(0.0))).cast("double"))
+        return df.withColumns({c: F.col(f"__first.{c}") for c in fields} | {"metric": F.col("__value")})
 
 
 def moving_time_window(dt: int, fold: Fold) -> Stream:
@@ -163,17 +171,18 @@ class Percentiles(Node):
         keys = list(ctx.keys)
         base = df.groupBy(*keys).agg(F.min_by(F.struct(*FIELDS), "seq").alias("__base"))
         start = F.col("time") - F.pmod("time", F.lit(i))
-        some = df.filter("metric is not null").withColumn("__start", start)
-        grouped = some.groupBy(*keys, "__start").agg(F.sort_array(F.collect_list("metric")).alias("__ms"))
+        some = df.filter("metric is not null").select(*keys, "metric", start.alias("__start"))
         top = df.agg(F.max("time").alias("__top"))
-        grouped = grouped.crossJoin(F.broadcast(top)).filter(F.col("__start") + i <= F.col("__top"))
-        grouped = grouped.join(base, keys) if keys else grouped.crossJoin(F.broadcast(base))  # a single row
-        n = F.size("__ms")
+        some = some.crossJoin(F.broadcast(top)).filter(F.col("__start") + i <= F.col("__top"))  # a single row
+        # of each interval only the rows of the ranks asked for go on
+        group = Window.partitionBy(*keys, "__start")
+        some = some.withColumn("__at", F.row_number().over(group.orderBy("metric")) - 1).withColumn("__n", F.count(F.lit(1)).over(group))
         ps = F.array(*(F.struct(F.lit(float(p)).alias("p"), F.lit(f"{p:.6f}").alias("s")) for p in self.ps))
-        out = grouped.withColumn("__p", F.explode(ps))
-        rank = F.when(F.col("__p.p") == 1.0, n - 1).otherwise(F.floor(n * F.col("__p.p")).cast("int"))
+        n = F.col("__n")
+        out = some.withColumn("__p", F.explode(F.filter(ps, lambda p: F.when(p["p"] == 1.0, n - 1).otherwise(F.floor(n * p["p"])) == F.col("__at"))))
+        out = out.join(base, keys) if keys else out.crossJoin(F.broadcast(base))  # a single row
         own = {c: F.col(f"__base.{c}") for c in FIELDS}
-        own |= {"seq": F.col("__start"), "metric": F.get("__ms", rank), "service": F.concat_ws(" ", F.coalesce("__base.service", F.lit("")), "__p.s")}
+        own |= {"seq": F.col("__start"), "metric": F.col("metric"), "service": F.concat_ws(" ", F.coalesce("__base.service", F.lit("")), "__p.s")}
         return out.select(*(own[c].cast(EVENT[c].dataType).alias(c) for c in FIELDS), *ctx.keys), ctx
 
 

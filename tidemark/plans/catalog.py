@@ -13,7 +13,7 @@ from tidemark.functions import exprs, folds
 from tidemark.functions import predicates as P
 from tidemark.plans import index, rules
 from tidemark.plans.query import compile_query
-from tidemark.plans.stream import Context, Stream, by, sdo, split, where
+from tidemark.plans.stream import Context, Stream, by, create_forwarding_stream, create_stateful_stream, sdo, split, where
 from tidemark.schema import events_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,18 @@ RAW = """raw as (select event_id as seq, cast(floor(epoch(ts)) as bigint) as tim
  value as metric, case when value > 80 then 'critical' else 'ok' end as state, json_extract_string(props, '$.k') as k from events)"""
 
 
+def largest(state: dict, event: dict) -> list[dict]:
+    """Events that are larger than all before."""
+    before, state["m"] = state.get("m"), max(state.get("m", event["metric"]), event["metric"])
+    return [event] if before is None or event["metric"] > before else []
+
+
+def twice(event: dict, forward: Callable[[dict], None]) -> None:
+    if event["service"] == "error":
+        forward(event)
+        forward(event | {"state": "again"})
+
+
 def shown(df: DataFrame, columns: str) -> DataFrame:
     """The named columns, metrics to six places."""
     return df.select(*(F.round(c, 6).alias(c) if c == "metric" else F.col(c) for c in columns.split()))
@@ -67,7 +79,7 @@ FILTERS = {
     "under_eq": (lambda: where(P.under_eq(80)), "metric <= 80"),
     "default_true": (lambda: where(P.default_true()), "true"),
     "null": (lambda: O.null(), "false"),
-    "prn": (lambda: O.prn("> "), "true"),
+    "prn": (lambda: O.prn("> ") >> O.above(60), "metric > 60"),
 }
 for _n, (_s, _p) in FILTERS.items():
     program(f"filter_{_n}", _s, "seq metric", f"select seq, round(metric, 6) as metric from raw where {_p}")
@@ -107,8 +119,8 @@ program("fold_user", lambda: by(["service"], O.fixed_event_window(3, folds.user(
 program("moving_event_window", lambda: by(["service"], O.moving_event_window(5, folds.mean)), "seq time host metric", "select seq, max(time) over w as time, first_value(host) over w as host, round(avg(metric) over w, 6) as metric from raw window w as (partition by service order by seq rows between 4 preceding and current row)")
 program("fixed_event_window", lambda: by(["host"], O.fixed_event_window(7, folds.maximum)), "seq time service metric", ", g as (select *, (row_number() over (partition by host order by seq) - 1) // 7 as g from raw) select max(seq) as seq, max(time) as time, arg_min(service, seq) as service, round(max(metric), 6) as metric from g group by host, g having count(*) = 7")
 MOVING = "sum(metric) over (partition by service order by time range between 3599 preceding and current row) - coalesce(sum(metric) over (partition by service, time order by seq rows between 1 following and unbounded following), 0)"
-program("moving_time_window", lambda: by(["service"], O.moving_time_window(3600, folds.sum)), "seq metric", f"select seq, round({MOVING}, 4) as metric from raw")
 QUERIES["moving_time_window"] = lambda spark, sf_dir: by(["service"], O.moving_time_window(3600, folds.sum)).apply(events_table(spark, sf_dir)).select("seq", F.round("metric", 4).alias("metric"))
+SQL["moving_time_window"] = f"with {RAW} select seq, round({MOVING}, 4) as metric from raw"
 program("moving_time_window_max", lambda: by(["service"], O.moving_time_window(3600, folds.maximum)), "seq metric", "select a.seq, round(max(b.metric), 6) as metric from raw a join raw b on a.service = b.service and b.seq <= a.seq and b.time > a.time - 3600 group by a.seq")
 program("fixed_time_window", lambda: by(["service"], O.fixed_time_window(3600, folds.sum)), "time service metric", ", m as (select service, max(time) top from raw group by service) select max(time) as time, service, round(sum(metric), 6) as metric from raw join m using (service) where time - time % 3600 + 3600 <= top group by service, time - time % 3600")
 program("rate", lambda: O.rate(600), "time metric", ", w as (select time - time % 600 s, sum(metric) m from raw group by 1), b as (select min(s) a, max(s) z from w), g as (select unnest(generate_series(a, z - 600, 600)) s from b) select s + 600 as time, round(coalesce(m, 0) / 600, 6) as metric from g left join w using (s)")
@@ -116,15 +128,21 @@ program("rate_by", lambda: by(["service"], O.rate(3600)), "time metric", ", w as
 program("percentiles", lambda: by(["service"], O.percentiles(86400, [0, 0.5, 0.95, 1])), "seq service metric", ", w as (select service, time - time % 86400 s, list_sort(list(metric)) ms from raw group by 1, 2), t as (select max(time) top from raw), p(p, n) as (values (0.0, '0.000000'), (0.5, '0.500000'), (0.95, '0.950000'), (1.0, '1.000000')) select s as seq, service || ' ' || n as service, round(ms[1 + case when p = 1 then len(ms) - 1 else cast(floor(len(ms) * cast(p as double)) as bigint) end], 6) as metric from w, t, p where s + 86400 <= top")
 
 # --- live sets and state changes ------------------------------------------------------
-LIVE = """, a as (select seq, time t, {m} m, lead(seq) over w nseq, lead(time) over w nt from raw {where} window w as (partition by host, service order by seq)),
-d as (select t, seq, m dm, 1 dn from a union all select nt, nseq, -m, -1 from a where nt is not null and nt - t <= {ttl}
-      union all select t + {ttl} + 1, -1, -m, -1 from a where nt is null or nt - t > {ttl}),
-g as (select t, seq, sum(dm) dm, sum(dn) dn from d group by t, seq),
-r as (select seq, sum(dm) over w sm, sum(dn) over w n from g window w as (order by t, seq rows unbounded preceding))"""
-
-
-table("coalesce_count", lambda e: O.coalesce(folds.count).apply(e).groupBy("seq").agg(F.max_by("metric", "time").alias("metric")), LIVE.format(m="metric", where="", ttl=86400) + " select seq, cast(n as double) as metric from r where seq >= 0", 86400)
-table("coalesce_sum", lambda e: O.coalesce(folds.sum).apply(e).groupBy("seq").agg(F.round(F.max_by("metric", "time"), 4).alias("metric")), LIVE.format(m="metric", where="", ttl=86400) + " select seq, round(sm, 4) as metric from r where seq >= 0", 86400)
+LIVE = """, a as (select seq, time t, host, service, {m} m, lead(seq) over (partition by host, service order by seq) nseq, time + {ttl} due, {key} key from raw),
+b as (select {key} key, time bt, min(seq) xseq from raw group by all),
+x as (select a.*, b.xseq from a asof left join b on a.key = b.key and a.due < b.bt),
+y as (select *, case when nseq is null or xseq < nseq then xseq end gone from x),
+d as (select seq, key, m dm, 1 dn from y union all select coalesce(gone, nseq), key, -m, -1 from y where coalesce(gone, nseq) is not null),
+r as (select key, seq, sum(sum(dm)) over w sm, sum(sum(dn)) over w n from d group by key, seq window w as (partition by key order by seq rows unbounded preceding)),
+e as (select key, gone as seq, sum(m) sm, count(*) n, max(t) t from y where gone is not null group by key, gone),
+u as (select key, seq, 0 as sub, sm, n, t from e union all select r.key, seq, 1, sm, n, time from r join raw using (seq) where n > 0)"""
+
+
+# both outputs of an event: over what has expired, and over what is alive
+for _n, _v, _ttl in (("count", "cast(n as double)", 86400), ("sum", "round(sm, 4)", 3600), ("mean", "round(0.37777771 * sm / n, 6)", 86400)):
+    table(f"coalesce_{_n}", lambda e, n=_n: O.coalesce(folds.BY_NAME[n]).apply(e).select("seq", "time", F.round(0.37777771 * F.col("metric"), 6).alias("metric") if n == "mean" else F.round("metric", 4).alias("metric")), LIVE.format(m="metric", ttl=_ttl, key="1") + f" select seq, t as time, {_v} as metric from u", _ttl)
+for _n, _v in (("maximum", "max"), ("minimum", "min")):
+    table(f"coalesce_{_n}", lambda e, n=_n: by(["service"], O.coalesce(folds.BY_NAME[n])).apply(e).select("seq", "host", F.round("metric", 6).alias("metric")), LIVE.format(m="metric", ttl=86400, key="service") + f" select gone as seq, min(host) as host, round({_v}(m), 6) as metric from y where gone is not null group by key, gone union all select z.seq, min(y.host), round({_v}(y.m), 6) from raw z join y on y.key = z.service and y.seq <= z.seq and coalesce(y.gone, y.nseq, 9000000000) > z.seq group by z.seq", 86400)
 PROJECT = """, e as (select *, case when service = 'error' then 0 when service = 'purchase' then 1 end p from raw where service in ('error', 'purchase')),
 s as (select seq, time, p, last_value(case when p = 0 then seq end ignore nulls) over w s0, last_value(case when p = 0 then time end ignore nulls) over w t0, last_value(case when p = 0 then metric end ignore nulls) over w m0,
  last_value(case when p = 1 then seq end ignore nulls) over w s1, last_value(case when p = 1 then time end ignore nulls) over w t1, last_value(case when p = 1 then metric end ignore nulls) over w m1 from e window w as (order by seq rows unbounded preceding)),
@@ -152,23 +170,28 @@ program("rule_flagship", lambda: O.service("error") >> O.above(80) >> O.set_stat
 program("rule_critical_above", lambda: rules.critical_above(50), "seq state", "select seq, case when metric > 50 then 'critical' else 'ok' end as state from raw")
 program("rule_critical_under", lambda: rules.critical_under(50), "seq state", "select seq, case when metric < 50 then 'critical' else 'ok' end as state from raw")
 program("rule_stable_trigger", lambda: by(["service"], rules.stable_metric(900, P.above(80))), "seq state", STABLE.format(dt=900))
-HYSTERESIS = """with recursive {raw}, e as (select seq, service, time t, metric > 80 as trig, metric < 40 as can, row_number() over (partition by service order by seq) rn from raw),
-r as (select service, rn, seq, case when trig then 'critical' else 'ok' end as st, t as start, false as open, false as bad, 1 as run from e where rn = 1
+HYSTERESIS = """with recursive {raw} {source},
+hs as (select *, row_number() over (partition by key order by seq, sub) rn from (select key, seq, sub, t, metric, {trigger} as trig, {cancel} as can from {name}) z),
+hr as (select key, rn, seq, metric, case when trig then 'critical' else 'ok' end as st, t as start, {dt} <= 0 as open, {dt} <= 0 and trig as bad, 1 as run, true as inn from hs where rn = 1
  union all
- select service, rn, seq, st, case when st <> old then t else start end,
-   case when st <> old then 900 <= 0 else open or start + 900 <= t end,
-   case when (case when st <> old then 900 <= 0 else open or start + 900 <= t end) then st <> 'ok' else bad end,
-   case when st <> old then run + 1 else run end
- from (select e.service, e.rn, e.seq, e.t, r.st as old, r.start, r.open, r.bad, r.run,
-              case when e.trig or (r.bad and not e.can) then 'critical' else 'ok' end as st
-       from r join e on e.service = r.service and e.rn = r.rn + 1) z)
-select seq, st as state from (select *, bool_or(open) over (partition by service, run) as o from r) z where o"""
+ select key, rn, seq, metric, st, start, open, case when inn and open then st <> 'ok' else bad end, run, inn from (
+  select key, rn, seq, metric, st, case when st <> old then t else start end as start, st <> old or t >= start as inn,
+   case when st <> old then {dt} <= 0 when t >= start then open or start + {dt} <= t else open end as open, bad, case when st <> old then run + 1 else run end as run
+  from (select hs.key, hs.rn, hs.seq, hs.metric, hs.t, r.st as old, r.start, r.open, r.bad, r.run,
+               case when hs.trig or (r.bad and not hs.can) then 'critical' else 'ok' end as st
+        from hr r join hs on hs.key = r.key and hs.rn = r.rn + 1) z) z)
+select {columns} from (select *, bool_or(open) over (partition by key, run) as o from hr) z where o and inn"""
 program("rule_stable_metric", lambda: by(["service"], rules.stable_metric(900, P.above(80), P.under(40))), "seq state", None)
-SQL["rule_stable_metric"] = HYSTERESIS.format(raw=RAW)
-program("rule_agg_stable_metric", lambda: by(["service"], rules.agg_stable_metric(3600, folds.mean, P.above(60), P.under(45))), "seq state metric", None, 86400)
-table("rule_max_critical_hosts", lambda e: rules.max_critical_hosts(40).apply(e).groupBy("seq").agg(F.max_by("state", F.when(F.col("state") == "critical", 1).otherwise(0)).alias("state")), LIVE.format(m="case when state = 'critical' then 1 else 0 end", where="", ttl=86400) + " select seq, case when sm >= 40 then 'critical' else 'ok' end as state from r where seq >= 0", 86400)
+SQL["rule_stable_metric"] = HYSTERESIS.format(raw=RAW, source=", i as (select *, service as key, 0 as sub, time as t from raw)", name="i", trigger="metric > 80", cancel="metric < 40", dt=900, columns="seq, st as state")
+program("rule_agg_stable_metric", lambda: by(["service"], rules.agg_stable_metric(900, folds.mean, P.above(52), P.under(48))) >> O.scale(0.37777771), "seq state metric", None, 86400)
+SQL["rule_agg_stable_metric"] = HYSTERESIS.format(raw=RAW, source=LIVE.format(m="metric", ttl=86400, key="service") + ", i as (select key, seq, sub, t, sm / n as metric from u)", name="i", trigger="metric > 52", cancel="metric < 48", dt=900, columns="seq, st as state, round(0.37777771 * metric, 6) as metric")
+table("rule_max_critical_hosts", lambda e: rules.max_critical_hosts(40).apply(e).select("seq", "state"), LIVE.format(m="case when state = 'critical' then 1 else 0 end", ttl=86400, key="1") + " select seq, case when sm >= 40 then 'critical' else 'ok' end as state from u", 86400)
 program("rule_ratio", lambda: rules.ratio("error", "view", 1), "seq service metric", ", e as (select * from raw where service in ('error', 'view')), s as (select seq, last_value(case when service = 'error' then time end ignore nulls) over w t0, last_value(case when service = 'error' then metric end ignore nulls) over w m0, last_value(case when service = 'view' then time end ignore nulls) over w t1, last_value(case when service = 'view' then metric end ignore nulls) over w m1 from e window w as (order by seq rows unbounded preceding)) select seq, 'error / view' as service, round(case when m1 = 0 then 1 else m0 / m1 end, 6) as metric from s where t0 is not null and t1 is not null and abs(t0 - t1) < 60")
-program("rule_per_host_ratio", lambda: rules.per_host_ratio("error", "view", 1, 0, P.above(0.7), P.under(0.5)), "seq service metric state", None)
+# two thousand seconds as one, so that a host's events meet
+program("rule_per_host_ratio", lambda: O.smap({"time": F.floor(F.col("time") / 2000)}) >> rules.per_host_ratio("error", "view", 1, 20, P.above(0.7), P.under(0.5)), "seq service metric state", None)
+SQL["rule_per_host_ratio"] = HYSTERESIS.format(raw=RAW, source=""", i as (select seq, host, service, metric, time // 2000 as time from raw where service in ('error', 'view')),
+j as (select seq, host, last_value(case when service = 'error' then time end ignore nulls) over w t0, last_value(case when service = 'error' then metric end ignore nulls) over w m0, last_value(case when service = 'view' then time end ignore nulls) over w t1, last_value(case when service = 'view' then metric end ignore nulls) over w m1 from i window w as (partition by host order by seq rows unbounded preceding)),
+k as (select host as key, seq, 0 as sub, greatest(t0, t1) as t, case when m1 = 0 then 1 else m0 / m1 end as metric from j where t0 is not null and t1 is not null and abs(t0 - t1) < 60)""", name="k", trigger="metric > 0.7", cancel="metric < 0.5", dt=20, columns="seq, 'error / view' as service, round(metric, 6) as metric, st as state")
 program("rule_stable_event_stream", lambda: by(["service"], rules.stable_event_stream(3)), "seq state", ", s as (select seq, state, min(state) over w a, max(state) over w b, count(*) over w n from raw window w as (partition by service order by seq rows between 2 preceding and current row)) select seq, state from s where a = b and n = 3")
 table("rule_targets", lambda e: rules.create_targets("key", "ops").all.run(e).reports.select("seq", "method", "message"), ", l as (select *, lag(state, 1, 'ok') over (partition by host, service order by seq) b from raw), c as (select * from l where b <> state) select seq, 'email' as method, host || ' ' || service || ' ' || state as message from c union all select seq, case when state = 'ok' then 'pagerduty_resolve' else 'pagerduty_trigger' end, host || ' ' || service from c")
 
@@ -177,7 +200,7 @@ LANGUAGE = {
     "true": ("true", "true"),
     "tagged": ('tagged "click"', "service = 'click'"),
     "tagged_eq": ('tagged = "view"', "service = 'view'"),
-    "nil": ("description = nil", "true"),
+    "nil": ("description = nil", "seq % 5 <> 0"),
     "nil_attribute": ("not k = nil", "k is not null"),
     "string_eq": ('service = "error"', "service = 'error'"),
     "string_like": ('service =~ "%r%"', "service like '%r%'"),
@@ -186,7 +209,10 @@ LANGUAGE = {
     "attribute_int": ("k >= 50", "try_cast(k as double) >= 50"),
     "attribute_double": ("k < 49.5", "try_cast(k as double) < 49.5"),
     "time": ("time >= 1705000000", "time >= 1705000000"),
-    "ttl": ("ttl < 5", "true"),
+    # time and ttl compare with integers only; with a fraction the name is that of an attribute
+    "time_double": ('time > 1705000000.5 or host = "1"', "host = '1'"),
+    "ttl_double": ('ttl > 7.5 or host = "2"', "host = '2'"),
+    "ttl": ("ttl < 5", "seq % 3 <> 0"),
     "metric_int": ("metric > 80", "metric > 80"),
     "metric_double": ("metric <= 40.5", "metric <= 40.5"),
     "and": ('service = "error" and metric > 50', "service = 'error' and metric > 50"),
@@ -196,14 +222,15 @@ LANGUAGE = {
     "brackets": ('service = "error" or (service = "view" and metric > 50)', "service = 'error' or (service = 'view' and metric > 50)"),
 }
 for _n, (_q, _p) in LANGUAGE.items():
-    table(f"query_{_n}", lambda e, q=_q: e.filter(compile_query(q)).select("seq"), f"select seq from raw where {_p}")
+    # some events with a time to live and a description, so that these fields tell rows apart
+    table(f"query_{_n}", lambda e, q=_q: e.withColumns({"ttl": F.when(F.col("seq") % 3 == 0, 10.0).otherwise(F.lit(2.0)).cast("float"), "description": F.when(F.col("seq") % 5 == 0, "d")}).filter(compile_query(q)).select("seq"), f"select seq from raw where {_p}")
 
 # --- index -------------------------------------------------------------------------------
 LATEST = ", i as (select * from (select *, row_number() over (partition by host, service order by seq desc) rn from raw) z where rn = 1)"
 table("index_snapshot", lambda e: shown(index.snapshot(e), "seq host service metric"), f"{LATEST} select seq, host, service, round(metric, 6) as metric from i")
 table("index_live", lambda e: index.expire(index.snapshot(e), 1_706_500_000)[0].select("seq", "state"), f"{LATEST} select seq, state from i where not time + 3600 < 1706500000", 3600)
 table("index_expired", lambda e: index.expire(index.snapshot(e), 1_706_500_000)[1].select("seq", "state"), f"{LATEST} select seq, 'expired' as state from i where time + 3600 < 1706500000", 3600)
-table("index_query", lambda e: index.query(index.snapshot(e), 'service = "error" and metric > 50').select("seq", "host"), f"{LATEST} select seq, host from i where service = 'error' and metric > 50")
+table("index_query", lambda e: index.query(index.snapshot(e), 'service = "error" and metric > 50', None).select("seq", "host"), f"{LATEST} select seq, host from i where service = 'error' and metric > 50")
 table("index_changes", lambda e: index.subscribe(index.snapshot(e), index.changes(e), 'state = "critical"')[1].select("seq"), "select seq from raw where state = 'critical'")
 table("send_index", lambda e: shown(index.snapshot(sinks.send_index().run(e).indexed), "seq metric"), f"{LATEST} select seq, round(metric, 6) as metric from i")
 
@@ -213,7 +240,10 @@ table("field_str", lambda e: e.select("seq", exprs.field_str("host").alias("host
 table("has_field", lambda e: e.select("seq", exprs.has_field("host").alias("host"), exprs.has_field("ttl").alias("ttl"), exprs.has_field("k").alias("k")), "select seq, true as host, false as ttl, k is not null as k from raw")
 table("json_str", lambda e: e.select("seq", F.get_json_object(exprs.json_str(), "$.host").alias("host"), F.get_json_object(exprs.json_str(), "$.k").alias("k"), F.get_json_object(exprs.json_str(), "$.tags[0]").alias("tag"), F.get_json_object(exprs.json_str(), "$.ttl").alias("ttl")), "select seq, host, k, service as tag, cast(null as varchar) as ttl from raw", 5)
 table("uri_params", lambda e: e.select("seq", exprs.uri_params(F.concat(F.lit("/index?subscribe=true&query=host%20%3D%20"), "host"))["query"].alias("q")), "select seq, 'host = ' || host as q from raw")
-table("sink_graphite", lambda e: sinks.send_graphite("g", 2003).run(e).reports.select("seq", F.split("message", " ")[0].alias("path"), F.split("message", " ")[2].alias("at")), "select seq, host || '.' || service as path, cast(time as varchar) as at from raw")
-table("sink_forward", lambda e: sinks.forward("peer", 5555).run(e).reports.select("seq", F.get_json_object("message", "$.service").alias("service")), "select seq, service from raw")
+table("sink_graphite", lambda e: sinks.send_graphite("g", 2003).run(e).reports.select("seq", F.split("message", " ")[0].alias("path"), F.round(F.split("message", " ")[1].cast("double"), 6).alias("metric"), F.split("message", " ")[2].alias("at")), "select seq, host || '.' || service as path, round(metric, 6) as metric, cast(time as varchar) as at from raw")
+table("sink_forward", lambda e: sinks.forward("peer", 5555).run(e).reports.select("seq", "extra", *(F.get_json_object("message", f"$.{c}").alias(c) for c in ("host", "service", "state", "time"))), "select seq, 'peer:5555' as extra, host, service, state, cast(time as varchar) as time from raw")
+table("prn_lines", lambda e: (O.above(60) >> O.prn("> ") >> O.null()).run(e).reports.select("seq", "method", F.substring("message", 1, 2).alias("prefix"), F.get_json_object(F.expr("substring(message, 3)"), "$.host").alias("host")), "select seq, 'print' as method, '> ' as prefix, host from raw where metric > 60")
+table("stateful_function", lambda e: by(["service"], create_stateful_stream(largest)).apply(e).select("seq", F.round("metric", 6).alias("metric")), ", m as (select *, max(metric) over (partition by service order by seq rows between unbounded preceding and 1 preceding) b from raw) select seq, round(metric, 6) as metric from m where b is null or metric > b")
+table("forwarding_function", lambda e: create_forwarding_stream(twice).apply(e).select("seq", "state"), "select seq, state from raw where service = 'error' union all select seq, 'again' from raw where service = 'error'")
 table("sink_email", lambda e: (O.above(90) >> sinks.email("mail", "a@b", ["c@d", "e@f"])).run(e).reports.select("seq", "message", F.get_json_object("extra", "$.to[1]").alias("to")), "select seq, host || ' ' || service || ' ' || state as message, 'e@f' as to from raw where metric > 90")
 table("sink_pagerduty_acknowledge", lambda e: (O.above(90) >> sinks.pagerduty_acknowledge("key")).run(e).reports.select("seq", "method", "extra"), "select seq, 'pagerduty_acknowledge' as method, 'key' as extra from raw where metric > 90")

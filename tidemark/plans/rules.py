@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
 from tidemark.functions.folds import Fold
-from tidemark.operators.stateful import Coalesce, Hysteresis, coalesce, stable
+from tidemark.operators.stateful import CountAlive, Hysteresis, alive, coalesce, first_of, slotted, stable
 from tidemark.operators.stateless import state_any
 from tidemark.plans.stream import Assign, Node, Stream, by, hidden, sdo
+from tidemark.schema import FIELDS
 from tidemark.streaming import machines
 from tidemark.streaming.state import scan
 
@@ -41,11 +42,7 @@ def agg_stable_metric(dt: float, fold: Fold, trigger: Column, cancel: Column) ->
 
 def max_critical_hosts(n: int) -> Stream:
     """The first live event, critical if at least n live ones are, ok otherwise."""
-
-    def fold(events: list[dict]) -> dict:
-        return events[0] | {"state": "critical" if sum(e["state"] == "critical" for e in events) >= n else "ok"}
-
-    return Stream((Coalesce("critical", fold, True),))
+    return Stream((CountAlive(n),))
 
 
 RATIO_SECONDS = 60
@@ -59,6 +56,9 @@ class Ratio(Node):
 
     def lower(self, df, ctx):
         zero = self.zero
+        marked = df.withColumn("__p", first_of([P.service(self.a), P.service(self.b)]))
+        if not df.isStreaming and (ctx.ordered or ctx.clock is not None):
+            return self.native(marked.filter("__p >= 0"), ctx), ctx
 
         def fold(events: list[dict]) -> dict:
             if len(events) < 2 or any(e["metric"] is None for e in events) or abs((events[0]["time"] or 0) - (events[1]["time"] or 0)) >= RATIO_SECONDS:
@@ -67,10 +67,20 @@ class Ratio(Node):
             times = [e["time"] for e in events if e["time"] is not None]
             return x | {"metric": zero if y["metric"] == 0 else x["metric"] / y["metric"], "service": f"{x['service']} / {y['service']}", "time": max(times) if times else None}
 
-        first = F.when(P.service(self.a), 0).when(P.service(self.b), 1).otherwise(-1)
-        out = scan(df.withColumn("__p", first), ctx, machines.Project(2, fold, ctx.clock, True), ["__p"])
+        out = scan(marked, ctx, machines.Project(2, fold, ctx.clock, True), ["__p"])
         return out.filter(F.col("service").isNotNull()).select(hidden(ctx)), ctx
 
+    def native(self, df, ctx):
+        df, x, y = slotted(df, ctx, 2), F.col("__s0"), F.col("__s1")
+        near = F.abs(F.coalesce(x["time"], F.lit(0)) - F.coalesce(y["time"], F.lit(0))) < RATIO_SECONDS
+        df = df.filter(alive(0) & alive(1) & x["metric"].isNotNull() & y["metric"].isNotNull() & near)
+        own = {
+            "metric": F.when(y["metric"] == 0, F.lit(float(self.zero))).otherwise(x["metric"] / y["metric"]),
+            "service": F.concat_ws(" / ", x["service"], y["service"]),
+            "time": F.greatest(x["time"], y["time"]),
+        }
+        return df.withColumns({c: own.get(c, x[c]) for c in FIELDS if c != "seq"}).select(hidden(ctx))
+
 
 def ratio(a: str, b: str, zero: float) -> Stream:
     """Metric of service a by that of b, from their latest events if less than 60 s apart; ``zero`` where b is 0."""

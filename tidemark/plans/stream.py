@@ -27,12 +27,14 @@ from tidemark.schema import EVENT, FIELDS
 class Context:
     """Keys in force, clock, and where sinks leave what they would send.
 
-    ``clock``: None for the virtual clock, which is the greatest event time so far,
+    ``order``: arrival order; behind a node that gives several events for one, hidden columns
+    after ``seq`` keep these apart. ``clock``: None for the virtual clock, which is the greatest event time so far,
     or a fixed time. ``ordered``: times never fall along ``seq``, as after the sort that
     the tester does; then the virtual clock is the event's own time.
     """
 
     keys: tuple[str, ...] = ()
+    order: tuple[str, ...] = ("seq",)
     clock: float | None = None
     ordered: bool = True
     delay: str = "0 seconds"
@@ -40,7 +42,7 @@ class Context:
     indexed: list = field(default_factory=list)
 
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*(self.keys or (F.lit(0),))).orderBy("seq")
+        return Window.partitionBy(*(self.keys or (F.lit(0),))).orderBy(*self.order)
 
     def running(self) -> WindowSpec:
         return self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -50,11 +52,13 @@ class Context:
             return F.lit(float(self.clock))
         if self.ordered:
             return F.coalesce(F.col("time"), F.lit(0))
-        return F.coalesce(F.max("time").over(Window.partitionBy(F.lit(0)).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+        return F.coalesce(F.max("time").over(Window.partitionBy(F.lit(0)).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
 
 
 class Node:
-    """``lower`` gives the plan and the context for what comes after."""
+    """``lower`` gives the plan and the context for what comes after. ``stateless``: it treats each event by itself."""
+
+    stateless = False
 
     def lower(self, df: DataFrame, ctx: Context) -> tuple[DataFrame, Context]:
         raise NotImplementedError
@@ -76,6 +80,10 @@ class Result:
 class Stream(Node):
     nodes: tuple[Node, ...] = ()
 
+    @property
+    def stateless(self) -> bool:
+        return all(n.stateless for n in self.nodes)
+
     def __rshift__(self, other: Node | Stream) -> Stream:
         return Stream(self.nodes + (other.nodes if isinstance(other, Stream) else (other,)))
 
@@ -101,6 +109,7 @@ def stream(node: Node | Stream | None) -> Stream:
 
 @dataclass(frozen=True)
 class Filter(Node):
+    stateless = True
     predicate: Callable[[Context], Column] | Column
 
     def lower(self, df, ctx):
@@ -112,6 +121,7 @@ class Filter(Node):
 class Assign(Node):
     """Set fields from columns over the event before the change."""
 
+    stateless = True
     changes: dict[str, Column]
 
     def lower(self, df, ctx):
@@ -129,12 +139,49 @@ class Transform(Node):
 
 
 def create_stream(function: Callable[[DataFrame], DataFrame]) -> Stream:
-    """A node from a DataFrame function."""
+    """A node from a DataFrame function. On a stream it may hold whatever Spark allows there."""
     return Stream((Transform(lambda df, ctx: function(df)),))
 
 
+@dataclass(frozen=True)
+class Machine(Node):
+    """A node from ``push(state, event)``: event dicts in arrival order of each key in force, to a list of event dicts."""
+
+    push: Callable[[dict, dict], list[dict]]
+    start: Callable[[], dict] = dict
+
+    def lower(self, df, ctx):
+        from tidemark.streaming import machines
+        from tidemark.streaming.state import scan
+
+        return scan(df, ctx, machines.User(self.push, self.start)), ctx
+
+
+def create_stateful_stream(push: Callable[[dict, dict], list[dict]], start: Callable[[], dict] = dict) -> Stream:
+    """A node with a state (a dict, made by ``start``) for each key in force; the function gives the events that go on. The same in batch and on a stream."""
+    return Stream((Machine(push, start),))
+
+
+def create_forwarding_stream(function: Callable[[dict, Callable[[dict], None]], None]) -> Stream:
+    """A node from ``function(event, forward)``, which forwards what it likes, as often as it likes."""
+
+    def push(state: dict, event: dict) -> list[dict]:
+        out: list[dict] = []
+        function(event, out.append)
+        return out
+
+    return create_stateful_stream(push)
+
+
 def hidden(ctx: Context) -> list[str]:
-    return [*FIELDS, *ctx.keys]
+    return [*FIELDS, *ctx.keys, *ctx.order[1:]]
+
+
+def together(ctx: Context, parts: list[tuple[DataFrame, Context]]) -> tuple[DataFrame, Context]:
+    """What branches give, as one, in an order that keeps each branch's own."""
+    order = max((own.order for _, own in parts), key=len)
+    filled = [df.select(*FIELDS, *ctx.keys, *(F.col(c) if c in own.order else F.lit(0).alias(c) for c in order[1:])) for df, own in parts]
+    return reduce(DataFrame.unionByName, filled), replace(ctx, order=order)
 
 
 @dataclass(frozen=True)
@@ -143,11 +190,14 @@ class Union(Node):
 
     branches: tuple[Stream, ...]
 
+    @property
+    def stateless(self) -> bool:
+        return all(b.stateless for b in self.branches)
+
     def lower(self, df, ctx):
         if not self.branches:
             return df, ctx
-        parts = [b.lower(df, ctx)[0].select(hidden(ctx)) for b in self.branches]
-        return reduce(DataFrame.unionByName, parts), ctx
+        return together(ctx, [b.lower(df, ctx) for b in self.branches])
 
 
 def sdo(*branches: Node | Stream) -> Stream:
@@ -164,15 +214,19 @@ class Split(Node):
     clauses: tuple[tuple[Column, Stream], ...]
     default: Stream
 
+    @property
+    def stateless(self) -> bool:
+        return self.default.stateless and all(s.stateless for _, s in self.clauses)
+
     def lower(self, df, ctx):
         ways = [*self.clauses, (F.lit(True), self.default)]
         if all(len(s.nodes) <= 1 and all(isinstance(n, Assign) for n in s.nodes) for _, s in ways):
             return self.collapsed(df, ways), ctx
         parts, taken = [], F.lit(False)
         for p, s in ways:
-            parts.append(s.lower(df.filter(p & ~taken), ctx)[0].select(hidden(ctx)))
+            parts.append(s.lower(df.filter(p & ~taken), ctx))
             taken = taken | p
-        return reduce(DataFrame.unionByName, parts), ctx
+        return together(ctx, parts)
 
     @staticmethod
     def collapsed(df: DataFrame, ways) -> DataFrame:
@@ -204,6 +258,10 @@ class By(Node):
     keys: tuple[str, ...]
     inner: Stream | None
 
+    @property
+    def stateless(self) -> bool:
+        return self.inner is None or self.inner.stateless
+
     def lower(self, df, ctx):
         if not self.keys:
             raise ValueError("by() needs a key: without one it would drop every event")
@@ -212,7 +270,9 @@ class By(Node):
         df = df.withColumns({n: field_str(k) for n, k in zip(names, self.keys)})
         if self.inner is None:
             return df, inside
-        return self.inner.lower(df, inside)[0].select(hidden(ctx)), ctx
+        out, own = self.inner.lower(df, inside)
+        after = replace(ctx, order=own.order)
+        return out.select(hidden(after)), after
 
 
 def by(keys: list[str], inner: Node | Stream | None = None) -> Stream:

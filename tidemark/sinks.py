@@ -6,9 +6,14 @@ Reports: method, time, message, extra, event (JSON). Every sink ends its chain.
 from __future__ import annotations
 
 import json
+import logging
 import smtplib
 import socket
+import threading
+import time
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from email.message import EmailMessage
 from urllib.request import Request, urlopen
@@ -21,6 +26,9 @@ from tidemark.plans.stream import Node, Stream, expired_now, hidden
 from tidemark.schema import FIELDS
 
 
+log = logging.getLogger(__name__)
+
+
 def graphite_line() -> Column:
     """``host.service value time``, as plain-text Carbon takes it; other marks become underscores."""
     name = lambda f: F.regexp_replace(field_str(f), r"[^A-Za-z0-9_-]+", "_")
@@ -29,6 +37,7 @@ def graphite_line() -> Column:
 
 @dataclass(frozen=True)
 class Report(Node):
+    stateless = True
     method: str
     message: Column
     extra: str
@@ -40,6 +49,8 @@ class Report(Node):
 
 @dataclass(frozen=True)
 class Index(Node):
+    stateless = True
+
     def lower(self, df, ctx):
         ctx.indexed.append(df.filter(~expired_now(ctx)).select(FIELDS))
         return df.filter(F.lit(False)).select(hidden(ctx)), ctx
@@ -86,49 +97,148 @@ def pagerduty_trigger(key: str) -> Stream:
 # --- transports -------------------------------------------------------------
 
 
-def send_lines(rows: list[dict]) -> None:
-    """Graphite lines, one connection per endpoint."""
-    by_end: dict[str, list[str]] = {}
+class Connections:
+    """Connections of this process, one for each endpoint, kept between batches and made anew when they break.
+
+    What can't be sent after ``tries`` waits for the next batch, up to ``queue`` payloads an endpoint; beyond that
+    the oldest are dropped, and counted.
+    """
+
+    def __init__(self, tries: int = 3, wait: float = 0.2, queue: int = 10_000, timeout: float = 10):
+        self.tries, self.wait, self.queue, self.timeout = tries, wait, queue, timeout
+        self.open: dict[str, socket.socket] = {}
+        self.waiting: dict[str, deque] = {}
+        self.dropped = 0
+        self.lock = threading.Lock()
+
+    def send(self, endpoint: str, payloads: list[bytes]) -> int:
+        """How many payloads wait after this."""
+        with self.lock:
+            queue = self.waiting.setdefault(endpoint, deque())
+            for p in payloads:
+                if len(queue) >= self.queue:
+                    queue.popleft()
+                    self.dropped += 1
+                queue.append(p)
+            for attempt in range(self.tries):
+                if attempt:
+                    time.sleep(self.wait * 2**attempt)
+                try:
+                    s = self.open.get(endpoint)
+                    if s is None:
+                        host, port = endpoint.rsplit(":", 1)
+                        s = self.open[endpoint] = socket.create_connection((host, int(port)), timeout=self.timeout)
+                    elif self.closed(s):
+                        raise OSError("closed by the peer")
+                    while queue:
+                        s.sendall(queue[0])
+                        queue.popleft()
+                    return 0
+                except OSError:
+                    if endpoint in self.open:
+                        self.open.pop(endpoint).close()
+            return len(queue)
+
+    @staticmethod
+    def closed(s: socket.socket) -> bool:
+        """Take what the peer has sent (acknowledgements, say), and see whether it has hung up."""
+        s.setblocking(False)
+        try:
+            while part := s.recv(65536):
+                pass
+            return part == b""
+        except BlockingIOError:
+            return False
+        finally:
+            s.settimeout(10)
+
+    def close(self) -> None:
+        with self.lock:
+            while self.open:
+                self.open.popitem()[1].close()
+
+
+_CONNECTIONS: list[Connections] = []
+#: Requests that a process has under way at once, by HTTP and to mail servers.
+WORKERS = 8
+
+
+def connections() -> Connections:
+    """This process's own; executors keep their Python workers between tasks."""
+    if not _CONNECTIONS:
+        _CONNECTIONS.append(Connections())
+    return _CONNECTIONS[0]
+
+
+def send_to_ends(rows: list[dict], payload: Callable[[dict], bytes]) -> None:
+    by_end: dict[str, list[bytes]] = {}
     for r in rows:
-        by_end.setdefault(r["extra"], []).append(r["message"])
-    for end, lines in by_end.items():
-        host, port = end.rsplit(":", 1)
-        with socket.create_connection((host, int(port)), timeout=10) as s:
-            s.sendall(("\n".join(lines) + "\n").encode())
+        by_end.setdefault(r["extra"], []).append(payload(r))
+    for end, payloads in by_end.items():
+        if left := connections().send(end, payloads):
+            log.warning("%d messages to %s wait", left, end)
+
+
+def send_lines(rows: list[dict]) -> None:
+    """Graphite lines, over the endpoint's connection."""
+    send_to_ends(rows, lambda r: (r["message"] + "\n").encode())
 
 
 def send_events(rows: list[dict]) -> None:
     """Length-framed messages to a peer."""
     from tidemark.sources.wire import frame
 
-    by_end: dict[str, list[dict]] = {}
-    for r in rows:
-        by_end.setdefault(r["extra"], []).append(json.loads(r["event"]))
-    for end, events in by_end.items():
-        host, port = end.rsplit(":", 1)
-        with socket.create_connection((host, int(port)), timeout=10) as s:
-            for e in events:
-                s.sendall(frame({"events": [e]}))
+    send_to_ends(rows, lambda r: frame({"events": [json.loads(r["event"])]}))
+
+
+def at_once(fn: Callable, rows: list) -> None:
+    """Call for all, several at a time; the first failure is raised after all have been tried."""
+    with ThreadPoolExecutor(WORKERS) as pool:
+        errors = [e for e in (f.exception() for f in [pool.submit(fn, r) for r in rows]) if e]
+    if errors:
+        raise errors[0]
 
 
 def send_mail(rows: list[dict]) -> None:
+    """Mails, one session for each server."""
+    by_server: dict[str, list[dict]] = {}
     for r in rows:
-        how = json.loads(r["extra"])
-        mail = EmailMessage()
-        mail["Subject"], mail["From"], mail["To"] = r["message"], how["from"], ", ".join(how["to"])
-        mail.set_content(r["event"])
-        with smtplib.SMTP(how["server"], timeout=10) as server:
-            server.send_message(mail)
+        by_server.setdefault(json.loads(r["extra"])["server"], []).append(r)
+
+    def session(part: tuple[str, list[dict]]) -> None:
+        host, _, port = part[0].partition(":")
+        with smtplib.SMTP(host, int(port or 0), timeout=10) as server:
+            for r in part[1]:
+                how = json.loads(r["extra"])
+                mail = EmailMessage()
+                mail["Subject"], mail["From"], mail["To"] = r["message"], how["from"], ", ".join(how["to"])
+                mail.set_content(r["event"])
+                server.send_message(mail)
+
+    at_once(session, list(by_server.items()))
 
 
 def send_incidents(rows: list[dict], url: str = "https://events.pagerduty.com/generic/2010-04-15/create_event.json") -> None:
+    """Incidents, several requests at a time; those of one incident in order."""
+    by_incident: dict[tuple, list[dict]] = {}
     for r in rows:
-        action = r["method"].removeprefix("pagerduty_")
-        body = {"service_key": r["extra"], "event_type": action, "incident_key": r["message"], "description": r["message"], "details": json.loads(r["event"])}
-        urlopen(Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=10).close()
+        by_incident.setdefault((r["extra"], r["message"]), []).append(r)
 
+    def post(own: list[dict]) -> None:
+        for r in own:
+            action = r["method"].removeprefix("pagerduty_")
+            body = {"service_key": r["extra"], "event_type": action, "incident_key": r["message"], "description": r["message"], "details": json.loads(r["event"])}
+            urlopen(Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=10).close()
 
-TRANSPORTS: dict[str, Callable[[list[dict]], None]] = {"graphite": send_lines, "forward": send_events, "email": send_mail, "pagerduty_resolve": send_incidents, "pagerduty_acknowledge": send_incidents, "pagerduty_trigger": send_incidents}
+    at_once(post, list(by_incident.values()))
+
+
+def print_rows(rows: list[dict]) -> None:
+    for r in rows:
+        print(r["message"])
+
+
+TRANSPORTS: dict[str, Callable[[list[dict]], None]] = {"graphite": send_lines, "forward": send_events, "email": send_mail, "pagerduty_resolve": send_incidents, "pagerduty_acknowledge": send_incidents, "pagerduty_trigger": send_incidents, "print": print_rows}
 
 
 def deliver(reports: DataFrame, transports: dict[str, Callable[[list[dict]], None]] | None = None, batch: int = 500) -> None:
@@ -147,11 +257,18 @@ def deliver(reports: DataFrame, transports: dict[str, Callable[[list[dict]], Non
     reports.foreachPartition(run)
 
 
-def each_batch(program: Stream, send: Callable[[DataFrame], None] = deliver):
-    """A ``foreachBatch`` function: run a program's stateless sinks on each micro-batch and deliver its reports."""
+def each_batch(program: Stream | Callable[[], Stream], send: Callable[[DataFrame], None] = deliver):
+    """A ``foreachBatch`` function: run a stateless program on each micro-batch and deliver its reports.
+
+    ``program`` may be a function that gives the current program, as ``tester.RulesFile`` does. A node with state
+    would start afresh with each batch: put it in front, in the streaming plan.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        reports = program.run(batch).reports
+        now = program if isinstance(program, Stream) else program()
+        if not now.stateless:
+            raise ValueError("a program with state can't run batch by batch: apply its stateful part to the stream")
+        reports = now.run(batch).reports
         if reports is not None:
             send(reports)
 

@@ -6,10 +6,12 @@ messages are decoded on executors. ``NetworkSource`` is a streaming data source
 
 from __future__ import annotations
 
+import os
 import socket
 import struct
 import threading
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,13 @@ from tidemark.schema import as_events
 #: Fields of the messages, by number.
 EVENT_FIELDS = {1: ("time", "int64"), 2: ("state", "string"), 3: ("service", "string"), 4: ("host", "string"), 5: ("description", "string"), 7: ("tags", "string*"), 8: ("ttl", "float"), 9: ("attributes", "attribute*"), 13: ("metric_sint64", "sint64"), 14: ("metric_d", "double"), 15: ("metric_f", "float")}
 ATTRIBUTE_FIELDS = {1: ("key", "string"), 2: ("value", "string")}
-MESSAGE_FIELDS = {2: ("ok", "bool"), 3: ("error", "string"), 6: ("events", "event*")}
-TABLES = {"event": EVENT_FIELDS, "attribute": ATTRIBUTE_FIELDS, "msg": MESSAGE_FIELDS}
+QUERY_FIELDS = {1: ("string", "string")}
+MESSAGE_FIELDS = {2: ("ok", "bool"), 3: ("error", "string"), 5: ("query", "query"), 6: ("events", "event*")}
+TABLES = {"event": EVENT_FIELDS, "attribute": ATTRIBUTE_FIELDS, "query": QUERY_FIELDS, "msg": MESSAGE_FIELDS}
+#: How each type of field is laid out.
+WIRE_TYPES = {"int64": 0, "sint64": 0, "bool": 0, "double": 1, "string": 2, "float": 5}
+#: Bits of ``seq`` for the place of an event in its message; a frame can't hold so many.
+PLACE_BITS = 20
 #: Largest frame on TCP, and largest datagram on UDP.
 MAX_FRAME, MAX_DATAGRAM = 1536 * 1024, 4096
 ROW = "time bigint, host string, service string, state string, description string, metric double, ttl float, tags array<string>, attributes map<string,string>"
@@ -67,6 +74,8 @@ def decode(data: bytes, kind: str = "msg") -> dict:
             continue
         name, type_ = TABLES[kind][tag >> 3]
         base = type_.rstrip("*")
+        if wire != WIRE_TYPES.get(base, 2):
+            raise WireError(f"{name} has wire type {wire}")
         if base in TABLES:
             value = decode(raw, base)
         elif base == "string":
@@ -133,7 +142,10 @@ def row(event: dict) -> dict:
 
 
 def decode_messages(df: DataFrame, message: str = "message", seq: str = "seq") -> DataFrame:
-    """Events of a table of binary messages; broken messages give none."""
+    """Events of a table of binary messages; broken messages give none.
+
+    An event's ``seq`` is the message's, and its place in it: events of a message stay in order.
+    """
     kinds = pa.schema([("time", pa.int64()), ("host", pa.string()), ("service", pa.string()), ("state", pa.string()), ("description", pa.string()), ("metric", pa.float64()), ("ttl", pa.float32()), ("tags", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string())), ("seq", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +153,7 @@ def decode_messages(df: DataFrame, message: str = "message", seq: str = "seq") -
             rows = []
             for number, raw in zip(b.column("seq").to_pylist(), b.column("message").to_pylist()):
                 try:
-                    rows += [row(e) | {"seq": number} for e in decode(raw).get("events", [])]
+                    rows += [row(e) | {"seq": (number << PLACE_BITS) + i} for i, e in enumerate(decode(raw).get("events", []))]
                 except WireError:
                     continue
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in kinds], schema=kinds)
@@ -150,12 +162,60 @@ def decode_messages(df: DataFrame, message: str = "message", seq: str = "seq") -
     return as_events(out, **{c: c for c in ("seq", "time", "host", "service", "state", "description", "metric", "ttl", "tags", "attributes")})
 
 
+class Log:
+    """Accepted messages on disk, in segments by their first number, so that a restart knows what was acknowledged.
+
+    The folder belongs to the driver and must outlive it.
+    """
+
+    SEGMENT = 1000
+
+    def __init__(self, path: str):
+        self.path, self.file = Path(path), None
+        self.path.mkdir(parents=True, exist_ok=True)
+
+    def read(self) -> dict[int, bytes]:
+        out = {}
+        for segment in sorted(self.path.glob("*.log")):
+            data, at = segment.read_bytes(), 0
+            while at + 12 <= len(data):
+                number, size = struct.unpack_from(">QI", data, at)
+                if at + 12 + size > len(data):
+                    break  # not acknowledged
+                out[number] = data[at + 12 : at + 12 + size]
+                at += 12 + size
+        return out
+
+    def first_unused(self) -> int:
+        """One past the last number; kept in the names of segments, also when all messages are gone."""
+        return max([n + 1 for n in self.read()] + [int(s.stem) for s in self.path.glob("*.log")], default=0)
+
+    def add(self, number: int, raw: bytes) -> None:
+        if self.file is None or number % self.SEGMENT == 0:
+            if self.file:
+                self.file.close()
+            self.file = open(self.path / f"{number:020d}.log", "ab")  # noqa: SIM115
+        self.file.write(struct.pack(">QI", number, len(raw)) + raw)
+        self.file.flush()
+        os.fsync(self.file.fileno())
+
+    def drop_before(self, number: int) -> None:
+        segments = sorted(self.path.glob("*.log"))
+        for own, after in zip(segments, segments[1:]):
+            if int(after.stem) <= number:
+                own.unlink()
+
+
 class Listener:
-    """Takes messages on TCP or UDP and keeps them until they are committed. TCP messages are acknowledged when taken."""
+    """Takes messages on TCP or UDP and keeps them until they are committed.
 
-    def __init__(self, host: str, port: int, protocol: str):
-        self.messages: dict[int, bytes] = {}
-        self.next = 0
+    TCP messages are acknowledged when taken, with a log only once they are on disk. Queries are refused.
+    """
+
+    def __init__(self, host: str, port: int, protocol: str, log: str | None = None):
+        self.log = Log(log) if log else None
+        self.messages: dict[int, bytes] = self.log.read() if self.log else {}
+        self.next = self.log.first_unused() if self.log else 0
         self.lock = threading.Lock()
         self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM if protocol == "udp" else socket.SOCK_STREAM)
         self.socket.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
@@ -165,6 +225,8 @@ class Listener:
 
     def add(self, raw: bytes) -> None:
         with self.lock:
+            if self.log:
+                self.log.add(self.next, raw)
             self.messages[self.next] = raw
             self.next += 1
 
@@ -184,6 +246,13 @@ class Listener:
                 size = struct.unpack(">I", head)[0]
                 if size + 4 > MAX_FRAME or len(raw := f.read(size)) < size:
                     return
+                try:
+                    asks = "query" in decode(raw)
+                except WireError:
+                    asks = False  # decoding leaves it out
+                if asks:
+                    connection.sendall(frame({"ok": False, "error": "queries are not supported"}))
+                    continue
                 self.add(raw)
                 connection.sendall(frame({"ok": True}))
 
@@ -194,24 +263,32 @@ class Messages(InputPartition):
 
 
 class NetworkReader(DataSourceStreamReader):
+    """Options: host, port, protocol (tcp or udp), partitions (of a micro-batch), log (a folder; without, a query can't be resumed)."""
+
     def __init__(self, options: dict):
-        self.listener = Listener(options.get("host", "127.0.0.1"), int(options.get("port", 5555)), options.get("protocol", "tcp"))
+        self.listener = Listener(options.get("host", "127.0.0.1"), int(options.get("port", 5555)), options.get("protocol", "tcp"), options.get("log"))
+        self.split = int(options.get("partitions", 8))
 
     def initialOffset(self) -> dict:
-        return {"next": 0}
+        return {"next": min(self.listener.messages, default=self.listener.next)}
 
     def latestOffset(self) -> dict:
         return {"next": self.listener.next}
 
     def partitions(self, start: dict, end: dict) -> list[Messages]:
         with self.listener.lock:
+            if start["next"] > self.listener.next or end["next"] > self.listener.next:
+                raise RuntimeError("the query resumes behind what this listener has taken: messages of an earlier run are only kept with the option log")
             rows = [(i, self.listener.messages[i]) for i in range(start["next"], end["next"]) if i in self.listener.messages]
-        return [Messages(rows)]
+        step = max(1, -(-len(rows) // self.split))
+        return [Messages(rows[lo : lo + step]) for lo in range(0, len(rows), step)] or [Messages([])]
 
     def commit(self, end: dict) -> None:
         with self.listener.lock:
             for i in [i for i in self.listener.messages if i < end["next"]]:
                 del self.listener.messages[i]
+            if self.listener.log:
+                self.listener.log.drop_before(end["next"])
 
     def read(self, partition: Messages) -> Iterator[tuple]:
         yield from partition.rows
@@ -231,6 +308,7 @@ class NetworkSource(DataSource):
         return NetworkReader(self.options)
 
 
-def network_events(spark: SparkSession, host: str = "127.0.0.1", port: int = 5555, protocol: str = "tcp") -> DataFrame:
+def network_events(spark: SparkSession, host: str = "127.0.0.1", port: int = 5555, protocol: str = "tcp", log: str | None = None) -> DataFrame:
     spark.dataSource.register(NetworkSource)
-    return decode_messages(spark.readStream.format("tidemark-network").options(host=host, port=str(port), protocol=protocol).load())
+    options = {"host": host, "port": str(port), "protocol": protocol} | ({"log": log} if log else {})
+    return decode_messages(spark.readStream.format("tidemark-network").options(**options).load())

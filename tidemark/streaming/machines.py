@@ -33,6 +33,19 @@ class Machine:
         raise NotImplementedError
 
 
+class User(Machine):
+    """A state machine given as functions; keys that the functions leave out of an event are kept from the one pushed."""
+
+    def __init__(self, push: Callable[[dict, dict], list[dict]], start: Callable[[], dict]):
+        self.own, self.begin = push, start
+
+    def start(self):
+        return self.begin()
+
+    def push(self, s, e):
+        return [e | x for x in self.own(s, dict(e))]
+
+
 class ChangedState(Machine):
     def __init__(self, initial: str):
         self.initial = initial
@@ -218,7 +231,7 @@ class Coalesce(Machine):
         if s["live"]:
             fast = s["sum"] if self.name in ("sum", "count", "mean") and not self.keep_events else None
             if fast is not None:  # only the first event and the greatest time are needed besides
-                head, times = s["live"][s["order"][0]], [x["time"] for x in s["live"].values() if x["time"] is not None] if now != e["time"] else [now]
+                head, times = s["live"][s["order"][0]], [x["time"] for x in s["live"].values() if x["time"] is not None] if now != e["time"] or key not in s["live"] else [now]
                 value = {"sum": fast, "count": float(len(s["live"])), "mean": fast / len(s["live"])}[self.name]
                 out.append(head | {"metric": value, "time": max(times) if times else None, "seq": e["seq"]})
             else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ ROWS = 10_000
 
 
 def output_schema(ctx: Context) -> T.StructType:
-    return T.StructType([*EVENT.fields, *(T.StructField(k, T.StringType()) for k in ctx.keys)])
+    return T.StructType([*EVENT.fields, *(T.StructField(k, T.StringType()) for k in ctx.keys), *(T.StructField(k, T.IntegerType()) for k in ctx.order[1:])])
 
 
 def scan(df: DataFrame, ctx: Context, machine: Machine, extra: list[str] = ()) -> DataFrame:
@@ -57,7 +57,41 @@ def batch(df: DataFrame, ctx: Context, machine: Machine) -> DataFrame:
             yield records(out, arrow)
 
     dealt = df.repartition(*map(F.col, keys)) if keys else df.repartition(1)
-    return dealt.sortWithinPartitions(*keys, "seq").mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys, *ctx.order).mapInArrow(run, schema)
+
+
+def annotate(df: DataFrame, ctx: Context, start: Callable[[], object], step: Callable[..., tuple], inputs: list[str], added: T.StructType) -> DataFrame:
+    """Columns that depend on a key's rows before, by ``step(state, *inputs)`` in arrival order.
+
+    One exchange and one sort; only the inputs become Python values, all other columns stay in
+    Arrow, and no row is held back.
+    """
+    import pyarrow.compute as pc
+
+    keys, kinds = list(ctx.keys), [to_arrow_schema(T.StructType([f])).field(0).type for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for k in keys:
+                c = b.column(k)
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            first = [b.column(k)[0].as_py() for k in keys]
+            new[0] = last is None or first != last
+            last = [b.column(k)[b.num_rows - 1].as_py() for k in keys]
+            out = []
+            for fresh, *values in zip(new.tolist(), *(b.column(c).to_pylist() for c in inputs)):
+                if fresh:
+                    state = start()
+                out.append(step(state, *values))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out), kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *added.fieldNames()])
+
+    dealt = df.repartition(*map(F.col, keys)) if keys else df.repartition(1)
+    return dealt.sortWithinPartitions(*keys, *ctx.order).mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
 
 
 def records(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -79,7 +113,7 @@ def streaming(df: DataFrame, ctx: Context, machine: Machine) -> DataFrame:
     def run(key, parts, state):
         own = pickle.loads(state.get[0]) if state.exists else machine.start()
         rows = [clean(r) for part in parts for r in part.to_dict("records")]
-        out = [x for r in sorted(rows, key=lambda r: r["seq"]) for x in machine.push(own, r)]
+        out = [x for r in sorted(rows, key=lambda r: [r[c] for c in ctx.order]) for x in machine.push(own, r)]
         state.update((pickle.dumps(own),))
         frame = {n: pd.Series([r.get(n) for r in out], dtype=object) for n in names}
         for f in schema.fields:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import importlib.util
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def run(events: DataFrame, rules: Stream, ctx: Context | None = None) -> dict:
     result = rules.run(events, ctx)
     reports, indexed = [], []
     if result.reports is not None:
-        for r in result.reports.orderBy("seq", "method").collect():
+        for r in result.reports.filter("method <> 'print'").orderBy("seq", "method").collect():
             reports.append([r["method"], {"time": r["time"], "message": r["message"], "extra": r["extra"], "event": json.loads(r["event"])}])
     if result.indexed is not None:
         for r in result.indexed.orderBy("seq").select("time", report_json().alias("event")).collect():
@@ -44,6 +45,26 @@ def load_rules(path: str) -> Stream:
     return module.rules()
 
 
+class RulesFile:
+    """The program of a rules file, loaded anew when the file has changed; a change that fails to load leaves the last program in force."""
+
+    def __init__(self, path: str):
+        self.path, self.stamp, self.program, self.error = path, None, None, None
+
+    def __call__(self) -> Stream:
+        stat = os.stat(self.path)
+        stamp = (stat.st_mtime_ns, stat.st_size)
+        if stamp != self.stamp:
+            try:
+                self.program, self.error = load_rules(self.path), None
+            except Exception as e:
+                if self.program is None:
+                    raise
+                self.error = e
+            self.stamp = stamp
+        return self.program
+
+
 class VirtualClock:
     """A clock that only goes forward and runs due tasks in order on its way."""
 
