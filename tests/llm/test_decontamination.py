@@ -48,6 +48,26 @@ def test_planted(spark):
     assert sorted(map(tuple, sliced)) == sorted(map(tuple, rows))
 
 
+def test_large_benchmark_is_joined(spark, monkeypatch):
+    """The join of seeds gives what the index in memory does: odd rows, repeated ones, a phrase that many items and texts hold."""
+    items, texts, _ = planted(4)
+    phrase = " ".join(f"common{i}" for i in range(9))
+    items = [f"{phrase} {t}" for t in items[:10]] + ["eight words are the least that any item", "", None, items[0]]
+    texts = texts[:30] + [phrase, f"{phrase} {phrase}", "", None, (items[3],), (items[3],), "x " * 20000 + items[4], "Eight words, are the least that other item"]
+    docs = documents(spark, texts).unionByName(documents(spark, [items[5], "clean text"])).withColumnRenamed("lang", "item_id").withColumnRenamed("source", "shift")
+    b = bench(spark, items).unionByName(bench(spark, items[:2]))
+    want = sorted(tuple(-1 if x is None else x for x in r) for r in D.overlaps(docs, b).collect())
+    assert len(want) >= 8 and any(r[0] == -1 for r in want)
+    monkeypatch.setattr(D, "HITS", 5)
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in D.overlaps(docs, b).collect()) == want
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in D.overlaps(docs, b, slice_chars=0).collect()) == want
+    left = [sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in D.remove(docs, b, slice_chars=n).collect()) for n in (0, 10**9)]
+    assert left[0] == left[1] and D.remove(docs, b).columns == docs.columns
+    # of two rows of doc_id 1 the clean one stays
+    assert [t for n, i, t in left[0] if not n and i == 1 and t == "clean text"] == ["clean text"]
+    assert D.overlaps(docs.limit(0), b, slice_chars=0).count() == 0
+
+
 def brute(items, texts):
     """All alignments of all pairs."""
     split = lambda t: [w for w in ("".join(c for c in x.lower() if c.isalnum()) for x in (t or "").split()) if w]

@@ -540,14 +540,14 @@ def open_rows(found: DataFrame) -> DataFrame:
     return of_kind(found, OPEN, POSTING)
 
 
-def bitmap(keys: DataFrame, bits: int | None = None) -> np.ndarray:
+def bitmap(keys: DataFrame, bits: int | None = None, each: int = 16) -> np.ndarray:
     """A bit for each bucket that a key (column ``key``, evenly spread longs) falls into.
 
-    About sixteen bits for each key, from 2**20 on, 2**BITMAP_BITS at most: 16 MB. Beyond
+    About ``each`` bits for each key, from 2**20 on, 2**BITMAP_BITS at most: 16 MB. Beyond
     some ten million keys it lets more through, which the joins behind it keep out.
     """
     if bits is None:
-        bits = min(BITMAP_BITS, max(20, (16 * keys.count()).bit_length()))
+        bits = min(BITMAP_BITS, max(20, (each * keys.count()).bit_length()))
     at = F.shiftrightunsigned("key", 64 - bits)
     words = keys.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at.bitwiseAND(F.lit(63))).cast("int")).alias("m"))
     rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
