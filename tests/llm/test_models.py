@@ -29,6 +29,16 @@ def test_license_paragraphs(spark):
     assert licenses.scan_paragraphs(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_license_rows_of_one_id(spark):
+    """Different texts of one doc_id, and of none, are each reported; rows that are the same get the same."""
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1, mit), (1, apache), (1, apache), (None, mit), (None, "none"), (2, f"{mit}\n{mit}\n{apache}"), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, paragraph int, content string")
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scan_paragraphs(docs).collect()) == [(1, 0, "apache-2.0"), (1, 0, "mit"), (2, 0, "mit"), (2, 1, "mit"), (2, 2, "apache-2.0")]
+    got = sorted((str(r["doc_id"]), r["licenses"], r["n_confirmed"], r["n_unknown"]) for r in licenses.document_licenses(docs).collect())
+    assert got == sorted([("1", "mit", 1, 0), ("1", "apache-2.0", 1, 0), ("1", "apache-2.0", 1, 0), ("None", "mit", 1, 0), ("None", "", 0, 0), ("2", "apache-2.0,mit", 3, 0), ("3", "", 0, 0), ("3", "", 0, 0)])
+
+
 NOTICES = {
     "mit": "Released under the MIT terms.", "apache-2.0": "Apache, Version 2.0", "gpl-2.0": "General Public version 2 only", "gpl-3.0": "GNU GPL v3.", "lgpl": "GNU Lesser General Public", "agpl": "under the terms of the GNU Affero General Public",
     "mpl-2.0": "Mozilla Public v. 2.0.", "bsd": "Distributed under the BSD 3-Clause terms.", "isc": "Released under the ISC terms.", "cc-by": "Text is available under Creative Commons Attribution 4.0 International.",
@@ -76,6 +86,16 @@ def test_toxicity(spark):
     assert toxicity.grade_documents(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_repeated_rows(spark):
+    """Rows that share a labelled doc_id, and repeated labels, train the model as one."""
+    texts, y = toxic_corpus(3, 200)
+    docs, labels = documents(spark, texts), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    want = toxicity.train(docs, labels)
+    for more in (docs.filter("doc_id < 20"), docs.filter("doc_id = 7")):
+        got = toxicity.train(docs.unionByName(more).unionByName(more), labels.unionByName(labels.filter("doc_id < 50")))
+        assert got.words == want.words and np.allclose(got.weights, want.weights) and abs(got.cutoff - want.cutoff) < 1e-6
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a", None])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))

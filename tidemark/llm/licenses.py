@@ -11,9 +11,10 @@ it: the 2-grams of paragraph and template overlap by ``CONFIRM`` of the smaller
 Without an anchor word, only confirmed paragraphs are reported.
 
 Results for odd input: null and empty texts have no such paragraphs.
-Rows whose doc_id is null take no part in ``scan_paragraphs``. Repeated rows of one
-doc_id give repeated paragraph rows. An empty table gives no rows; other columns
-are ignored.
+Rows are told apart by doc_id and text: rows of one doc_id with different texts are each scanned; rows that
+are the same in both give their paragraphs once, and ``op5_licenses`` reports them each. Rows whose
+doc_id is null take part where ``null_ids`` says so, as in ``op5_licenses``. An empty table gives no rows; other columns are
+ignored. Of equal probabilities the family whose name is last counts.
 """
 
 from __future__ import annotations
@@ -163,12 +164,13 @@ def gram_column(text: Column, sizes: tuple[int, ...]) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def scan_paragraphs(docs: DataFrame, model: LicenseModel | None = None, text: str = "text") -> DataFrame:
-    """A row per paragraph with an anchor or confirmed: doc_id, paragraph, content, family, probability, similarity, confirmed."""
+def scan_paragraphs(docs: DataFrame, model: LicenseModel | None = None, text: str = "text", null_ids: bool = False) -> DataFrame:
+    """A row per paragraph with an anchor or confirmed: doc_id, text_hash (xxhash64 of the text), paragraph, content, family, probability, similarity, confirmed."""
     spark, model = docs.sparkSession, model or trained()
     pattern, few, every = gate()
     some = lambda c: F.lower(c).rlike(pattern)
-    keep = docs.filter(F.col("doc_id").isNotNull() & (some(F.col(text)) | F.col(text).rlike(ANCHOR))).select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "content"))
+    docs = docs if null_ids else docs.filter(F.col("doc_id").isNotNull())
+    keep = docs.filter(some(F.col(text)) | F.col(text).rlike(ANCHOR)).select(F.col("doc_id").cast("string").alias("__id"), F.xxhash64(text).alias("__text"), F.col("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "content"))
     two, content = gram_column(F.col("content"), (2,)), F.col("content")
     enough = (F.size(two) <= 2) | F.arrays_overlap(two, F.array(*map(F.lit, few))) | (F.size(F.array_intersect(two, F.array(*map(F.lit, every)))) >= 2)
     keep = keep.filter(content.rlike(ANCHOR) | (some(content) & enough))
@@ -178,9 +180,9 @@ def scan_paragraphs(docs: DataFrame, model: LicenseModel | None = None, text: st
     for f, k, _ in forms:
         size[f, k] = size.get((f, k), 0) + 1
     templates = spark.createDataFrame([(g, f, k, size[f, k]) for f, k, g in forms], "gram string, tfamily string, template int, tsize int")
-    keys = ["doc_id", "paragraph"]
     # both tables on the right are of fixed size: model and templates
-    one = cut(keep.groupBy(*keys).agg(F.min("content").alias("content")))
+    keys = ["__id", "__text", "paragraph"]
+    one = cut(keep.withColumn("__id", F.coalesce(F.concat(F.lit("="), "__id"), F.lit(""))).groupBy(*keys).agg(F.first("doc_id").alias("doc_id"), F.first("content").alias("content")))
     pairs = one.select(*keys, F.explode(gram_column(F.col("content"), (1, 2))).alias("gram")).join(F.broadcast(weights), "gram")
     n = len(FAMILIES)
     score = pairs.groupBy(*keys).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)))
@@ -196,16 +198,21 @@ def scan_paragraphs(docs: DataFrame, model: LicenseModel | None = None, text: st
     meet = meet.groupBy(*keys, "template").agg((F.count("*") / F.least(F.max("psize"), F.max("tsize"))).alias("s")).groupBy(*keys).agg(F.max("s").alias("similarity"))
     out = scored.join(meet, keys, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     sure = (F.col("guess") != "unknown") & (F.col("similarity") >= CONFIRM)
-    return out.filter(sure | content.rlike(ANCHOR)).select(*keys, "content", F.when(sure, F.col("guess")).otherwise("unknown").alias("family"), "probability", "similarity", sure.alias("confirmed"))
+    return out.filter(sure | content.rlike(ANCHOR)).select("doc_id", F.col("__text").alias("text_hash"), "paragraph", "content", F.when(sure, F.col("guess")).otherwise("unknown").alias("family"), "probability", "similarity", sure.alias("confirmed"))
 
 
-def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the families of its confirmed paragraphs (sorted, comma-joined), their number, and that of unknown ones."""
-    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan_paragraphs(docs).groupBy("doc_id").agg(
+def document_licenses(docs: DataFrame) -> DataFrame:
+    """Each row's doc_id with the families of its confirmed paragraphs (sorted, comma-joined), their number, and that of unknown ones."""
+    docs = docs.select("doc_id", "text")
+    found = scan_paragraphs(docs, null_ids=True).groupBy(F.col("doc_id").alias("d"), "text_hash").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licenses"),
         F.count_if("confirmed").alias("n_confirmed"),
         F.count_if(~F.col("confirmed")).alias("n_unknown"),
     )
-    out = docs.select("doc_id").join(found, "doc_id", "left")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    out = rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["h"] == found["text_hash"]), "left")
     return out.select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_licenses(tables(spark, sf_dir, "documents"))

@@ -16,7 +16,9 @@ toxic one. Scoring covers whole texts of all rows.
 Results for odd input: null or empty text has no features and is graded by the
 thresholds alone, as clean. Labels that are null, or of documents that are
 missing, are left out of training. Without labelled rows of both classes nothing
-can be learned and every row gets severity 0. Repeated rows are scored each.
+can be learned and every row gets severity 0. Repeated rows are scored each; of rows that share a
+labelled doc_id one trains the model, the one whose text comes first by its hash; of repeated labels the
+highest counts. An empty table gives no rows; long texts are scored whole.
 Columns named like an output column are replaced; all others pass through.
 """
 
@@ -38,6 +40,8 @@ PER_CLASS = 3_000
 VOCABULARY = 2_000
 #: Chi-square under which a word is no feature: at least so much, and so much for each document of the sample.
 LEAST_CHI2 = (15.0, 0.01)
+#: Parts of the sample that are held out in turn to find the cutoff, and steps of these fits.
+FOLDS, FOLD_STEPS = 4, 300
 OUT = ("p_toxic", "p_severe", "expected_severity", "grade", "toxic")
 
 WORD = re.compile(r"[^\W_]+")
@@ -116,7 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     parts = [known.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (F.col("y") >= 1, F.col("y") < 1)]
     sample = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # 2 * per_class rows at most
+    sample = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # 2 * per_class ids at most
+    # one row of each id: first its hash, so that only that row's text is moved
+    first = sample.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
+    sample = sample.join(F.broadcast(first.withColumnRenamed("doc_id", "d")), (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h"))).select("doc_id", "text", "y")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -126,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(own), pa.int64()), "y": pa.array([y] * len(own), pa.int32()), "word": pa.array(own, pa.string())})
 
     seen = cut(sample.mapInArrow(words, "doc_id long, y int, word string"))
+    seen = seen.dropDuplicates(["doc_id", "word"])  # rows that are the same in doc_id and text
     count = seen.groupBy("word").agg(F.count_if(F.col("y") >= 1).alias("a"), F.count_if(F.col("y") < 1).alias("b"))
     total = {r["word"]: (r["a"], r["b"]) for r in count.filter(F.col("word") == "").collect()}
     n1, n0 = total.get("", (0, 0))  # every document has the empty word once
@@ -139,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     rate = np.array([((r["a"] + 0.5) / (n1 + 1)) / ((r["b"] + 0.5) / (n0 + 1)) for r in chosen])
     kept = seen.join(F.broadcast(seen.sparkSession.createDataFrame([(w, i) for w, i in index.items()] or [("", -1)], "word string, f int")), "word", "left")
     # each sample document's features: its vocabulary words, at most ``vocabulary``
-    rows = kept.groupBy("doc_id").agg(F.max("y").alias("y"), F.collect_list("f").alias("f")).orderBy("doc_id").collect()
+    rows = kept.groupBy("doc_id").agg(F.max("y").alias("y"), F.collect_set("f").alias("f")).orderBy("doc_id").collect()
     row = np.repeat(np.arange(len(rows)), [len(r["f"]) for r in rows])
     feature = np.array([i for r in rows for i in r["f"]], np.int64)
     row, feature = row[feature >= 0], feature[feature >= 0]
@@ -149,7 +157,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     if not len(index):
         return OrdinalModel()
     weights, thresholds = fit(row, feature, grade.astype(np.int64), len(index))
-    p = sigmoid(np.bincount(row, weights[feature], minlength=len(rows)) - thresholds[0])
+    # each document by a model that has not seen it
+    p = np.zeros(len(rows))
+    fold = np.arange(len(rows)) % FOLDS
+    for k in range(FOLDS):
+        use = fold[row] != k
+        order = np.cumsum(fold != k) - 1
+        w, t = fit(order[row[use]], feature[use], grade[fold != k].astype(np.int64), len(index), steps=FOLD_STEPS)
+        p[fold == k] = sigmoid(np.bincount(row, w[feature], minlength=len(rows)) - t[0])[fold == k]
     # halfway, in proportion, between where nearly all clean ones end and nearly all toxic ones begin
     low, high = np.quantile(p[grade == 0], 0.995), np.quantile(p[grade > 0], 0.005)
     return OrdinalModel(index, weights, thresholds, min(0.5, max(0.05, float(np.sqrt(low * high)))) if low < high else 0.5)
