@@ -37,6 +37,20 @@ def test_exact(spark, seed, monkeypatch):
     assert got == expected(rows, 5, 64, lambda i: i % 20 == 0)
 
 
+def test_repeated_ids_and_clashing_names(spark):
+    """Each row is a candidate for all others, also for rows of its own id; names of other columns don't matter."""
+    rows = [(0, [1.0, 2.0]), (0, [3.0, 1.0]), (6, [5.0, 5.0]), (6, [5.0, 5.0]), (13, [4.0, 4.0]), (20, [0.0, -1.0])]
+    df = spark.createDataFrame([(i, e, "x", 1, 2.0) for i, e in rows], "vec_id long, embedding array<float>, row string, v int, norm double")
+    got = sorted(tuple(r) for r in topk.top_k(df, lambda i: i % 20 == 0, k=3).collect())
+    v = [[math.floor(64 * x) for x in e] for _, e in rows]
+    want = []
+    for a, (q, _) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v[a], v[b])), i) for b, (i, _) in enumerate(rows) if b != a)[:3]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want) and len(got) == 9
+
+
 def test_few_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, lambda i: i % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]

@@ -15,8 +15,9 @@ the k-th best score, so nothing is lost.
 
 Results for odd input: vectors that are null or hold a null or non-finite
 component take no part. Scores are between vectors of equal dimension only.
-Ties go to the smaller id. A query's own row (its id) is left out. Rows whose id is
-null take no part. Components beyond the range of long are held to that range,
+Ties go to the smaller id. A query's own row is left out; other rows of the same id are
+candidates like all others, and a query row that repeats an id has its own k best, under that id
+again. Rows whose id is null take no part. Components beyond the range of long are held to that range,
 scores likewise. An empty table gives no rows; other columns are ignored.
 """
 
@@ -40,17 +41,19 @@ LONG = (-(2**63), 2**63 - 1)
 
 
 def quantise(df: DataFrame, vec_id: str, embedding: str, scale: float) -> DataFrame:
-    """vec_id, v (array of long), norm (double) of the rows that take part."""
+    """vec_id, row (a number of its own), v (array of long), norm (double) of the rows that take part."""
     e = F.col(f"`{embedding}`")
     whole = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     v = F.transform(e, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    out = df.filter(e.isNotNull() & whole & F.col(f"`{vec_id}`").isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v"))
+    # a row's place in the scan tells it from others of its id; the same wherever the scan runs again
+    df = df.select(f"`{vec_id}`", f"`{embedding}`").withColumn("__row", F.monotonically_increasing_id())
+    out = df.filter(e.isNotNull() & whole & F.col(f"`{vec_id}`").isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col("__row").alias("row"), v.alias("v"))
     return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
 
-def matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension: ids and vectors (float64, or Python integers where products could pass 2**53)."""
-    ids = table.column("vec_id").to_numpy()
+def matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By dimension: ids, row numbers and vectors (float64, or Python integers where products could pass 2**53)."""
+    ids, number = table.column("vec_id").to_numpy(), table.column("row").to_numpy()
     v = table.column("v").combine_chunks()
     if isinstance(v, pa.ChunkedArray):
         v = v.chunk(0) if v.num_chunks else pa.array([], pa.list_(pa.int64()))
@@ -58,7 +61,7 @@ def matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     size, out = np.diff(offsets), {}
     for d in np.unique(size):
         rows = np.flatnonzero(size == d)
-        out[int(d)] = ids[rows], flat[offsets[rows][:, None] + np.arange(d)[None, :]].reshape(len(rows), int(d))
+        out[int(d)] = ids[rows], number[rows], flat[offsets[rows][:, None] + np.arange(d)[None, :]].reshape(len(rows), int(d))
     return out
 
 
@@ -77,13 +80,17 @@ def kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Rows (query, candidate, score) that hold each query's k best of these candidates, none under theta."""
+def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, c_rows: np.ndarray | None = None) -> tuple[list, list, list]:
+    """Rows (query, candidate, score) that hold each query's k best of these candidates, none under theta.
+
+    A query's own row is the one whose number in ``c_rows`` is its id here; without, whose id is.
+    """
+    c_rows = c_ids if c_rows is None else c_rows
     q, c = exact(q, c)
     unit_q, unit_c = q.astype(np.float64), c.astype(np.float64)
     norm_q, norm_c = np.sqrt((unit_q**2).sum(1)), np.sqrt((unit_c**2).sum(1))
     order = np.lexsort((c_ids, -norm_c))
-    c_ids, c, norm_c, unit_c = c_ids[order], c[order], norm_c[order], unit_c[order]
+    c_ids, c_rows, c, norm_c, unit_c = c_ids[order], c_rows[order], c[order], norm_c[order], unit_c[order]
     unit_q = unit_q / np.maximum(norm_q, 1e-300)[:, None]
     unit_c = unit_c / np.maximum(norm_c, 1e-300)[:, None]
     focus = np.argsort(-np.abs(unit_q), axis=1)[:, :3] if q.shape[1] else np.zeros((len(q), 0), np.int64)
@@ -103,7 +110,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, c_ids: np.ndarra
         by_length, by_coordinate = active[local[active] < COORDINATE_FROM], active[local[active] >= COORDINATE_FROM]
         if len(by_length):
             scores = q[by_length] @ c[lo:hi].T
-            good = (scores >= theta[by_length][:, None]) & (c_ids[None, lo:hi] != q_ids[by_length][:, None])
+            good = (scores >= theta[by_length][:, None]) & (c_rows[None, lo:hi] != q_ids[by_length][:, None])
             for i in np.flatnonzero(good.any(axis=1)):
                 at = np.flatnonzero(good[i])
                 found.append((by_length[i], lo + at, scores[i, at]))
@@ -117,7 +124,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, c_ids: np.ndarra
                 low = -1.0 if x < -t else x * t - spread
                 high = 1.0 if x > t else x * t + spread
                 keep &= (unit_c[lo:hi, f] >= low) & (unit_c[lo:hi, f] <= high)
-            at = lo + np.flatnonzero(keep & (c_ids[lo:hi] != q_ids[i]))
+            at = lo + np.flatnonzero(keep & (c_rows[lo:hi] != q_ids[i]))
             if len(at):
                 scores = c[at] @ q[i]
                 good = scores >= theta[i]
@@ -141,33 +148,36 @@ def top_k(df: DataFrame, is_query, k: int = 20, scale: float = 64.0, vec_id: str
     marked = v.filter(is_query(F.col("vec_id")))
     size = v.agg(F.count("*").alias("n"), F.count_if(is_query(F.col("vec_id"))).alias("m"), F.max(F.size("v")).alias("d")).first()
     stripes, blocks = max(1, -(-size["n"] // STRIPE)), max(1, -(-size["m"] // BLOCK))
-    seeds = v.orderBy(F.desc("norm"), "vec_id").limit(max(k + 1, SEED_BYTES // (8 * max(1, size["d"] or 1)))).select("vec_id", "v").toArrow()
+    seeds = v.orderBy(F.desc("norm"), "vec_id").limit(max(k + 1, SEED_BYTES // (8 * max(1, size["d"] or 1)))).select("vec_id", "row", "v").toArrow()
     seeds = matrices(seeds)
-    c = v.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(stripes)).alias("stripe"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    q = marked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("stripe"))
+    c = v.select("vec_id", "row", "v", F.pmod(F.xxhash64("row"), F.lit(stripes)).alias("stripe"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    q = marked.select("vec_id", "row", "v", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("stripe"))
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         if left.num_rows and right.num_rows:
             found = matrices(right)
-            for d, (q_ids, vectors) in matrices(left).items():
+            for d, (q_ids, q_rows, vectors) in matrices(left).items():
                 if d not in found:
                     continue
                 theta = np.full(len(q_ids), -np.inf)
                 if d in seeds:
-                    s_ids, s = seeds[d]
+                    _, s_rows, s = seeds[d]
                     a, b = exact(vectors, s)
                     scores = a @ b.T
-                    own = q_ids[:, None] == s_ids[None, :]
+                    own = q_rows[:, None] == s_rows[None, :]
                     low = scores.min() - 1 if scores.size else 0
                     if (~own).sum(axis=1).min() >= k:
                         theta = kth(np.where(own, low, scores), k)
-                for into, x in zip(out, search(q_ids, vectors, theta, *found[d], k)):
+                c_ids, c_rows, c = found[d]
+                rows, hits, scores = search(q_rows, vectors, theta, c_ids, c, k, c_rows)
+                name = dict(zip(q_rows.tolist(), q_ids.tolist()))
+                for into, x in zip(out, ([name[r] for r in rows], rows, hits, scores)):
                     into.extend(x)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "query_row", "vec_id", "score"), out)})
 
-    hits = q.groupBy("block", "stripe").cogroup(c.groupBy("block", "stripe")).applyInArrow(group, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = q.groupBy("block", "stripe").cogroup(c.groupBy("block", "stripe")).applyInArrow(group, "query_id long, query_row long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
