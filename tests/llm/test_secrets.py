@@ -27,6 +27,15 @@ TEXTS = [
 ]
 
 
+def test_many_matches_in_one_text(spark):
+    """More matches than one step of the walk takes, and names of other columns that clash."""
+    texts = ["é token=abcdefg, " * 700, "0123456789abcdef01234567 " * 256, "0123456789abcdef01234567 " * 257 + "secret: abcdefgh"]
+    docs = documents(spark, texts).withColumnRenamed("lang", "path").withColumnRenamed("source", "blob").withColumnRenamed("n_chars", "findings")
+    found, _ = secrets.scan(docs)
+    rows = {r["path"]: r["all"] for r in found.select("path", secrets.joined(["assign", "access", "hex"]).alias("all")).collect()}
+    assert rows == {i: ",".join(f"{k}:{a}:{b}" for a, _, k, b in expected(t)) for i, t in enumerate(texts)}
+
+
 def test_findings(spark):
     rng = random.Random(3)
     alphabet = ["token", "secret", "=", ":", " ", '"', "'", "AKIA", "0123abcd", "F", "deadbeef", "zz", "é", "-", "\n"]

@@ -35,6 +35,19 @@ def test_many_rules_and_empty(spark):
     assert {r["verdict"] for r in filter_urls(df, [], default="block").collect()} == {"block"}
 
 
+def test_very_long_urls():
+    """Bytes are stepped only while a glob is open, with the same result."""
+    import time
+
+    automaton = Automaton([r.glob for r in PAGE_RULES] + ["**end"])
+    texts = [(".a.example.org/es/" + "x" * 300 + "end").encode(), (".a.example.org/en/" + "y" * 400).encode(), b".b.net/" + b"z" * 200, b""]
+    assert automaton.run(texts).tolist() == [[True, True, False, False, False, True], [True] + [False] * 5, [False] * 6, [False] * 6]
+    automaton = Automaton([r.glob for r in PAGE_RULES])
+    began = time.perf_counter()
+    assert automaton.run([b".example.org/es/" + b"x" * 10_000_000, b".q.org/" + b"/" * 5_000_000]).tolist() == [[True, True, False, False, False], [True, False, False, False, False]]
+    assert time.perf_counter() - began < 5
+
+
 def test_globs():
     globs = ["a*c", "**x", "?b?", "é?", "*", "a**/b", ""]
     texts = ["ac", "abbc", "a/c", "x", "a/x", "abc", "ébc", "éü", "", "b", "a/b/b", "a//b", "ééé"]

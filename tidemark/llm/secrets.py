@@ -12,6 +12,8 @@ matches that ``regexp_extract_all`` returns, so lengths add up to the starts.
 Results for odd input: null text counts as empty. Rows whose id is null are
 scanned like others. Repeated rows, and copies under other ids, get the same
 findings. An empty table gives no rows; extra columns are ignored by ``scan``.
+Texts are scanned whole, however long; the walk over a text's matches takes them
+by the CHUNK, so that its cost stays near their number.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 SPANS = "array<struct<start:bigint,end:bigint>>"
+#: Matches whose places are summed up together.
+CHUNK = 256
 
 
 def spans(text: Column, rule: SecretRule) -> Column:
@@ -67,7 +71,12 @@ def spans(text: Column, rule: SecretRule) -> Column:
         own = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(counts, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    walked = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    # places within each chunk first, then those of chunks: no array is copied once per match
+    numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int"))
+    parts = F.transform(numbers, lambda k: F.aggregate(F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK)), start, step))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    moved = lambda acc, c: F.transform(c["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
+    walked = F.aggregate(parts, first, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(moved(acc, c))).alias("out")), lambda acc: F.flatten(acc["out"]))
     return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(SPANS))
 
 

@@ -11,6 +11,8 @@ Results for odd input: a null URL, or one without ``://``, has empty host and
 path, fits no rule and gets the default verdict. Rows are judged one by one, so
 repeated rows each get the same result; other columns pass through. Where two
 fitting rules are equally long, the one with the longer host wins, then block.
+An empty table gives no rows. Very long URLs are judged whole; their bytes are stepped only
+until every glob has failed or fits whatever follows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import slices, tables
 
 STEP_ROWS = 16_384
+#: Bytes after which it is seen whether any glob is still open.
+SETTLED_EVERY = 64
 
 
 @dataclass(frozen=True)
@@ -92,6 +96,15 @@ class Automaton:
             chars = [b for b in range(256) if kind == "all" or (kind == "label" and b != ord("/")) or (kind == "tail" and b & 0xC0 == 0x80)]
             self.stay[chars, bit >> 6] |= np.uint64(1 << (bit & 63))
         self.ends = np.array(ends, np.int64)
+        # bits that stay whatever comes: ends of globs with a deep star behind
+        self.final = np.bitwise_and.reduce(self.stay, axis=0)
+        self.final &= self.bits(self.ends)
+
+    def bits(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.words, np.uint64)
+        for bit in at.tolist():
+            out[bit >> 6] |= np.uint64(1 << (bit & 63))
+        return out
 
     def run(self, texts: list[bytes]) -> np.ndarray:
         """Which globs fit which whole texts: bool (texts, globs)."""
@@ -110,6 +123,8 @@ class Automaton:
             if self.words > 1:
                 moved[:, 1:] |= d[:, :-1] >> np.uint64(63)
             state[:live] = (moved & self.step[c]) | (d & self.stay[c])
+            if i % SETTLED_EVERY == SETTLED_EVERY - 1 and not (state[:live] & ~self.final).any():
+                break  # nothing that is left can change
         out = np.zeros((len(texts), len(self.ends)), bool)
         out[order] = (state[:, self.ends >> 6] >> (self.ends & 63).astype(np.uint64)) & np.uint64(1) != 0
         return out
