@@ -6,12 +6,13 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import corpus, documents, group_ids, shingle_set, similar, words
 from tidemark.llm import setjoin
 from tidemark.llm.components import components
 from tidemark.llm.line_dedup import dedup_lines
-from tidemark.llm.ngram_join import join_documents
+from tidemark.llm.ngram_join import join_documents, one_of_each
 from tidemark.llm.words import distinct
 
 ODD = ["", None, " \n ", "one", "one", "ONE two", "a b c", "A b\tc", "x " * 30000, "x " * 30000 + "y"]
@@ -167,6 +168,30 @@ def test_lines_order_and_odd_rows(spark):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_clashing_names(spark):
+    texts = ["alpha beta gamma delta epsilon\nown", "alpha beta gamma delta epsilon\nother"]
+    names = dict(zip(("lang", "source", "n_chars"), ("kept", "line", "sig")))
+    docs = documents(spark, texts)
+    for old, new in names.items():
+        docs = docs.withColumnRenamed(old, new)
+    docs = docs.withColumn("kept_", F.lit(1)).withColumn("lines_left", F.lit("x"))
+    out = dedup_lines(docs)
+    assert [(r["doc_id"], r["text"], r["kept"], r["kept_"], r["lines_left"]) for r in out.orderBy("doc_id").collect()] == [(0, texts[0], "en", 1, 1), (1, "other", "en", 1, 0)]
+    assert [r["component_id"] for r in join_documents(docs.withColumnRenamed("kept", "root"), 2, (30, 100)).collect()] == [0, 0]
+
+
+def test_one_of_each(spark):
+    """Rows of one doc_id are told apart by their texts: nothing is lost with an unlinked text, and one row of each group stays."""
+    a, b, c = ("one two three four five six seven", "red green blue black white brown pink", "sun moon star sky cloud rain wind")
+    rows = [(5, a), (5, b), (3, a), (7, b), (9, c), (9, c), (9, f"{c} {c}"), (4, ""), (4, None), (4, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string")
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in one_of_each(docs, 2, (80, 100)).collect())
+    c_or = {("9", c), ("9", f"{c} {c}")} & set(got)
+    assert len(c_or) == 1 or not similar(shingle_set(c, 2), shingle_set(f"{c} {c}", 2), 80, 100)
+    assert sorted(set(got) - c_or) == sorted({("3", a), ("5", b), ("4", ""), ("4", "None"), ("None", a)}) and got.count(("None", a)) == 2
+    assert one_of_each(docs.limit(0)).count() == 0 and one_of_each(docs).columns == docs.columns
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(60)]

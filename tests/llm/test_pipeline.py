@@ -59,6 +59,32 @@ def test_stages_keep_columns(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "decontamination", "packing"]
 
 
+def test_odd_rows(spark, tmp_path):
+    """Repeated and null ids, empty and null texts, clashing names, no rows at all."""
+    fixture(spark, str(tmp_path))
+    clean = ["one clean text of quite a few words", "another clean text with words of its own"]
+    rows = [(1, clean[0]), (1, clean[1]), (2, ""), (3, None), (None, clean[0]), (None, None), (4, clean[0]), (5, "w " * 30000)]
+    docs = spark.createDataFrame([(i, t, "k", i, 0) for i, t in rows], "doc_id long, text string, kept string, root long, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema == docs.schema
+        left = sorted((str(r["doc_id"]), str(r["text"])[:50]) for r in out.collect())
+        want = sorted((str(i), str(t)[:50]) for i, t in rows)
+        if name == "line_dedup":
+            want = [w for w in want if w != ("4", clean[0])]
+            left = sorted({("5", want[-1][1]) if x[0] == "5" else x for x in left})
+            want = sorted({w for w in want})
+            assert {w for w in want if w[0] not in ("1",)} <= set(left)
+        elif name == "ngram_join":
+            assert left == [w for w in want if w != ("4", clean[0])]
+        else:
+            assert left == want
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert sum(r["doc_id"] is None for r in packed) == 2 and {r["doc_id"] for r in packed} == {1, 2, 3, 4, 5, None}
+    assert corpus_pipeline.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_short_lines_keep_their_document(spark, tmp_path):
     shared = ["alpha beta gamma delta epsilon", "one two three four five six"]
     texts = ["\n".join(shared), f"{shared[0]}\nOur own\nshort lines\n{shared[1]}", f"{shared[0]}\n \n{shared[1]}", shared[0]]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -28,11 +29,14 @@ TEXT_CHARS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
+    Only where the session names none and runs in one process (tests) a temporary
+    folder is made and set; on a cluster that is an error, since executors could not see it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         at = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(at)
     return at

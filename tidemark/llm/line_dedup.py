@@ -12,7 +12,7 @@ stay, and stays unless the first line of another class before it is similar.
 Results for odd input: null and empty texts have no such lines and stay as they
 are. Rows whose doc_id is null are left alone. Repeated rows of one doc_id count
 as one document. An empty table gives no rows; other columns pass through
-``dedup_lines``.
+``dedup_lines``, whatever their names; columns named like the two it adds are replaced.
 """
 
 from __future__ import annotations
@@ -91,11 +91,15 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: tupl
     """All rows and columns, ``text`` without the lines that go; ``lines_removed`` (numbers) and ``lines_left`` (long enough ones) are added."""
     kept = kept_lines(docs, least_words, threshold)
     names = [c for c in docs.columns if c not in ("lines_removed", "lines_left")]
+    own = "kept"
+    while own in names:
+        own += "_"
+    kept = kept.withColumnRenamed("kept", own)
     work = docs.select(*(f"`{c}`" for c in names)).join(kept, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            kept = pc.fill_null(pc.list_value_length(b.column("kept")), 0)
+            kept = pc.fill_null(pc.list_value_length(b.column(own)), 0)
             lines = pc.add(pc.count_substring(pc.fill_null(b.column("text"), ""), "\n"), 1)
             # only where some line is not among the kept ones there is anything to look for
             some = pc.and_(pc.not_equal(lines, kept), pc.is_valid(b.column("doc_id")))
@@ -103,19 +107,19 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: tupl
             picked = b.take(pa.array(at))
             removed: list[list[int]] = [[]] * b.num_rows
             changed, texts = np.zeros(b.num_rows, bool), []
-            for r, text, keep in zip(at.tolist(), picked.column("text").to_pylist(), picked.column("kept").to_pylist()):
-                own, keep = (text or "").split("\n"), set(keep or [])
+            for r, text, keep in zip(at.tolist(), picked.column("text").to_pylist(), picked.column(own).to_pylist()):
+                lines, keep = (text or "").split("\n"), set(keep or [])
                 # bytes split and lower just as the units do: ASCII white space, A-Z
-                gone = [i for i, x in enumerate(own) if i not in keep and len(x) >= 2 * least_words - 1 and len(set(x.encode().lower().split())) >= least_words]
+                gone = [i for i, x in enumerate(lines) if i not in keep and len(x) >= 2 * least_words - 1 and len(set(x.encode().lower().split())) >= least_words]
                 if gone:
                     removed[r], changed[r], out = gone, True, set(gone)
-                    texts.append("\n".join(x for i, x in enumerate(own) if i not in out))
+                    texts.append("\n".join(x for i, x in enumerate(lines) if i not in out))
             text = pc.replace_with_mask(b.column("text"), pa.array(changed), pa.array(texts, b.schema.field("text").type))
             columns = [text if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.int32())), kept.cast(pa.int64())], names=[*names, "lines_removed", "lines_left"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.drop("kept").schema.fields)
-    return work.select(*(f"`{c}`" for c in names), "kept").mapInArrow(run, f"{fields}, lines_removed array<int>, lines_left long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.drop(own).schema.fields)
+    return work.select(*(f"`{c}`" for c in names), own).mapInArrow(run, f"{fields}, lines_removed array<int>, lines_left long")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,16 +42,16 @@ def document_units(k: int, text: str = "text") -> setjoin.Units:
 
 
 def classes(docs: DataFrame, units: setjoin.Units) -> DataFrame:
-    """doc_id, n_shingles, sig of every row; sig is null for the empty set."""
+    """doc_id, text_hash, n_shingles, sig of every row; sig is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", TEXT_CHARS):
             doc, _, offsets, token = units(b)
             sig, _, _ = signatures(offsets, token)
             n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(setjoin.signed(sig), mask=n == 0)], names=["doc_id", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), b.column("text_hash"), pa.array(n), pa.array(setjoin.signed(sig), mask=n == 0)], names=["doc_id", "text_hash", "n_shingles", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig long")
 
 
 def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = ORDERS) -> DataFrame:
@@ -110,22 +110,43 @@ def unconnected(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(out.filter(F.coalesce("l1", "sig") != F.coalesce("l2", "sig2")).select("sig", "sig2"))
 
 
-def join_documents(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), orders: int = ORDERS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id linked, itself included) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = docs.filter("doc_id is not null")
+def grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), orders: int = ORDERS) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root, component_id of every row whose doc_id is not null.
+
+    ``root`` names the group of linked sets, also where different groups hold rows of one doc_id; null for the empty set.
+    """
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     own = cut(classes(known, document_units(k)))
     smallest = own.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     found = links(known, k, setjoin.Threshold(*threshold), orders)
     label = cut(components(found.select(F.col("sig").alias("a"), F.col("sig2").alias("b"))))
     of_class = smallest.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = cut(of_class.join(of_root, "root").select("sig", "component_id"))
-    out = own.join(of_class, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    none = classes(docs.filter("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")), document_units(k))
+    of_class = cut(of_class.join(of_root, "root").select("sig", "root", "component_id"))
+    return own.join(of_class, "sig", "left").select("doc_id", "text_hash", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join_documents(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), orders: int = ORDERS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id linked, itself included) of every row."""
+    out = grouped(docs, k, threshold, orders).select("doc_id", "n_shingles", "component_id")
+    none = classes(docs.filter("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text"), document_units(k))
     return out.unionByName(none.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), orders: int = ORDERS) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group: the row with the smallest doc_id stays, of equal ids the one with the smallest hash of its text.
+
+    Rows whose doc_id is null stay, and rows without shingles; rows that repeat doc_id and text are one.
+    """
+    group = grouped(docs, k, threshold, orders)
+    first = group.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
+    first = first.unionByName(group.filter("root is null").select("doc_id", "text_hash").distinct())
+    known = docs.filter("doc_id is not null").withColumn("__hash", F.xxhash64("text"))
+    mark = first.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__text"))
+    kept = known.join(mark, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__hash") == F.col("__text")), "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(tables(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
