@@ -1,6 +1,11 @@
 """A training-corpus pipeline over ``documents``: five stages, each written and reread.
 
 Stages return the columns of documents, but the last, which returns packed pieces.
+
+Results for odd input: null and empty texts are clean and pass all filters, as one end token each. Rows of one
+doc_id with different texts are judged each, but for the line stage, where they count as one document's; rows that repeat doc_id and text become one in the join. Rows whose doc_id is
+null are scored for toxicity and packed; the stages between keep them as they are. Very long texts are
+read whole. An empty table gives no rows. Extra columns, of any name, pass through up to the packing.
 """
 
 from __future__ import annotations
@@ -32,10 +37,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the smallest doc_id, of each group that five-word shingles link at a similarity of 0.8."""
-    group = ngram_join.join_documents(docs, k=5, threshold=(80, 100))
-    first = group.filter("doc_id = component_id").select("doc_id")
-    known = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    return ngram_join.one_of_each(docs, k=5, threshold=(80, 100))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
