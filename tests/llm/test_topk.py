@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import topk
 
@@ -51,6 +52,25 @@ def test_repeated_ids_and_clashing_names(spark):
     assert got == sorted(want) and len(got) == 9
 
 
+def test_short_candidates_are_not_moved(spark, monkeypatch):
+    """Lengths that vary: bands that no query needs stay where they are, and the answer is whole."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(800, 6))
+    x = x / np.linalg.norm(x, axis=1)[:, None] * np.where(np.arange(800) % 10 == 0, 40, 0.5)[:, None]
+    rows = [(i, e.tolist()) for i, e in enumerate(x)]
+    monkeypatch.setattr(topk, "STRIPE", 40)
+    monkeypatch.setattr(topk, "BLOCK", 15)
+    monkeypatch.setattr(topk, "BANDS", 16)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, lambda i: i % 20 == 0, k=5)
+    assert {tuple(r) for r in got.collect()} == expected(rows, 5, 64, lambda i: i % 20 == 0)
+    v = topk.quantise(df, "vec_id", "embedding", 64.0)
+    seeds = topk.matrices(v.orderBy(F.desc("norm")).limit(200).select("vec_id", "row", "v").toArrow())
+    need = topk.thresholds(v.filter("vec_id % 20 = 0"), seeds, 5).select((F.col("theta") / F.col("norm")).alias("n")).collect()
+    taken = [sum(np.linalg.norm(np.floor(64 * x), axis=1) >= r["n"]) for r in need]
+    assert np.mean(taken) < 200
+
+
 def test_few_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, lambda i: i % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]

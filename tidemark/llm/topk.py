@@ -1,6 +1,11 @@
 """Exact top-k inner-product search by norm-bucketed retrieval.
 
-Candidates are dealt at random into stripes, queries into blocks; each
+Starting thresholds come from the longest vectors of the table, a block of
+bounded size that each query is compared with first; they are lower bounds of
+the k-th best score, so nothing is lost. A threshold and a query's length tell how long a
+candidate must be at least. Candidates are banded by length, queries by the shortest band that they
+need, and only those bands are copied to a query's blocks: shorter ones are dropped before any row is moved.
+Bands are dealt into stripes and queries into blocks of bounded size; each
 (block, stripe) pair is one group. A group sorts its candidates by length and
 walks through buckets of similar length, longest first. The query's running
 k-th best score gives each bucket a local cosine threshold: above 1 the bucket
@@ -9,10 +14,6 @@ that close to the query must lie in an interval in the query's largest
 coordinates); a low one prunes by length alone. What is left is verified by
 products in integers.
 
-Starting thresholds come from the longest vectors of the table, a block of
-bounded size that each query is compared with first; they are lower bounds of
-the k-th best score, so nothing is lost.
-
 Results for odd input: vectors that are null or hold a null or non-finite
 component take no part. Scores are between vectors of equal dimension only.
 Ties go to the smaller id. A query's own row is left out; other rows of the same id are
@@ -23,16 +24,20 @@ scores likewise. An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tables
+from tidemark.llm.common import cut, tables
 
 STRIPE = 16_384
 BLOCK = 2_048
 BUCKET = 1_024
+#: Bands of length, at most.
+BANDS = 128
 #: Bytes of long vectors that starting thresholds are taken from.
 SEED_BYTES = 2_000_000
 #: Local cosine from which on coordinates prune better than length.
@@ -142,35 +147,64 @@ def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, c_ids: np.ndarra
     return [r[0] for r in rows], [r[1] for r in rows], [max(LONG[0], min(LONG[1], -r[2])) for r in rows]
 
 
+def thresholds(queries: DataFrame, seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """Queries with ``theta``: the k-th best score among the seeds, minus infinity where there are too few."""
+    sent = queries.sparkSession.sparkContext.broadcast(seeds)  # SEED_BYTES, about
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            theta = dict.fromkeys(b.column("row").to_pylist(), -np.inf)
+            for d, (_, rows, vectors) in matrices(table).items():
+                if d not in sent.value:
+                    continue
+                _, s_rows, s = sent.value[d]
+                for lo in range(0, len(rows), BLOCK):
+                    x, y = exact(vectors[lo : lo + BLOCK], s)
+                    scores, own = x @ y.T, rows[lo : lo + BLOCK, None] == s_rows[None, :]
+                    if scores.size and (~own).sum(axis=1).min() >= k:
+                        theta.update(zip(rows[lo : lo + BLOCK].tolist(), kth(np.where(own, scores.min() - 1, scores), k).tolist()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([float(theta[r]) for r in b.column("row").to_pylist()], pa.float64())], names=[*b.schema.names, "theta"])
+
+    return queries.mapInArrow(run, "vec_id long, row long, v array<long>, norm double, theta double")
+
+
 def top_k(df: DataFrame, is_query, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k best for each row that ``is_query`` (a function of the id column) marks."""
     v = quantise(df, vec_id, embedding, scale)
     marked = v.filter(is_query(F.col("vec_id")))
-    size = v.agg(F.count("*").alias("n"), F.count_if(is_query(F.col("vec_id"))).alias("m"), F.max(F.size("v")).alias("d")).first()
-    stripes, blocks = max(1, -(-size["n"] // STRIPE)), max(1, -(-size["m"] // BLOCK))
-    seeds = v.orderBy(F.desc("norm"), "vec_id").limit(max(k + 1, SEED_BYTES // (8 * max(1, size["d"] or 1)))).select("vec_id", "row", "v").toArrow()
-    seeds = matrices(seeds)
-    c = v.select("vec_id", "row", "v", F.pmod(F.xxhash64("row"), F.lit(stripes)).alias("stripe"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    q = marked.select("vec_id", "row", "v", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("stripe"))
+    probes = [i / BANDS for i in range(1, BANDS)]
+    size = v.agg(F.max(F.size("v")).alias("d"), F.percentile_approx("norm", probes, 10_000).alias("q")).first()
+    edges = sorted(set(size["q"] or []))
+    bounds = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>")
+    band = lambda x: F.size(F.filter(bounds, lambda e: e <= x))  # noqa: E731  # of so many edges at or under it
+    seeds = matrices(v.orderBy(F.desc("norm"), "vec_id", "row").limit(max(k + 1, SEED_BYTES // (8 * max(1, size["d"] or 1)))).select("vec_id", "row", "v").toArrow())
+    asked = cut(thresholds(marked, seeds, k))
+    # a candidate of a smaller norm can't reach the threshold; rounding is on the safe side
+    need = F.when((F.col("theta") > 0) & (F.col("norm") > 0), F.col("theta") / F.col("norm") * (1 - 1e-9)).otherwise(0.0)
+    asked = asked.withColumn("band", band(need))
+    count = lambda df: {r["band"]: r["count"] for r in df.groupBy("band").count().collect()}  # noqa: E731  # BANDS rows at most
+    have, wanted = count(v.select(band(F.col("norm")).alias("band"))), count(asked)
+    stripes = [max(1, -(-have.get(i, 0) // STRIPE)) for i in range(len(edges) + 1)]
+    blocks = [-(-wanted.get(i, 0) // BLOCK) for i in range(len(edges) + 1)]
+    first_stripe, first_block = np.concatenate([[0], np.cumsum(stripes)]).tolist(), np.concatenate([[0], np.cumsum(blocks)]).tolist()
+    table = lambda xs: F.array(*(F.lit(int(x)).cast("long") for x in xs))
+    own = lambda first, n: F.get(table(first), F.col("band")) + F.pmod(F.xxhash64("row"), F.greatest(F.get(table(n), F.col("band")), F.lit(1)))
+    # a band goes to the blocks that need it or shorter ones; a block to the stripes from the band on that it needs
+    upto = F.get(table(first_block[1:]), F.col("band"))
+    c = v.withColumn("band", band(F.col("norm"))).select("vec_id", "row", "v", own(first_stripe, stripes).alias("stripe"), F.explode(F.filter(F.sequence(F.lit(0).cast("long"), upto), lambda x: x < upto)).alias("block"))
+    q = asked.select("vec_id", "row", "v", "theta", own(first_block, blocks).alias("block"), F.explode(F.sequence(F.get(table(first_stripe), F.col("band")), F.lit(first_stripe[-1] - 1).cast("long"))).alias("stripe"))
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list, list] = ([], [], [], [])
         if left.num_rows and right.num_rows:
             found = matrices(right)
+            start = dict(zip(left.column("row").to_pylist(), left.column("theta").to_pylist()))
             for d, (q_ids, q_rows, vectors) in matrices(left).items():
                 if d not in found:
                     continue
-                theta = np.full(len(q_ids), -np.inf)
-                if d in seeds:
-                    _, s_rows, s = seeds[d]
-                    a, b = exact(vectors, s)
-                    scores = a @ b.T
-                    own = q_rows[:, None] == s_rows[None, :]
-                    low = scores.min() - 1 if scores.size else 0
-                    if (~own).sum(axis=1).min() >= k:
-                        theta = kth(np.where(own, low, scores), k)
                 c_ids, c_rows, c = found[d]
-                rows, hits, scores = search(q_rows, vectors, theta, c_ids, c, k, c_rows)
+                rows, hits, scores = search(q_rows, vectors, np.array([start[r] for r in q_rows.tolist()]), c_ids, c, k, c_rows)
                 name = dict(zip(q_rows.tolist(), q_ids.tolist()))
                 for into, x in zip(out, ([name[r] for r in rows], rows, hits, scores)):
                     into.extend(x)
