@@ -92,6 +92,16 @@ def test_tokens_that_share_their_first_bits():
     assert token.tolist() == [c, a, a, b] and offsets[-1] == 4
 
 
+def test_sets_that_share_a_signature():
+    """Rows of one signature are one class only if size and parity maps agree as well."""
+    rows = {k: np.array(v, np.int64) for k, v in dict(token=[1] * 6, at=[5 << 32, 5 << 32, 5 << 32, 6 << 32, 5 << 32, 5 << 32], tail=[0] * 6, sig=[9] * 5 + [8], b0=[3, 4, 3, 3, 4, 3], b1=[0] * 6, doc=[7, 2, 1, 5, 6, 4]).items()}
+    for group in ((), (np.zeros(6, np.int64),)):
+        got = setjoin.first_units(rows, *group)
+        assert sorted(zip(got["sig"].tolist(), (got["at"] >> 32).tolist(), got["b0"].tolist(), got["doc"].tolist())) == [(8, 5, 3, 4), (9, 5, 3, 1), (9, 5, 4, 2), (9, 6, 3, 5)]
+    group = setjoin.Group(rows, setjoin.Threshold(80, 100))
+    assert all(rows["sig"][i] != rows["sig"][j] for i, j in zip(*group.passing(*np.triu_indices(6, 1))))
+
+
 def test_ordinary_tokens_are_not_dealt_out():
     """In a sketch whose every bucket holds a thousand tokens, only what stands out is split."""
     counts = np.random.default_rng(0).poisson(50_000, 4096).astype(float)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import setjoin
-from tidemark.llm.common import TEXT_CHARS, cut, discard, release, slices, stored, tables
+from tidemark.llm.common import TEXT_CHARS, cut, discard, mix, release, slices, stored, tables
 from tidemark.llm.components import components
 from tidemark.llm.words import Texts, distinct, shingles, signatures
 
@@ -42,16 +42,17 @@ def document_units(k: int, text: str = "text") -> setjoin.Units:
 
 
 def classes(docs: DataFrame, units: setjoin.Units) -> DataFrame:
-    """doc_id, text_hash, n_shingles, sig of every row; sig is null for the empty set."""
+    """doc_id, text_hash, n_shingles, sig and check (64 bits each, of the set) of every row; sig is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", TEXT_CHARS):
             doc, _, offsets, token = units(b)
-            sig, _, _ = signatures(offsets, token)
+            sig, b0, b1 = signatures(offsets, token)
             n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), b.column("text_hash"), pa.array(n), pa.array(setjoin.signed(sig), mask=n == 0)], names=["doc_id", "text_hash", "n_shingles", "sig"])
+            check = setjoin.signed(mix(b0) ^ b1 ^ (n.astype(np.uint64) << np.uint64(20)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), b.column("text_hash"), pa.array(n), pa.array(setjoin.signed(sig), mask=n == 0), pa.array(check)], names=["doc_id", "text_hash", "n_shingles", "sig", "check"])
 
-    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig long")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig long, check long")
 
 
 def links(docs: DataFrame, k: int, threshold: setjoin.Threshold, orders: int = ORDERS) -> DataFrame:
@@ -111,19 +112,21 @@ def unconnected(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), orders: int = ORDERS) -> DataFrame:
-    """doc_id, text_hash, n_shingles, root, component_id of every row whose doc_id is not null.
+    """doc_id, text_hash, n_shingles, root and rest, component_id of every row whose doc_id is not null.
 
-    ``root`` names the group of linked sets, also where different groups hold rows of one doc_id; null for the empty set.
+    ``root`` and ``rest`` name the group of linked sets, also where different groups hold rows of one doc_id; root is null for the empty set.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     own = cut(classes(known, document_units(k)))
-    smallest = own.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    smallest = own.filter("sig is not null").groupBy("sig", "check").agg(F.min("doc_id").alias("least"))
     found = links(known, k, setjoin.Threshold(*threshold), orders)
     label = cut(components(found.select(F.col("sig").alias("a"), F.col("sig2").alias("b"))))
-    of_class = smallest.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    of_root = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = cut(of_class.join(of_root, "root").select("sig", "root", "component_id"))
-    return own.join(of_class, "sig", "left").select("doc_id", "text_hash", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = smallest.join(label.withColumnRenamed("node", "sig"), "sig", "left")
+    # a class without links is a group by all its bits
+    of_class = of_class.withColumn("rest", F.when(F.col("root").isNull(), F.col("check")).otherwise(0)).withColumn("root", F.coalesce("root", "sig"))
+    of_root = of_class.groupBy("root", "rest").agg(F.min("least").alias("component_id"))
+    of_class = cut(of_class.join(of_root, ["root", "rest"]).select("sig", "check", "root", "rest", "component_id"))
+    return own.join(of_class, ["sig", "check"], "left").select("doc_id", "text_hash", "n_shingles", "root", "rest", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def join_documents(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), orders: int = ORDERS) -> DataFrame:
@@ -139,7 +142,7 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 1
     Rows whose doc_id is null stay, and rows without shingles; rows that repeat doc_id and text are one.
     """
     group = grouped(docs, k, threshold, orders)
-    first = group.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
+    first = group.filter("root is not null").groupBy("root", "rest").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
     first = first.unionByName(group.filter("root is null").select("doc_id", "text_hash").distinct())
     known = docs.filter("doc_id is not null").withColumn("__hash", F.xxhash64("text"))
     mark = first.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__text"))

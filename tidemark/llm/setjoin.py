@@ -2,7 +2,8 @@
 
 Sets come as token arrays per *unit* (a document, or a line of one) and are
 joined as *classes*: units with the same set share a signature and are one class
-from the start. A class posts its prefix - its first tokens under a global
+from the start (a signature of 64 bits; size and parity maps, of 28 bits at least for sets of five tokens, tell
+sets apart that share one). A class posts its prefix - its first tokens under a global
 order - and candidates meet where they share a posted token. Filters need no
 sets: lengths, the place of the token in both, and parity maps, which bound how
 far two sets differ.
@@ -173,7 +174,7 @@ def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshol
                 new &= has(only, signed(sig))
             if len(seen) > SEEN:
                 seen.clear()
-            for i, key, at in zip(np.flatnonzero(new).tolist(), sig[new].tolist(), zip(doc[new].tolist(), line[new].tolist())):
+            for i, key, at in zip(np.flatnonzero(new).tolist(), (sig ^ (b0 << np.uint64(1)))[new].tolist(), zip(doc[new].tolist(), line[new].tolist())):
                 if at < seen.get(key, (np.inf,)):
                     seen[key] = at
                 else:
@@ -200,8 +201,8 @@ def postings(df: DataFrame, units: Units, codes: np.ndarray, threshold: Threshol
                 tail = order + np.where(side != other, IS_CROSS, 0) + np.where(side > other, IS_SECOND, 0)
             columns = [signed(ranked), (n[u] << 32) | pos, (line[u] << LINE_SHIFT) | tail, signed(sig[u]), signed(b0[u]), signed(b1[u]), doc[u]]
             if class_rows:
-                own, zero = np.flatnonzero(new), np.zeros(int(new.sum()), np.int64)
-                more = [signed(mix(sig[own])), zero, (line[own] << LINE_SHIFT) | IS_CLASS, signed(sig[own]), zero, zero, doc[own]]
+                own = np.flatnonzero(new)
+                more = [signed(mix(sig[own])), n[own] << 32, (line[own] << LINE_SHIFT) | IS_CLASS, signed(sig[own]), signed(b0[own]), signed(b1[own]), doc[own]]
                 columns = [np.concatenate(x) for x in zip(columns, more)]
             for lo in range(0, len(columns[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000]) for c in columns], names=list(POSTING))
@@ -258,11 +259,15 @@ def groups(batches: Iterator[pa.RecordBatch], chunk: int, limit: int) -> Iterato
     trim()
 
 
-def first_units(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Of class rows, each class's earliest unit."""
-    order = np.lexsort((rows["tail"], rows["doc"], rows["sig"]))
-    order = order[changes(rows["sig"][order])]
-    return {k: v[order] for k, v in rows.items()}
+def first_units(rows: dict[str, np.ndarray], *group: np.ndarray) -> dict[str, np.ndarray]:
+    """Of rows of the same class (in the same group, where one is given for each row), the earliest unit's."""
+    order = np.lexsort((rows["tail"], rows["doc"], rows["sig"], *group))
+    kinds = [rows[k][order] for k in ("at", "b0", "b1")]
+    new = changes(rows["sig"][order], *(g[order] for g in group))
+    if (changes(*kinds) & ~new).any():  # sets that share a signature
+        order = np.lexsort((rows["tail"], rows["doc"], rows["b1"], rows["b0"], rows["at"], rows["sig"], *group))
+        new = changes(*(rows[k][order] for k in ("sig", "at", "b0", "b1")), *(g[order] for g in group))
+    return {k: v[order[new]] for k, v in rows.items()}
 
 
 def pair_indices(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -344,9 +349,10 @@ class Group:
         apart = np.bitwise_count(self.b0[i] ^ self.b0[j]).astype(np.int64) + np.bitwise_count(self.b1[i] ^ self.b1[j])
         ok = apart <= n[i] + n[j] - 2 * need
         i, j = i[ok], j[ok]
+        ok = r["sig"][i] != r["sig"][j]
         if self.label is not None:
-            ok = self.label[i] != self.label[j]
-            i, j = i[ok], j[ok]
+            ok &= self.label[i] != self.label[j]
+        i, j = i[ok], j[ok]
         if self.maps is not None and len(i):
             ok = self.maps.near(i, j, n[i] + n[j] - 2 * self.t.overlap(n[i], n[j]))
             i, j = i[ok], j[ok]
@@ -484,9 +490,7 @@ def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> Data
             if not len(size):
                 continue
             # the same class from several map tasks: its earliest unit comes first, and stays
-            order = np.lexsort((g["tail"], g["doc"], g["sig"], np.repeat(np.arange(len(size)), size)))
-            order = order[changes(g["token"][order], g["sig"][order])]
-            g, size = several({k: v[order] for k, v in g.items()})
+            g, size = several(first_units(g, np.repeat(np.arange(len(size)), size)))
             begin = np.append(np.cumsum(size) - size, size.sum())
             at = 0
             for large in [*np.flatnonzero(size > SMALL).tolist(), len(size)]:
