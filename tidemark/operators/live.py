@@ -42,7 +42,7 @@ FOLDS: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]] = {
 
 
 def lifetimes(df: DataFrame, ctx: Context) -> DataFrame:
-    """Events with ``__p`` (place in arrival order), ``__end`` (the place from which on they are gone) and ``__gone`` (by expiry, not replaced)."""
+    """Of events with ``__p`` (place in arrival order): ``__rank`` (of host and service), ``__end`` (the place from which on they are gone) and ``__gone`` (by expiry, not replaced)."""
     keys = list(ctx.keys)
     part = keys or [F.lit(0)]
     if ctx.clock is not None:
@@ -50,18 +50,22 @@ def lifetimes(df: DataFrame, ctx: Context) -> DataFrame:
     elif ctx.ordered:
         now = F.coalesce("time", F.lit(0)).cast("double")
     else:
-        now = F.greatest(F.max("time").over(ctx.running()), F.lit(0)).cast("double")
-    df = df.withColumns({"__h": F.coalesce("host", F.lit("")), "__s": F.coalesce("service", F.lit("")), "__now": now, "__p": (F.row_number().over(ctx.window()) - 1).cast("long")})
+        now = F.greatest(F.max("time").over(Window.partitionBy(*part).orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)).cast("double")
     ttl = F.coalesce(F.col("ttl").cast("double"), F.lit(float(predicates.PREDICATE_DEFAULT_TTL)))
     due = F.when(F.col("state").eqNullSafe("expired"), -1.0).otherwise(F.coalesce("time", F.lit(0)) + ttl)
-    total = Window.partitionBy(*part)
-    df = df.withColumns({"__due": due, "__n": F.count(F.lit(1)).over(total)})
-    df = df.withColumn("__next", F.lead("__p").over(Window.partitionBy(*keys, "__h", "__s").orderBy("__p")))
+    of = Window.partitionBy(*part)
+    df = df.withColumns({
+        "__now": now,
+        "__due": due,
+        "__n": F.count(F.lit(1)).over(of),
+        "__rank": F.dense_rank().over(of.orderBy(F.coalesce("host", F.lit("")), F.coalesce("service", F.lit("")))),
+    })
+    df = df.withColumn("__next", F.lead("__p").over(Window.partitionBy(*keys, "__rank").orderBy("__p"))).drop("host", "service", "state", "ttl")
     # the first place whose clock is past a deadline: clocks and deadlines in one descending order, at equal times deadlines first
     clocks = df.select(*keys, F.col("__now").alias("__t"), F.lit(0).alias("__kind"), F.col("__p").alias("__at"))
     deadlines = df.select(*df.columns, F.col("__due").alias("__t"), F.lit(1).alias("__kind"))
     both = deadlines.unionByName(clocks, allowMissingColumns=True)
-    down = Window.partitionBy(*part).orderBy(F.desc("__t"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = of.orderBy(F.desc("__t"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("__over", F.min("__at").over(down)).filter("__kind = 1")
     out = out.withColumn("__over", F.when(F.col("__over").isNotNull(), F.greatest("__over", "__p")))  # an event can be over when it comes
     gone = F.col("__over").isNotNull() & (F.col("__next").isNull() | (F.col("__over") < F.col("__next")))
@@ -70,7 +74,7 @@ def lifetimes(df: DataFrame, ctx: Context) -> DataFrame:
 
 
 def ranges() -> Column:
-    """The dyadic ranges (level, node) that make up [__p, __end)."""
+    """The dyadic ranges (level, node) that make up [__p, __end), and for what expires the place where it is told, as level -1."""
     levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("__end") - F.col("__p"), F.lit(1)).cast("double"))).cast("int") + 1)
 
     def at(level: Column) -> Column:
@@ -79,32 +83,34 @@ def ranges() -> Column:
         node = lambda ok, n: F.when((low < high) & ok, F.struct(level.alias("level"), n.cast("long").alias("node")))
         return F.array(node(low % 2 == 1, low), node(high % 2 == 1, high - 1))
 
-    return F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull())
+    told = F.when(F.col("__gone"), F.struct(F.lit(-1).alias("level"), F.col("__end").alias("node")))
+    alive = F.when(F.col("__p") < F.col("__end"), F.flatten(F.transform(levels, at)))
+    return F.filter(F.concat(F.coalesce(alive, F.array().cast("array<struct<level:int,node:bigint>>")), F.array(told)), lambda x: x.isNotNull())
 
 
 def live_folds(df: DataFrame, ctx: Context, parts: dict[str, Column], greatest_time: bool) -> DataFrame:
-    """For each event the parts over the expired it finds (``__sub`` 0) and over what is alive then (1): keys, order, __head (place of the first by host and service), parts and __time."""
+    """For each event the parts over the expired it finds (``__sub`` 0) and over what is alive then (1): keys, order, ``__f_`` fields of the first by host and service, parts and time.
+
+    Only what folds need goes through the ranges, in columns that hash aggregates take; the first event's fields are joined at the end.
+    """
     keys, order = list(ctx.keys), list(ctx.order)
-    lives = lifetimes(df, ctx).withColumns({f"__{name}": PARTS[name][0](value) if name in PARTS else value for name, value in parts.items()})
-    lives = lives.withColumn("__key", F.struct("__h", "__s", "__p"))
-    names = [f"__{name}" for name in parts]
+    numbered = df.withColumn("__p", (F.row_number().over(ctx.window()) - 1).cast("long"))
+    own = {f"__{name}": PARTS[name][0](value) if name in PARTS else value for name, value in parts.items()}
+    slim = numbered.select(*keys, *(F.col(c).alias(f"__o_{c}") for c in order), "__p", "time", "host", "service", "state", "ttl", *(v.alias(c) for c, v in own.items()))
+    lives = lifetimes(slim, ctx).withColumn("__head", F.col("__p"))
     how = [PARTS.get(name, (None, F.sum))[1](f"__{name}").alias(f"__{name}") for name in parts]
-    how += [F.min("__key").alias("__key"), *([F.max("time").alias("time")] if greatest_time else [])]
-    kept = [*names, "__key", *(["time"] if greatest_time else [])]
-    places = lives.select(*keys, F.col("__p").alias("__at"), *(F.col(c).alias(f"__o_{c}") for c in order))
-    # what has expired, told at the event that finds it
-    gone = lives.filter("__gone").groupBy(*keys, F.col("__end").alias("__at")).agg(*how)
-    gone = gone.join(places, [*keys, "__at"]).withColumn("__sub", F.lit(0))
-    # what is alive
-    nodes = lives.filter("__p < __end").select(*keys, *kept, F.explode(ranges()).alias("r")).groupBy(*keys, "r.level", "r.node").agg(*how)
-    levels = nodes.select(*keys, "level").groupBy(*keys).agg(F.max("level").alias("__top"))
-    asked = places.join(levels, keys) if keys else places.crossJoin(F.broadcast(levels))  # a single row
-    asked = asked.select(*places.columns, F.explode(F.sequence(F.lit(0), F.col("__top"))).alias("level"))
-    asked = asked.withColumn("node", F.call_function("shiftright", F.col("__at"), F.col("level")))
-    alive = asked.join(nodes, [*keys, "level", "node"]).groupBy(*places.columns).agg(*how).withColumn("__sub", F.lit(1))
-    out = alive.select(*places.columns, *kept, "__sub").unionByName(gone.select(*places.columns, *kept, "__sub"))
-    heads = lives.select(*keys, F.col("__p").alias("__head"), *(F.col(c).alias(f"__f_{c}") for c in FIELDS))
-    return out.withColumn("__head", F.col("__key.__p")).join(heads, [*keys, "__head"])
+    how += [F.min_by("__head", "__rank").alias("__head"), F.min("__rank").alias("__rank"), *([F.max("time").alias("time")] if greatest_time else [])]
+    kept = [*own, "__head", "__rank", *(["time"] if greatest_time else [])]
+    nodes = lives.select(*keys, *kept, F.explode(ranges()).alias("r")).groupBy(*keys, "r.level", "r.node").agg(*how)
+    # what an event asks for: what it finds expired, and the ranges that hold its place
+    places = numbered.select(*keys, F.col("__p").alias("__at"), *(F.col(c).alias(f"__o_{c}") for c in order))
+    top = F.floor(F.log2(F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(0)]))).cast("double"))).cast("int") + 1
+    asked = places.select(*keys, "__at", top.alias("__top")).select(*keys, "__at", F.explode(F.sequence(F.lit(-1), F.col("__top"))).alias("level"))
+    asked = asked.withColumn("node", F.when(F.col("level") < 0, F.col("__at")).otherwise(F.call_function("shiftright", F.col("__at"), F.greatest("level", F.lit(0)))))
+    found = asked.join(nodes, [*keys, "level", "node"]).withColumn("__sub", F.when(F.col("level") < 0, 0).otherwise(1))
+    out = found.groupBy(*keys, "__at", "__sub").agg(*how).join(places, [*keys, "__at"])
+    heads = numbered.select(*keys, F.col("__p").alias("__head"), *(F.col(c).alias(f"__f_{c}") for c in FIELDS))
+    return out.join(heads, [*keys, "__head"])
 
 
 def told(out: DataFrame, ctx: Context, changes: dict[str, Column]) -> tuple[DataFrame, Context]:
