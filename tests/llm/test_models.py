@@ -46,6 +46,39 @@ NOTICES = {
 }
 
 
+#: Notices as projects write them, none of them a template or made from one.
+SEEN = {
+    "mit": ["This code is distributed under the MIT license.", "MIT License - see LICENSE for details.", "Code released under the MIT License, docs elsewhere."],
+    "apache-2.0": ["Distributed under the Apache License 2.0.", "This project is licensed under the Apache License, Version 2.0 - see the LICENSE.md file.", "Apache License, Version 2.0, January 2004"],
+    "gpl-2.0": ["It is distributed under the GNU General Public License version 2.", "Licensed under the GNU GPL version 2 or later."],
+    "gpl-3.0": ["Distributed under the GNU General Public License, version 3.", "It is free software, licensed under the GNU GPL v3."],
+    "lgpl": ["Distributed under the GNU Lesser General Public License.", "It is covered by the GNU Lesser General Public License, version 2.1."],
+    "agpl": ["Distributed under the GNU Affero General Public License.", "Our server is covered by the GNU Affero General Public License."],
+    "mpl-2.0": ["Our code is subject to the terms of the Mozilla Public License.", "Distributed under the Mozilla Public License, version 2.0."],
+    "bsd": ["Distributed under the BSD 3-Clause License.", "This package is licensed under the BSD 2-Clause License."],
+    "isc": ["Distributed under the ISC License.", "This package is released under the ISC license."],
+    "cc-by": ["Our photographs are licensed under CC BY 4.0.", "Pictures: licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa": ["Our texts are licensed under CC BY-SA 4.0.", "Maps: licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc-by-nc": ["Our songs are licensed under CC BY-NC 4.0.", "Films: licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "public-domain": ["These maps have been released into the public domain.", "The data are dedicated to the public domain under CC0."],
+    "proprietary": ["(c) Our Company. All rights reserved.", "Unauthorized copying of this document is strictly prohibited."],
+    "unknown": ["The fishing licence costs ten pounds a year.", "Public houses need permission to open late.", "The general reserved the right to withdraw.", "Copyright law was reformed in that decade.", "Her domain was the public library.", "Version 2 of the play was a success.", "The apache helicopter landed near the foundation.", "Free copies were distributed under the bridge.", "All conditions were met by the builder.", "They licensed the song to a film company."],
+}
+
+
+def test_license_notices_of_other_hands(spark):
+    """Accuracy on notices and sentences that were written apart from the training texts."""
+    pairs = [(f, t) for f, ts in SEEN.items() for t in ts]
+    made = {x for ts in licenses.TEMPLATES.values() for x in ts} | set(licenses.OTHERS)
+    assert not made & {t for _, t in pairs}
+    got = {r["doc_id"]: r["family"] for r in licenses.scan_paragraphs(documents(spark, [t for _, t in pairs])).collect()}
+    right = [got.get(i, "unknown") == f for i, (f, _) in enumerate(pairs)]
+    print([(f, got.get(i), t) for i, (f, t) in enumerate(pairs) if got.get(i, "unknown") != f])
+    assert sum(right) >= 0.85 * len(pairs)
+    # a sentence that is no notice is never taken for one
+    assert all(got.get(i, "unknown") == "unknown" for i, (f, _) in enumerate(pairs) if f == "unknown")
+
+
 def test_license_notices_without_the_word(spark):
     assert NOTICES.keys() == licenses.TEMPLATES.keys() and not any("licen" in t.lower() for t in NOTICES.values())
     texts = [*NOTICES.values(), "He sat in the shade of the tree.", "Distributed under MPL 2.0."]

@@ -31,20 +31,20 @@ from tidemark.llm.common import cut, tables
 
 #: Short notices of well-known licences, by family.
 TEMPLATES = {
-    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "This project is available under the terms of the MIT License."],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Apache 2.0 license."],
-    "gpl-2.0": ["This program is licensed under the GNU General Public License, version 2.", "GNU General Public License version 2 only.", "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "GNU GPL v3."],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "Licensed under the LGPL version 2.1 or later."],
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "public-domain": ["This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0 Universal.", "This work is in the public domain."],
-    "proprietary": ["All rights reserved.", "Copyright 2020 Example Inc. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the copyright holder."],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "This project is available under the terms of the MIT License.", "SPDX-License-Identifier: MIT", "Licensed under the terms of the MIT license, see the LICENSE file.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "gpl-2.0": ["This program is licensed under the GNU General Public License, version 2.", "GNU General Public License version 2 only.", "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "SPDX-License-Identifier: GPL-2.0-only", "This software is released under the GNU GPL version 2 or later.", "if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPLv3.", "This software is released under the GNU GPL version 3 or later."],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "Licensed under the LGPL version 2.1 or later.", "SPDX-License-Identifier: LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only", "Licensed under the AGPLv3.", "Released under the GNU AGPL version 3."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Licensed under the MPL 2.0."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Licensed under the BSD 2-Clause License."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "SPDX-License-Identifier: ISC", "Licensed under the ISC license."],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0", "Available under the Creative Commons Attribution license."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply."],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Available under the Creative Commons Attribution-NonCommercial license."],
+    "public-domain": ["This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0 Universal.", "This work is in the public domain.", "SPDX-License-Identifier: CC0-1.0", "The author has waived all copyright and related rights to this work.", "SPDX-License-Identifier: Unlicense"],
+    "proprietary": ["All rights reserved.", "Copyright 2020 Example Inc. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the copyright holder.", "Unauthorized copying of this file, via any medium, is strictly prohibited.", "Proprietary and confidential.", "This document contains confidential information and may not be disclosed."],
 }
 FAMILIES = (*TEMPLATES, "unknown")
 #: Sentences that share words with notices and are none.
@@ -55,6 +55,7 @@ OTHERS = [
     "The foundation was granted permission to build a school.", "The MIT campus lies by the river.", "They use the same conditions in all following experiments.",
     "The bar lost its license to serve drinks.", "Public work on the road was under way.", "The software was slow and the source of the error unknown.",
     "Released in spring, the film was free of charge for students.", "Copyright disputes between the two artists lasted for years.", "Licensed drivers may rent a car here.",
+    "He applied for a licence to sell fish at the market.", "The council granted planning permission for the new hall.", "Copies of the letter were distributed to all members.", "The library is open to the general public on Sundays.", "Version 3 of the plan was released to the press.", "All rights of way are marked on the map.", "The conditions of the race were hard, and the following day it rained.", "She wrote free software for a living and taught at the university.", "The author reserved his judgement until the source was known.", "Permission slips must be signed by a parent.", "The contract was terminated without notice or compensation.", "The domain of the function is the set of real numbers.", "Notice of the meeting was given in the local paper.", "The public prosecutor dropped all charges.", "A warranty claim must include the receipt.", "The material may be used in class.", "Contributors to the volume include two historians.", "The foundation of the house had to be modified.", "International attribution of the painting is disputed.", "The commercial was shown before the film.", "He shared the work with a common friend.", "The clause was struck from the agreement.", "Terms of three years are served by each member.", "The file was closed and the case distributed to another court.",
 ]
 ANCHOR = r"(?i)licen[sc]|copyright|rights reserved|public domain|permission|redistribut|gpl\b|\bcc0|apache 2|published by the free software|free software foundation|creative commons|\bcc[ -]by\b|mozilla public|(?-i:\b(?:BSD|ISC|MPL)\b)"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
