@@ -16,6 +16,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from email.message import EmailMessage
+from functools import partial
 from urllib.request import Request, urlopen
 
 from pyspark.sql import Column, DataFrame
@@ -241,8 +242,8 @@ def print_rows(rows: list[dict]) -> None:
 TRANSPORTS: dict[str, Callable[[list[dict]], None]] = {"graphite": send_lines, "forward": send_events, "email": send_mail, "pagerduty_resolve": send_incidents, "pagerduty_acknowledge": send_incidents, "pagerduty_trigger": send_incidents, "print": print_rows}
 
 
-def deliver(reports: DataFrame, transports: dict[str, Callable[[list[dict]], None]] | None = None, batch: int = 500) -> None:
-    """Send reports from the executors, each partition's in order, in batches per method."""
+def deliver(reports: DataFrame, transports: dict[str, Callable[[list[dict]], None]] | None = None, batch: int = 500, keep: bool = False) -> None:
+    """Send reports from the executors, each partition's in order, in batches per method. ``keep``: connections stay open for the next delivery."""
     sends = transports or TRANSPORTS
 
     def run(rows):
@@ -253,11 +254,13 @@ def deliver(reports: DataFrame, transports: dict[str, Callable[[list[dict]], Non
                 sends[row["method"]](held.pop(row["method"]))
         for method, rest in held.items():
             sends[method](rest)
+        if not keep:
+            connections().close()
 
     reports.foreachPartition(run)
 
 
-def each_batch(program: Stream | Callable[[], Stream], send: Callable[[DataFrame], None] = deliver):
+def each_batch(program: Stream | Callable[[], Stream], send: Callable[[DataFrame], None] = partial(deliver, keep=True)):
     """A ``foreachBatch`` function: run a stateless program on each micro-batch and deliver its reports.
 
     ``program`` may be a function that gives the current program, as ``tester.RulesFile`` does. A node with state
