@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import operators as O
-from tidemark import sinks
+from tidemark import metrics, sinks
 from tidemark.functions import exprs, folds
 from tidemark.functions import predicates as P
 from tidemark.plans import index, rules
 from tidemark.plans.query import compile_query
-from tidemark.plans.stream import Context, Stream, by, create_forwarding_stream, create_stateful_stream, sdo, split, where
-from tidemark.schema import events_table
+from tidemark.plans.stream import Context, Stream, by, create_forwarding_stream, create_stream, create_stateful_stream, sdo, split, where
+from tidemark.schema import as_events, events_table
+from tidemark.sources import files, wire
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -204,7 +205,7 @@ LANGUAGE = {
     "nil_attribute": ("not k = nil", "k is not null"),
     "string_eq": ('service = "error"', "service = 'error'"),
     "string_like": ('service =~ "%r%"', "service like '%r%'"),
-    "string_order": ('host > "1"', "false"),
+    "string_order": ('host > "1" or service = "view"', "service = 'view'"),
     "attribute_eq": ('k = "42"', "k = '42'"),
     "attribute_int": ("k >= 50", "try_cast(k as double) >= 50"),
     "attribute_double": ("k < 49.5", "try_cast(k as double) < 49.5"),
@@ -247,3 +248,15 @@ table("stateful_function", lambda e: by(["service"], create_stateful_stream(larg
 table("forwarding_function", lambda e: create_forwarding_stream(twice).apply(e).select("seq", "state"), "select seq, state from raw where service = 'error' union all select seq, 'again' from raw where service = 'error'")
 table("sink_email", lambda e: (O.above(90) >> sinks.email("mail", "a@b", ["c@d", "e@f"])).run(e).reports.select("seq", "message", F.get_json_object("extra", "$.to[1]").alias("to")), "select seq, host || ' ' || service || ' ' || state as message, 'e@f' as to from raw where metric > 90")
 table("sink_pagerduty_acknowledge", lambda e: (O.above(90) >> sinks.pagerduty_acknowledge("key")).run(e).reports.select("seq", "method", "extra"), "select seq, 'pagerduty_acknowledge' as method, 'key' as extra from raw where metric > 90")
+table("sha1_base64", lambda e: e.select("seq", exprs.sha1_base64(F.concat("host", F.lit("/"), "service")).alias("hash")), "select seq, to_base64(from_hex(sha1(host || '/' || service))) as hash from raw")
+table("conj", lambda e: e.select("seq", F.array_join(exprs.conj(F.col("tags"), F.col("host")), ",").alias("items")), "select seq, service || ',' || host as items from raw")
+table("report_json", lambda e: e.select("seq", *(F.get_json_object(exprs.report_json(), f"$.{c}").alias(c) for c in ("host", "description", "time")), F.get_json_object(exprs.report_json(), "$.tags[0]").alias("tag")), "select seq, host, '' as description, cast(time as varchar) as time, service as tag from raw")
+program("create_stream", lambda: create_stream(lambda df: df.filter(F.col("metric") > 50).withColumn("state", F.lit("seen"))) >> O.scale(2), "seq state metric", "select seq, 'seen' as state, round(2 * metric, 6) as metric from raw where metric > 50")
+# there and back: messages of the binary format, and JSON
+SENT = "select seq {shift} as seq, time, host, service, state, round(metric, 6) as metric, service as tag, k from raw"
+sent = lambda e: e.select("seq", "time", "host", "service", "state", F.round("metric", 6).alias("metric"), F.element_at("tags", 1).alias("tag"), F.col("attributes")["k"].alias("k"))
+table("wire_messages", lambda e: sent(wire.decode_messages(wire.encode_messages(e))), SENT.format(shift="* 1048576"))
+table("json_messages", lambda e: sent(as_events(e.select("seq", exprs.json_str().alias("j")), **files.from_json(F.col("j"), F.col("seq")))), SENT.format(shift=""))
+# entries that expire go through the rules again
+table("index_expired_again", lambda e: (sdo() >> O.expired() >> O.set_description("gone")).apply(index.changes(e).filter("seq < 0").unionByName(index.expire(index.snapshot(e), 1_706_500_000)[1]), Context(clock=0)).select("seq", "state", "description"), f"{LATEST} select seq, 'expired' as state, 'gone' as description from i where time + 3600 < 1706500000", 3600)
+table("rate_snapshot", lambda e: metrics.rate_snapshot(e, 100.0).select(F.round("metric", 6).alias("metric")), "select round(count(*) / 100.0, 6) as metric from raw")

@@ -162,6 +162,18 @@ def decode_messages(df: DataFrame, message: str = "message", seq: str = "seq") -
     return as_events(out, **{c: c for c in ("seq", "time", "host", "service", "state", "description", "metric", "ttl", "tags", "attributes")})
 
 
+def encode_messages(events: DataFrame) -> DataFrame:
+    """A message for each event: seq, message (binary), as ``decode_messages`` reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [{k: v for k, v in r.items() if k != "seq" and v is not None} for r in b.to_pylist()]
+            raw = [encode({"events": [r | {"attributes": dict(r.get("attributes", []))}]}) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column("seq"), pa.array(raw, pa.binary())], names=["seq", "message"])
+
+    return events.select("seq", "time", "host", "service", "state", "description", "metric", "ttl", "tags", "attributes").mapInArrow(run, "seq bigint, message binary")
+
+
 class Log:
     """Accepted messages on disk, in segments by their first number, so that a restart knows what was acknowledged.
 
