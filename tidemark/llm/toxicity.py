@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     sample = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # 2 * per_class ids at most
     # one row of each id: first its hash, so that only that row's text is moved
     first = sample.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
-    sample = sample.join(F.broadcast(first.withColumnRenamed("doc_id", "d")), (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h"))).select("doc_id", "text", "y")
+    sample = sample.join(F.broadcast(first.withColumnRenamed("doc_id", "d")), (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h"))).select("doc_id", "text", "y").dropDuplicates(["doc_id"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -133,7 +133,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(own), pa.int64()), "y": pa.array([y] * len(own), pa.int32()), "word": pa.array(own, pa.string())})
 
     seen = cut(sample.mapInArrow(words, "doc_id long, y int, word string"))
-    seen = seen.dropDuplicates(["doc_id", "word"])  # rows that are the same in doc_id and text
     count = seen.groupBy("word").agg(F.count_if(F.col("y") >= 1).alias("a"), F.count_if(F.col("y") < 1).alias("b"))
     total = {r["word"]: (r["a"], r["b"]) for r in count.filter(F.col("word") == "").collect()}
     n1, n0 = total.get("", (0, 0))  # every document has the empty word once
@@ -147,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     rate = np.array([((r["a"] + 0.5) / (n1 + 1)) / ((r["b"] + 0.5) / (n0 + 1)) for r in chosen])
     kept = seen.join(F.broadcast(seen.sparkSession.createDataFrame([(w, i) for w, i in index.items()] or [("", -1)], "word string, f int")), "word", "left")
     # each sample document's features: its vocabulary words, at most ``vocabulary``
-    rows = kept.groupBy("doc_id").agg(F.max("y").alias("y"), F.collect_set("f").alias("f")).orderBy("doc_id").collect()
+    rows = kept.groupBy("doc_id").agg(F.max("y").alias("y"), F.collect_list("f").alias("f")).orderBy("doc_id").collect()
     row = np.repeat(np.arange(len(rows)), [len(r["f"]) for r in rows])
     feature = np.array([i for r in rows for i in r["f"]], np.int64)
     row, feature = row[feature >= 0], feature[feature >= 0]
