@@ -92,3 +92,68 @@ def test_local_search():
     bins = packing.local_search(lengths, [[0, 4], [1, 5], [2, 6, 7], [3]], 10)
     assert sorted(i for b in bins for i in b) == list(range(8))
     assert len(bins) == 3 and all(sum(lengths[b]) <= 10 for b in bins)
+
+
+def test_every_bin_may_give():
+    """More bins than any fixed number are less full and can give nothing; the one that can is found."""
+    lengths = np.array([81] * 600 + [18, 18, 17, 17, 16] + [83, 9])
+    bins = packing.local_search(lengths, [*([i] for i in range(600)), list(range(600, 605)), [605, 606]], 100)
+    assert sorted(i for b in bins for i in b) == list(range(607)) and all(lengths[b].sum() <= 100 for b in bins)
+    assert len(bins) == 601
+
+
+def gains(lengths, donor, taker, capacity):
+    """By all pairs of items: the donor can give one or two for none or one, to a taker at least as full."""
+    fill, space = lengths[donor].sum(), capacity - lengths[taker].sum()
+    own = [lengths[i] for i in donor]
+    sums = own + [a + b for k, a in enumerate(own) for b in own[:k]]
+    return capacity - space >= fill and any(0 < x - j <= space for x in sums for j in [0, *lengths[taker]])
+
+
+def test_search_ends_where_no_bin_can_give():
+    rng = np.random.default_rng(3)
+    for capacity, low, high in [(40, 2, 20), (41, 8, 19), (60, 12, 30), (60, 21, 59), (30, 10, 11)] * 6:
+        lengths = rng.integers(low, high + 1, 60)
+        bins = packing.best_fit(lengths, capacity) if low != 21 else [[i] for i in range(60)]
+        able = {b for b, x in enumerate(bins) if any(gains(lengths, x, y, capacity) for y in bins if y is not x)}
+        space = [capacity - int(lengths[b].sum()) for b in bins]
+        order = sorted((s, b) for b, s in enumerate(space) if s)
+        n = lengths.tolist()
+        found = packing.givers(order, {b: packing.offer(n, x) for b, x in enumerate(bins)}, {b: packing.want(n, x, space[b]) for b, x in enumerate(bins)})
+        assert len(found) == len(set(found)) and set(found) == able
+        after = packing.local_search(lengths, [list(b) for b in bins], capacity)
+        assert sorted(i for b in after for i in b) == list(range(60)) and all(lengths[b].sum() <= capacity for b in after)
+        assert len(after) <= len(bins)
+        assert len(after) == packing.least_bins(lengths, capacity) or not any(gains(lengths, x, y, capacity) for x in after for y in after if y is not x)
+
+
+def fewest(lengths, capacity):
+    """By all assignments."""
+    best = len(lengths)
+
+    def go(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(lengths):
+            best = len(free)
+            return
+        for x, s in enumerate(free):
+            if s >= lengths[k]:
+                go(k + 1, [*free[:x], s - lengths[k], *free[x + 1 :]])
+        go(k + 1, [*free, capacity - lengths[k]])
+
+    go(0, [])
+    return best
+
+
+def test_least_bins():
+    rng = np.random.default_rng(4)
+    met = 0
+    for k in range(120):
+        capacity = int(rng.integers(8, 16))
+        lengths = rng.integers(1 + k % 5, capacity + 1, 7)
+        bound, best = packing.least_bins(lengths, capacity), fewest(lengths.tolist(), capacity)
+        assert -(-lengths.sum() // capacity) <= bound <= best
+        met += bound == best
+    assert met > 60

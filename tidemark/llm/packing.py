@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate, groupby
+from operator import itemgetter, or_
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,6 @@ from tidemark.llm.common import cut, encode_words, row_of, slices, tables
 GROUP_PIECES = 50_000
 #: Distinct words whose ids a Python worker remembers.
 CACHE_WORDS = 250_000
-#: The search of a group ends when none of so many least full sequences can give anything.
-DONORS = 256
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -211,39 +211,87 @@ def pair_sums(n: list[int], items: list[int], most: int) -> dict[int, tuple[int,
     return out
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, donors: int = DONORS) -> list[list[int]]:
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A bound: no packing has fewer bins. Pieces above half a bin share none; what they leave free takes only the smaller ones that fit beside them."""
+    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    many, size = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(half + 1)  # pieces below k are left out; those above capacity - k leave room for no other
+    small = size[half] - np.where(k > 0, size[k - 1], 0)
+    free = (many[capacity - k] - many[half]) * capacity - (size[capacity - k] - size[half])
+    return int((many[-1] - many[half]) + max(0, (-((free - small) // capacity)).max()))
+
+
+def offer(n: list[int], items: list[int]) -> int:
+    """Bit x: one item of the bin, or two together, have length x."""
+    own = pairs = twice = 0
+    for i in items:
+        if not twice >> n[i] & 1:
+            pairs |= own << n[i]
+            twice |= own & 1 << n[i]
+            own |= 1 << n[i]
+    return own | pairs
+
+
+def want(n: list[int], items: list[int], space: int) -> int:
+    """Bit x: the bin is filled more by getting length x, beside its items or for one of them."""
+    out = run = (1 << space) - 1
+    for j in {n[i] for i in items}:
+        out |= run << j
+    return out << 1
+
+
+def givers(order: list[tuple[int, int]], offers: dict[int, int], wants: dict[int, int]) -> list[int]:
+    """The bins that a bin at least as full can take from, the fullest first; ``order``: (space, bin), sorted.
+
+    One pass over all bins: what the fuller ones want together is held against what a bin offers.
+    """
+    out, wanted = [], 0
+    for _, level in groupby(order, key=itemgetter(0)):
+        same = [b for _, b in level]
+        later = list(accumulate((wants[b] for b in reversed(same)), or_, initial=0))  # of bins as full, all but the bin itself count
+        for b in same:
+            later.pop()
+            if offers[b] & (wanted | later[-1]):
+                out.append(b)
+            wanted |= wants[b]
+    return out
+
+
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Try to empty the least full bins by moves and by one-for-one and two-for-one exchanges.
 
-    Each accepted step raises the sum of squared fills: the donor's fill falls, a
-    fuller bin's fill rises by as much. A bin that runs empty is dropped. The search ends when
-    none of the ``donors`` least full bins can give anything, or there are as few bins as the total needs.
+    Each accepted step raises the sum of squared fills: the donor's fill falls, a bin at least
+    as full gains as much. A bin that runs empty is dropped. Of the bins that can give, the least
+    full give first. The search ends when none of all bins can, or no packing has fewer.
     """
-    fill = [int(sum(lengths[i] for i in b)) for b in bins]
-    total, n = int(lengths.sum()), [int(x) for x in lengths]
-    least = -(-total // capacity)
-    while True:
-        used = [b for b in range(len(bins)) if bins[b]]
-        under = sorted((b for b in used if fill[b] < capacity), key=lambda b: (fill[b], b))
-        if len(used) <= least or len(under) < 2:
-            break
-        raised = False
-        for donor in under[:donors]:
-            own: dict[int, int] | None = None
+    bins = [b for b in bins if b]
+    n, used, least = [int(x) for x in lengths], len(bins), least_bins(lengths, capacity)
+    if used <= least:
+        return bins
+    space = [capacity - sum(n[i] for i in b) for b in bins]
+    order = sorted((s, b) for b, s in enumerate(space) if s)
+    offers = {b: offer(n, bins[b]) for _, b in order}
+    wants = {b: want(n, bins[b], s) for s, b in order}
+
+    def place(b: int, gain: int) -> None:
+        nonlocal used
+        order.pop(bisect_left(order, (space[b], b)))
+        space[b] -= gain
+        used -= not bins[b]
+        if space[b] and bins[b]:
+            insort(order, (space[b], b))
+            offers[b], wants[b] = offer(n, bins[b]), want(n, bins[b], space[b])
+
+    while used > least and (able := givers(order, offers, wants)):
+        for donor in reversed(able):
             # the fullest bins first: raising these raises the squares most
-            for b in sorted((b for b in under if fill[b] >= fill[donor] and b != donor and fill[b] < capacity), key=lambda b: (-fill[b], b)):
-                if not bins[donor]:
-                    break
-                space = capacity - fill[b]
-                if own is None:
-                    own, pairs = {n[i]: i for i in bins[donor]}, None
-                move = max((x for x in own if x <= space), default=0)
-                if move:
-                    out, back = [own[move]], []
-                else:
-                    pairs = pair_sums(n, bins[donor], capacity) if pairs is None else pairs
-                    out, back = exchange(n, bins[b], own, pairs, space)
-                    if not out:
-                        continue
+            for s, b in order[: bisect_right(order, (space[donor], len(bins)))]:
+                if b == donor or not offers[donor] & wants[b]:
+                    continue
+                own = {n[i]: i for i in bins[donor]}
+                move = max((x for x in own if x <= s), default=0)
+                out, back = ([own[move]], []) if move else exchange(n, bins[b], own, pair_sums(n, bins[donor], capacity), s)
                 for i in out:
                     bins[donor].remove(i)
                     bins[b].append(i)
@@ -251,13 +299,12 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, dono
                     bins[b].remove(j)
                     bins[donor].append(j)
                 gain = sum(n[i] for i in out) - sum(n[j] for j in back)
-                fill[b] += gain
-                fill[donor] -= gain
-                raised, own = True, None
-            if raised:
+                place(b, gain)
+                place(donor, -gain)
+                if not bins[donor]:
+                    break
+            if used <= least:
                 break
-        if not raised:
-            break
     return [b for b in bins if b]
 
 
