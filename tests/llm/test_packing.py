@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -27,6 +28,24 @@ def test_tokens(tokenizer):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_tokens_in_bounded_memory(monkeypatch):
+    own = packing.WordTokenizer(packing.tokenizer_file())
+    rng = random.Random(4)
+    known = [f"{''.join(rng.choice('abcdefgh') for _ in range(5))}{rng.choice(['', '', ',', '.'])}" for _ in range(500)]
+    texts = pa.array([*TEXTS, *(" ".join(rng.choice(known) for _ in range(2_000)) for _ in range(250))], pa.string())
+    own.encode(texts)  # words are known from here on
+    tracemalloc.start()
+    try:
+        offsets, ids = own.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]  # of Python and NumPy
+    finally:
+        tracemalloc.stop()
+    assert peak < ids.nbytes + 50 * 500_000  # bytes beside the ids, for each word
+    monkeypatch.setattr(packing, "STEP_WORDS", 997)
+    again = own.encode(texts)
+    assert (again[0] == offsets).all() and (again[1] == ids).all()
+
+
 def check(rows, texts, tokenizer, size):
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
     by_doc, by_sequence = {}, {}

@@ -36,6 +36,8 @@ from tidemark.llm.common import cut, encode_words, row_of, slices, tables
 GROUP_PIECES = 50_000
 #: Distinct words whose ids a Python worker remembers.
 CACHE_WORDS = 250_000
+#: Words whose ids are put in place at once, and bytes of text that are tokenised at once.
+STEP_WORDS, PIECE_CHARS = 100_000, 4_000_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -116,16 +118,21 @@ class WordTokenizer:
         new = {w for w in words if w not in self.place}
         self.add_words(alpha := sorted(w for w in new if w.isalpha()))
         self.add_parts(sorted((new | set(tails)).difference(alpha, self.place)))
-        at = np.empty(2 * len(chunks), np.int64)
-        at[0::2] = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        at[1::2] = np.fromiter(map(self.place.__getitem__, tails), np.int64, len(tails))
+        head = np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+        tail = np.fromiter(map(self.place.__getitem__, tails), np.int32, len(tails))
+        del chunks, words, tails, new, alpha
         if not len(codes):
             return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint32)
-        units = at.reshape(-1, 2)[codes].ravel()
-        begin, size = self.begin[units], self.begin[units + 1] - self.begin[units]
-        end = np.cumsum(size)
-        ids = self.ids[np.repeat(begin - (end - size), size) + np.arange(int(end[-1]))]
-        return np.concatenate([[0], end[1::2]])[offsets], ids
+        size = np.diff(self.begin[: len(self.place) + 1]).astype(np.int32)
+        edges = np.concatenate([[0], np.cumsum((size[head] + size[tail])[codes], dtype=np.int64)])
+        ids = np.empty(int(edges[-1]), np.uint32)
+        for lo in range(0, len(codes), STEP_WORDS):  # only the ids themselves are ever held for all words
+            part = codes[lo : lo + STEP_WORDS]
+            units = np.stack([head[part], tail[part]], axis=1).ravel()
+            many = size[units]
+            own = ids[edges[lo] : edges[lo + len(part)]]
+            own[:] = self.ids[np.repeat(self.begin[units] - (np.cumsum(many, dtype=np.int64) - many), many) + np.arange(len(own))]
+        return edges[offsets], ids
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -143,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PIECE_CHARS):
             offsets, ids = tokenizer.encode(b.column("text"))
             doc_ids = b.column("doc_id").to_pylist()
             rows: list[tuple] = []
@@ -154,6 +161,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id:
                     rows.append((doc, k, lo, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
+            del b, ids  # else held while the next batch is read
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE_SCHEMA + ", ids array<int>" * with_ids)
