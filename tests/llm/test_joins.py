@@ -170,6 +170,17 @@ def test_lines_of_any_length(spark, monkeypatch):
     assert got == dict(enumerate(expected_lines(texts, least=1)))
 
 
+def test_settled_groups_are_not_reopened(spark, monkeypatch):
+    """A family larger than the cap: its first line has no candidate before it, each later one is similar to its first; nothing is left to look for."""
+
+    def again(*_):
+        raise AssertionError("second round")
+
+    monkeypatch.setattr(setjoin, "reopened", again)
+    base = [f"w{i}" for i in range(40)]
+    check_lines(spark, [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(12)] + ["one of another kind altogether", "w1 w2 w3 w4 w5"])
+
+
 def test_lines_order_and_odd_rows(spark):
     line = "alpha beta gamma delta epsilon"
     docs = documents(spark, [line, "x\n" + line.upper(), (line,)]).sort("doc_id", ascending=False)

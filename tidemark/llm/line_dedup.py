@@ -60,11 +60,13 @@ def join_lines(found: DataFrame, docs: DataFrame, units: setjoin.Units, threshol
     sure = later(setjoin.verify(setjoin.earliest(pairs), sets, threshold))
     rest = pairs.select("sig", "sig2").join(setjoin.earliest(pairs), ["sig", "sig2"], "left_anti").join(sure.withColumnRenamed("sig", "sig2"), "sig2", "left_anti")
     sure = sure.unionByName(later(setjoin.verify(rest, sets, threshold)))
-    rows = setjoin.open_rows(found)
-    if rows.isEmpty():
+    # second round: classes that none of their first candidates matched and that have more in a group, against all others of these groups
+    short = setjoin.short_rows(found).join(sure, "sig", "left_anti")
+    if short.isEmpty():
         return first, sure
-    # second round: classes that none of their first candidates matched, against all others of these groups
-    rows = rows.join(sure.withColumn("done", F.lit(True)), "sig", "left").withColumn("label", F.when(F.col("done"), F.lit(0).cast("long")).otherwise(F.col("sig"))).drop("done")
+    label = F.lit(0).cast("long")  # the others are only held against
+    done = setjoin.short_rows(found).join(sure, "sig", "left_semi").unionByName(setjoin.whole_rows(found))
+    rows = short.withColumn("label", F.col("sig")).unionByName(done.withColumn("label", label))
     maps = lambda long: setjoin.fetch_sets(long, docs, units, maps=True, bits=setjoin.MAP_BITS)
     more = setjoin.pairs_of(setjoin.candidates(setjoin.reopened(rows, maps), threshold, None))
     more = cut(more.join(pairs.select("sig", "sig2"), ["sig", "sig2"], "left_anti"))

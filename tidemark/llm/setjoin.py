@@ -60,8 +60,9 @@ POSTING = ("token", "at", "tail", "sig", "b0", "b1", "doc")
 POSTING_SCHEMA = ", ".join(f"{c} long" for c in POSTING)
 #: Flags in ``tail``, under the line: a class row, a row of two blocks, the second of these, and the order.
 LINE_SHIFT, IS_CLASS, IS_CROSS, IS_SECOND, ORDER_MASK = 10, 512, 256, 128, 127
-#: Kinds of candidate rows: a pair, an open row (a posted row), or a class with its first unit.
-PAIR, OPEN, CLASS = 0, 1, 2
+#: Kinds of candidate rows: a pair, an open row (a posted row), a class with its first unit, or an open row
+#: that the cap cut nothing off: all its earlier candidates in its group are pairs already.
+PAIR, OPEN, CLASS, OPEN_WHOLE = 0, 1, 2, 3
 PAIR_COLUMNS = ("bits", "line", "line2", "sig", "doc", "sig2", "doc2")
 FOUND = ("kind", *(f"c{i}" for i in range(7)))
 FOUND_SCHEMA = ", ".join(f"{c} long" for c in FOUND)
@@ -433,7 +434,7 @@ def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> Data
 
     ``bits`` tells under which orders a pair was met; all bits where a cap may have hidden
     it from others. With a cap, also OPEN rows: those of groups where it cut something off,
-    or of more than LIMIT rows, which make no pairs here.
+    or of more than LIMIT rows, which make no pairs here. Those of them whose own candidates are all there are OPEN_WHOLE.
     Rows with a column ``label`` make no pairs of equal labels, nor pairs whose later class has
     label 0; parity maps in a column ``map`` are one more filter. Class rows come out once per class (CLASS), with the first unit.
     """
@@ -459,20 +460,22 @@ def candidates(posted: DataFrame, threshold: Threshold, cap: int | None) -> Data
                     yield from found_rows(PAIR, 1 << order[b], group.line[a], group.line[b], g["sig"][a], g["doc"][a], g["sig"][b], g["doc"][b])
             return
         a, b = (np.concatenate(x) for x in zip(*parts))
-        over = np.zeros(len(size), bool)
+        short = np.zeros(len(number), bool)  # rows that may have more candidates than are given
         if len(a):
             by = np.lexsort((group.line[a], g["doc"][a], b))
             a, b = a[by], b[by]
             start = changes(b)
             rank = np.arange(len(b)) - np.maximum.accumulate(np.where(start, np.arange(len(b)), 0))
             # a row that reached the cap may have more; a small group tells for sure
-            over[number[b[rank >= cap]]] = True
-            over[number[b[(rank == cap - 1) & (size[number[b]] > SMALL)]]] = True
+            short[b[rank >= cap]] = True
+            short[b[(rank == cap - 1) & (size[number[b]] > SMALL)]] = True
             a, b = a[rank < cap], b[rank < cap]
+        over = np.zeros(len(size), bool)
+        over[number[short]] = True
         bits = np.where(over[number[b]], -1, 1 << order[b])
         yield from found_rows(PAIR, bits, group.line[a], group.line[b], g["sig"][a], g["doc"][a], g["sig"][b], g["doc"][b])
-        r = np.flatnonzero(over[number])
-        yield from found_rows(OPEN, *(g[k][r] for k in POSTING))
+        for kind, r in ((OPEN, np.flatnonzero(short)), (OPEN_WHOLE, np.flatnonzero(over[number] & ~short))):
+            yield from found_rows(kind, *(g[k][r] for k in POSTING))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for too_large, g in groups(batches, chunk, limit):
@@ -541,9 +544,18 @@ def pairs_of(found: DataFrame) -> DataFrame:
 
 
 def open_rows(found: DataFrame) -> DataFrame:
+    return of_kind(found, OPEN, POSTING).unionByName(whole_rows(found))
+
+
+def short_rows(found: DataFrame) -> DataFrame:
+    """The open rows that may have more earlier candidates in their group than the pairs tell."""
     return of_kind(found, OPEN, POSTING)
 
 
+def whole_rows(found: DataFrame) -> DataFrame:
+    return of_kind(found, OPEN_WHOLE, POSTING)
+
+
 def bitmap(keys: DataFrame, bits: int | None = None, each: int = 16) -> np.ndarray:
     """A bit for each bucket that a key (column ``key``, evenly spread longs) falls into.
 
