@@ -336,3 +336,11 @@ def test_marking_plans_agree_with_machines(spark):
             got = O.moving_time_window(dt, fold).apply(events).orderBy("seq").collect()
             want = O.moving_time_window(dt, fold).apply(events, Context(ordered=False)).orderBy("seq").collect()
             assert [(r["seq"], r["time"], r["host"], round(r["metric"], 6)) for r in got] == [(r["seq"], r["time"], r["host"], round(r["metric"], 6)) for r in want]
+
+
+def test_live_plans_broadcast_nothing(spark, tmp_path):
+    """All sides of their joins grow with the input; Spark takes a small file's for small."""
+    make_events(spark, live_rows(3)).write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    for program in (O.coalesce(folds.count), by(["service"], O.coalesce(folds.maximum)), rules.max_critical_hosts(3)):
+        assert "Broadcast" not in program.apply(events)._jdf.queryExecution().executedPlan().toString()

@@ -92,6 +92,7 @@ def live_folds(df: DataFrame, ctx: Context, parts: dict[str, Column], greatest_t
     """For each event the parts over the expired it finds (``__sub`` 0) and over what is alive then (1): keys, order, ``__f_`` fields of the first by host and service, parts and time.
 
     Only what folds need goes through the ranges, in columns that hash aggregates take; the first event's fields are joined at the end.
+    The sides of all joins are as large as the input, so none may be broadcast, whatever their size is taken for.
     """
     keys, order = list(ctx.keys), list(ctx.order)
     numbered = df.withColumn("__p", (F.row_number().over(ctx.window()) - 1).cast("long"))
@@ -107,10 +108,10 @@ def live_folds(df: DataFrame, ctx: Context, parts: dict[str, Column], greatest_t
     top = F.floor(F.log2(F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(0)]))).cast("double"))).cast("int") + 1
     asked = places.select(*keys, "__at", top.alias("__top")).select(*keys, "__at", F.explode(F.sequence(F.lit(-1), F.col("__top"))).alias("level"))
     asked = asked.withColumn("node", F.when(F.col("level") < 0, F.col("__at")).otherwise(F.call_function("shiftright", F.col("__at"), F.greatest("level", F.lit(0)))))
-    found = asked.join(nodes, [*keys, "level", "node"]).withColumn("__sub", F.when(F.col("level") < 0, 0).otherwise(1))
-    out = found.groupBy(*keys, "__at", "__sub").agg(*how).join(places, [*keys, "__at"])
+    found = asked.join(nodes.hint("merge"), [*keys, "level", "node"]).withColumn("__sub", F.when(F.col("level") < 0, 0).otherwise(1))
+    out = found.groupBy(*keys, "__at", "__sub").agg(*how).join(places.hint("merge"), [*keys, "__at"])
     heads = numbered.select(*keys, F.col("__p").alias("__head"), *(F.col(c).alias(f"__f_{c}") for c in FIELDS))
-    return out.join(heads, [*keys, "__head"])
+    return out.join(heads.hint("merge"), [*keys, "__head"])
 
 
 def told(out: DataFrame, ctx: Context, changes: dict[str, Column]) -> tuple[DataFrame, Context]:
