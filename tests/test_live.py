@@ -222,6 +222,29 @@ def test_own_nodes(spark, tmp_path, name):
     assert want == ([(i, "", float(i // 2 + 1)) for i in range(10)] if name == "stateful" else [(i, s, float(i)) for i in range(0, 10, 2) for s in "01"])
 
 
+def test_forwarding_needs_no_exchange(spark):
+    """Its events stay where they lie: no task gets them all, and it may stand before sinks of a batch."""
+    program = PUSHES["forwarding"]()
+    events = make_events(spark, [{"seq": i, "service": "a"} for i in range(10)]).repartition(5)
+    plan = program.apply(events)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan and program.stateless
+    assert program.apply(events).count() == 20
+
+
+def test_events_of_arrow_batches():
+    """The same values as one by one, in slices too, with nulls inside and instead of lists and maps."""
+    import pyarrow as pa
+
+    from tidemark.streaming.state import events, plain
+
+    tags, maps = [["a", None], [], None, ["b"]], [[("k", "1"), ("l", None)], None, [], [("m", "2")]]
+    columns = {"seq": pa.array([1, 2, 3, 4]), "time": pa.array([None, 1, 2, None]), "host": pa.array(["x", None, "", "y"]), "ttl": pa.array([1.5, 2, 3, 4], pa.float32()), "flag": pa.array([True, None, False, True])}
+    columns |= {"tags": pa.array(tags, pa.list_(pa.string())), "attributes": pa.array(maps, pa.map_(pa.string(), pa.string())), "none": pa.nulls(4, pa.string())}
+    batch = pa.RecordBatch.from_pydict(columns)
+    for b in (batch, batch.slice(1, 2), batch.slice(3), batch.slice(0, 0)):
+        assert list(events(b)) == [plain(r) for r in b.to_pylist()]
+
+
 def test_each_batch_refuses_state(spark, tmp_path):
     e = make_events(spark, [{"host": "h", "service": "s", "metric": 5, "state": "bad"}])
     mail = sinks.email("m", "a", "b")

@@ -162,15 +162,25 @@ def create_stateful_stream(push: Callable[[dict, dict], list[dict]], start: Call
     return Stream((Machine(push, start),))
 
 
-def create_forwarding_stream(function: Callable[[dict, Callable[[dict], None]], None]) -> Stream:
-    """A node from ``function(event, forward)``, which forwards what it likes, as often as it likes."""
+@dataclass(frozen=True)
+class Forwarding(Node):
+    stateless = True
+    function: Callable[[dict, Callable[[dict], None]], None]
+
+    def lower(self, df, ctx):
+        from tidemark.streaming.state import each
+
+        def push(event: dict) -> list[dict]:
+            out: list[dict] = []
+            self.function(dict(event), out.append)
+            return [event | x for x in out]
 
-    def push(state: dict, event: dict) -> list[dict]:
-        out: list[dict] = []
-        function(event, out.append)
-        return out
+        return each(df, ctx, push), ctx
 
-    return create_stateful_stream(push)
+
+def create_forwarding_stream(function: Callable[[dict, Callable[[dict], None]], None]) -> Stream:
+    """A node from ``function(event, forward)``, which forwards what it likes, as often as it likes; it sees each event by itself, in no order."""
+    return Stream((Forwarding(function),))
 
 
 def hidden(ctx: Context) -> list[str]:

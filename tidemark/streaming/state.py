@@ -37,6 +37,28 @@ def plain(row: dict) -> dict:
     return row
 
 
+def values(column: pa.Array) -> list:
+    """Plain Python values, by whole buffers where there are such; maps as dicts."""
+    kind = column.type
+    if pa.types.is_list(kind) or pa.types.is_map(kind):
+        ends, start = column.offsets.to_numpy().tolist(), column.offsets[0].as_py()
+        if pa.types.is_map(kind):
+            flat = list(zip(*(values(c.slice(start, ends[-1] - start)) for c in (column.keys, column.items))))
+        else:
+            flat = values(column.values.slice(start, ends[-1] - start))
+        make = dict if pa.types.is_map(kind) else list
+        out = [make(flat[a - start : b - start]) for a, b in zip(ends, ends[1:])]
+        return [x if ok else None for x, ok in zip(out, column.is_valid().to_pylist())] if column.null_count else out
+    if pa.types.is_string(kind) or (column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind))):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def events(batch: pa.RecordBatch) -> Iterator[dict]:
+    names = batch.schema.names
+    return (dict(zip(names, row)) for row in zip(*map(values, batch.columns)))
+
+
 def batch(df: DataFrame, ctx: Context, machine: Machine) -> DataFrame:
     """One exchange and one sort on the keys; a key's rows stream by, so memory is its state and not its rows."""
     keys, schema = list(ctx.keys), output_schema(ctx)
@@ -45,7 +67,7 @@ def batch(df: DataFrame, ctx: Context, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, out = None, None, []
         for b in batches:
-            for row in map(plain, b.to_pylist()):
+            for row in events(b):
                 key = tuple(row[k] for k in keys)
                 if state is None or key != current:
                     current, state = key, machine.start()
@@ -60,6 +82,25 @@ def batch(df: DataFrame, ctx: Context, machine: Machine) -> DataFrame:
     return dealt.sortWithinPartitions(*keys, *ctx.order).mapInArrow(run, schema)
 
 
+def each(df: DataFrame, ctx: Context, push: Callable[[dict], list[dict]]) -> DataFrame:
+    """Events one by one, where they lie: no exchange, no sort. The same in batch and on a stream."""
+    schema = output_schema(ctx)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row in events(b):
+                out += push(row)
+                if len(out) >= ROWS:
+                    yield records(out, arrow)
+                    out = []
+            if out:
+                yield records(out, arrow)
+
+    return df.select(*hidden(ctx)).mapInArrow(run, schema)
+
+
 def annotate(df: DataFrame, ctx: Context, start: Callable[[], object], step: Callable[..., tuple], inputs: list[str], added: T.StructType) -> DataFrame:
     """Columns that depend on a key's rows before, by ``step(state, *inputs)`` in arrival order.
 
