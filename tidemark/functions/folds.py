@@ -62,15 +62,15 @@ def collected(fold: Fold, rows: Column) -> Column:
 def fold_groups(df: DataFrame, by: list[str], fold: Fold, keep: list[str] = (), having: Column | None = None) -> DataFrame:
     """One event per group: the group's first event with the fold's metric, its greatest time and its last seq."""
     others = [c for c in FIELDS if c not in ("seq", "time", "metric")] + [c for c in keep if c not in by]
-    first = F.min_by(F.struct(*others), F.col("seq"))
+    first = [F.min_by(c, "seq").alias(f"__first_{c}") for c in others]  # one by one, so that those not needed are never read
     value = fold.agg(metric(), F.col("seq")) if fold.agg else F.collect_list(F.struct("seq", metric().alias("m")))
-    out = df.groupBy(*by).agg(first.alias("__first"), value.alias("__m"), F.max("time").alias("__t"), F.max("seq").alias("__s"), F.count(F.lit(1)).alias("__n"))
+    out = df.groupBy(*by).agg(*first, value.alias("__m"), F.max("time").alias("__t"), F.max("seq").alias("__s"), F.count(F.lit(1)).alias("__n"))
     if having is not None:
         out = out.filter(having)
     if not fold.agg:
         out = out.withColumn("__m", collected(fold, F.col("__m")))
     pick = {"seq": F.col("__s"), "time": F.col("__t"), "metric": F.col("__m")}
-    return out.select(*((pick.get(c, F.col(f"__first.{c}"))).cast(EVENT[c].dataType).alias(c) for c in FIELDS), *(F.col(c) if c in by else F.col(f"__first.{c}").alias(c) for c in keep))
+    return out.select(*((pick.get(c, F.col(f"__first_{c}"))).cast(EVENT[c].dataType).alias(c) for c in FIELDS), *(F.col(c) if c in by else F.col(f"__first_{c}").alias(c) for c in keep))
 
 
 def fold_window(df: DataFrame, frame: WindowSpec, fold: Fold) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import metric
 from tidemark.functions.folds import Fold, fold_groups, fold_structs, fold_window
-from tidemark.operators import live
+from tidemark.operators import live, order
 from tidemark.plans.stream import Context, Node, Stream, hidden
 from tidemark.schema import EVENT, FIELDS
 from tidemark.streaming import machines
@@ -42,8 +42,8 @@ class FixedEvents(Node):
     def lower(self, df, ctx):
         if df.isStreaming:
             return scan(df, ctx, machines.FixedEvents(self.n, self.fold.python)), ctx
-        numbered = df.withColumn("__g", F.floor((F.row_number().over(ctx.window()) - 1) / self.n))
-        return fold_groups(numbered, [*ctx.keys, "__g"], self.fold, ctx.keys, F.col("__n") == self.n).select(hidden(ctx)), ctx
+        grouped = order.numbered(df, ctx, "__g").withColumn("__g", F.expr(f"__g div {self.n}"))
+        return fold_groups(grouped, [*ctx.keys, "__g"], self.fold, ctx.keys, F.col("__n") == self.n).select(hidden(ctx)), ctx
 
 
 def fixed_event_window(n: int, fold: Fold) -> Stream:
