@@ -50,3 +50,19 @@ def test_fixed_events_take_no_key_into_one_task(spark, fold):
             want.append((g[-1]["seq"], g[-1]["time"], g[0]["host"], s, None, fold.python([r["metric"] for r in g])))
     got = [(r["seq"], r["time"], r["host"], r["service"], r["state"], r["metric"]) for r in out.collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["sum", "maximum", "difference"])
+def test_moving_time_takes_no_key_into_one_task(spark, name):
+    """Spans of time are windows of their own, whose frames only grow: one that slides folds all its rows for each event."""
+    fold = folds.BY_NAME[name]
+    rows = [{"seq": i, "time": (i * i // 7) % 1000 if i else -3, "service": "ab"[i % 3 == 0], "host": None if i % 4 else f"h{i}", "metric": float(i * 17 % 23)} for i in range(80)]
+    for dt in (1, 2, 60):
+        out = by(["service"], O.moving_time_window(dt, fold)).apply(make_events(spark, rows))
+        windows = [line for line in plan(out).split("\n") if "windowspecdefinition" in line]
+        assert windows and all(re.search(r"windowspecdefinition\(__k0#\d+, __span#", line) and "RangeFrame" not in line for line in windows)
+        got = {r["seq"]: (r["time"], r["host"], r["metric"]) for r in out.collect()}
+        for r in rows:
+            near = [x for x in rows if x["service"] == r["service"] and x["seq"] <= r["seq"] and x["time"] > r["time"] - dt]
+            assert got.pop(r["seq"]) == (r["time"], near[0]["host"], fold.python([x["metric"] for x in near])), (dt, r)
+        assert not got

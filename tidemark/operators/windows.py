@@ -62,10 +62,10 @@ class MovingTime(Node):
         df = df.filter(F.col("time").isNotNull())
         if df.isStreaming:
             return scan(df, ctx, machines.MovingTime(self.dt, self.fold.python)), ctx
-        df = df.withColumn("__max", F.max("time").over(ctx.running()))
-        near = Window.partitionBy(*(ctx.keys or (F.lit(0),))).orderBy("__max").rangeBetween(1 - self.dt, 0)
         if ctx.ordered and self.fold.name in live.FOLDS:
             return self.in_order(df, ctx).select(hidden(ctx)), ctx
+        df = df.withColumn("__max", F.max("time").over(ctx.running()))
+        near = Window.partitionBy(*(ctx.keys or (F.lit(0),))).orderBy("__max").rangeBetween(1 - self.dt, 0)
         slim = F.struct(*((F.map_entries(c).alias(c) if c == "attributes" else F.col(c)) for c in FIELDS))  # maps can't be sorted
         df = df.withColumn("__near", F.collect_list(slim).over(near))
         # rows of the same greatest time are peers, also those that arrive later: these are taken out again
@@ -75,21 +75,31 @@ class MovingTime(Node):
         return out.withColumns(own).select(hidden(ctx)), ctx
 
     def in_order(self, df: DataFrame, ctx: Context) -> DataFrame:
-        """Times in order: what lies before the event's second, by a range of times, and what came in that second up to it, by rows. No arrays."""
-        part = ctx.keys or (F.lit(0),)
-        before = Window.partitionBy(*part).orderBy("time").rangeBetween(1 - self.dt, -1)
-        same = Window.partitionBy(*part, "time").orderBy(*ctx.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        """Times in order, by spans of dt seconds: a frame is the end of the span before, folded from its last row back, and its own span up to the event.
+
+        Each row is folded twice, however many a frame holds, and no task needs more of a key than two spans.
+        """
+        part, start = [*ctx.keys, "__span"], F.col("time") - F.pmod("time", F.lit(self.dt))
+        own = df.withColumns({"__span": start, "__t": F.col("time"), "__prior": F.lit(False)})
+        if self.dt > 1:
+            shifted = {"__span": start + self.dt, "__t": F.col("time") + self.dt, "__prior": F.lit(True)}
+            own = own.unionByName(df.withColumns(shifted))
+        # a row of the span before counts where its time and dt are later than the event's time
+        back = Window.partitionBy(*part).orderBy(F.desc("__t"), "__prior", *(F.desc(c) for c in ctx.order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = Window.partitionBy(*part).orderBy("time", *ctx.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         meet = {"sum": lambda a, b: F.coalesce(a, F.lit(0.0)) + b, "count": lambda a, b: F.coalesce(a, F.lit(0)) + b, "product": lambda a, b: F.coalesce(a, F.lit(1.0)) * b, "minimum": F.least, "maximum": F.greatest}
         fields = [c for c in FIELDS if c not in ("seq", "time")]
-        first = lambda frame: F.min_by(F.struct(*fields), F.struct(*ctx.order)).over(frame)
         parts, value = live.FOLDS[self.fold.name]
-        df = df.withColumn("__first", F.coalesce(first(before), first(same)) if self.dt > 1 else first(same))
-        for name in parts:
-            m, agg = live.PARTS[name]
-            own = agg(m(metric())).over(same)
-            df = df.withColumn(f"__{name}", meet[name](agg(m(metric())).over(before), own) if self.dt > 1 else own)
-        df = df.withColumn("__value", value(F.coalesce("__first.metric", F.lit(0.0))).cast("double"))
-        return df.withColumns({c: F.col(f"__first.{c}") for c in fields} | {"metric": F.col("__value")})
+        fold = lambda name, m: live.PARTS[name][1](m)
+        if self.dt > 1:
+            own = own.withColumns({f"__b_{c}": F.last(F.when(F.col("__prior"), F.struct(c)), ignorenulls=True).over(back) for c in fields})
+            own = own.withColumns({f"__{n}": fold(n, F.when(F.col("__prior"), live.PARTS[n][0](metric()))).over(back) for n in parts}).filter("not __prior")
+        first = {c: F.first(F.struct(c)).over(upto) for c in fields}
+        own = own.withColumns({f"__a_{c}": (F.coalesce(f"__b_{c}", v) if self.dt > 1 else v)[c] for c, v in first.items()})
+        sums = {n: fold(n, live.PARTS[n][0](metric())).over(upto) for n in parts}
+        own = own.withColumns({f"__{n}": meet[n](F.col(f"__{n}"), v) if self.dt > 1 else v for n, v in sums.items()})
+        own = own.withColumn("__value", value(F.coalesce("__a_metric", F.lit(0.0))).cast("double"))
+        return own.withColumns({c: F.col(f"__a_{c}") for c in fields} | {"metric": F.col("__value")})
 
 
 def moving_time_window(dt: int, fold: Fold) -> Stream:
