@@ -1,5 +1,6 @@
 """What once took all rows of a key into one task: places, windows, slots and live sets by cells."""
 
+import random
 import re
 
 import pytest
@@ -7,9 +8,14 @@ from pyspark.sql import functions as F
 
 from tidemark import operators as O
 from tidemark.functions import folds
+from tidemark.functions import predicates as P
 from tidemark.operators import order
+from tidemark.operators.stateful import first_of
+from tidemark.plans import rules
 from tidemark.plans.stream import Context, by
-from tidemark.schema import make_events
+from tidemark.schema import FIELDS, make_events
+from tidemark.streaming import machines
+from tidemark.streaming.state import scan
 
 
 def plan(df):
@@ -66,3 +72,30 @@ def test_moving_time_takes_no_key_into_one_task(spark, name):
             near = [x for x in rows if x["service"] == r["service"] and x["seq"] <= r["seq"] and x["time"] > r["time"] - dt]
             assert got.pop(r["seq"]) == (r["time"], near[0]["host"], fold.python([x["metric"] for x in near])), (dt, r)
         assert not got
+
+
+def random_rows(n):
+    rng = random.Random(4)
+    out, t, at = [], 0, 0
+    for _ in range(n):
+        t += rng.choice([0, 1, 5, 40])
+        at += rng.choice([1, 2, 3, 9, 300])
+        out.append({"seq": at, "time": t, "host": rng.choice(["a", "b", None]), "service": rng.choice("abc"), "metric": rng.choice([None, 0.0, 2.0, float(rng.randint(1, 9))]), "state": rng.choice(["ok", "ok", "critical", "expired"]), "ttl": rng.choice([None, 3.0, 20.0]), "tags": ["x", str(at)], "attributes": {"k": str(at)}})
+    return out
+
+
+@pytest.mark.parametrize(("name", "ctx"), [("mean", Context()), ("difference", Context(clock=400))], ids=["virtual", "fixed"])
+def test_slots_are_filled_by_cells(spark, monkeypatch, name, ctx):
+    """By cells of four numbers and groups of two of these, the same as a machine that sees one event after the other; all fields."""
+    monkeypatch.setattr(order, "CELL", 2)
+    monkeypatch.setattr(order, "GROUP", 1)
+    events, fold, preds = make_events(spark, random_rows(150)), folds.BY_NAME[name], [P.service("a"), P.service("b"), P.match("host", "b")]
+    marked = events.withColumn("__p", first_of(preds))
+    out, _ = O.project(preds, fold).lower(events, ctx)
+    want = scan(marked, ctx, machines.Project(3, fold.python, ctx.clock), ["__p"])
+    show = lambda df: sorted((tuple(str(r[c]) for c in FIELDS) for r in df.select(FIELDS).collect()))
+    assert show(out) == show(want) and out.count() > 100
+    windows = [line for line in plan(out).split("\n") if "windowspecdefinition" in line]
+    assert windows and all(re.search(r"windowspecdefinition\(__(at|up)#|windowspecdefinition\(0, __at#", line) for line in windows)
+    ratio = rules.ratio("a", "b", 7).apply(events)
+    assert not re.search(r"windowspecdefinition\(0, seq#", plan(ratio))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions import predicates
 from tidemark.functions.exprs import metric
-from tidemark.functions.folds import Fold, fold_structs
-from tidemark.operators import live
+from tidemark.functions.folds import Fold
+from tidemark.operators import live, order
 from tidemark.plans.stream import Context, Node, Stream, hidden
 from tidemark.schema import EVENT, FIELDS
 from tidemark.streaming import machines
@@ -192,32 +194,56 @@ class Project(Node):
     def native(self, df, ctx: Context):
         slots = range(len(self.predicates))
         df = slotted(df, ctx, len(self.predicates))
-        pick = lambda flag: F.filter(F.array(*(F.when(flag(i), F.col(f"__s{i}")) for i in slots)), lambda e: e.isNotNull())
-        outs = F.array(fold_structs(pick(lambda i: F.col(f"__gone{i}")), self.fold), fold_structs(pick(alive), self.fold))
-        df = df.select("*", F.posexplode(outs).alias("__sub", "__out")).filter("__out is not null")
+        outs = []
+        for flag in (lambda i: F.col(f"__gone{i}"), alive):
+            # each field by itself, so that those not needed are never read
+            any_of = lambda c, flag=flag: F.coalesce(*(F.when(flag(i), F.struct(slot(i, c).alias("v"))) for i in slots))["v"]
+            picked = F.filter(F.array(*(F.when(flag(i), F.coalesce(slot(i, "metric"), F.lit(0.0))) for i in slots)), lambda m: m.isNotNull())
+            times = F.array_max(F.array(*(F.when(flag(i), slot(i, "time")) for i in slots)))
+            outs.append((reduce(or_, map(flag, slots)), {c: any_of(c) for c in FIELDS if c != "seq"} | {"time": times, "metric": F.when(F.size(picked) > 0, self.fold.array(picked).cast("double"))}))
         after = replace(ctx, order=(*ctx.order, f"__sub{len(ctx.order)}"))
-        own = {c: F.col(f"__out.{c}").cast(EVENT[c].dataType) for c in FIELDS if c != "seq"} | {after.order[-1]: F.col("__sub")}
+        subs = F.array(*(F.when(some, F.lit(i)) for i, (some, _) in enumerate(outs)))
+        df = df.select("*", F.explode(subs).alias(after.order[-1])).filter(F.col(after.order[-1]).isNotNull())
+        gone, live_ = outs[0][1], outs[1][1]
+        own = {c: F.when(F.col(after.order[-1]) == 0, gone[c]).otherwise(live_[c]).cast(EVENT[c].dataType) for c in gone}
         return df.withColumns(own).select(hidden(after)), after
 
 
 def slotted(df, ctx: Context, n: int):
-    """Events that fit one of n predicates (``__p``: which), with each slot's latest event (``__s0`` ...), whether that has expired (``__old0`` ...) and is first found so here (``__gone0`` ...)."""
-    now, w = ctx.now(), ctx.window()
+    """Events that fit one of n predicates (``__p``: which), with the fields of each slot's latest event (``slot``), whether that has expired (``__old0`` ...) and is first found so here (``__gone0`` ...).
+
+    Slots are filled by cells of arrival numbers; what a cell starts with comes from the cells before. So no task gets all rows.
+    """
+    keys, now = list(ctx.keys), ctx.now()
+    fields = {f"__s{i}_{c}": F.when(F.col("__p") == i, F.struct(F.col(c).alias("v"))) for i in range(n) for c in FIELDS}
+    df = df.withColumns({"__at": order.cell(), "__now": now, **fields})
+    df = df.withColumn("__row", F.struct("__now", "__p"))
+    held = [*fields, "__row"]
+    at = F.struct(*ctx.order)
+    ends = df.groupBy(*keys, "__at").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in held))
+    starts = order.earlier(ends, keys, dict.fromkeys(held, order.LAST))
+    starts = starts.select(*keys, "__at", *(F.col(c).alias(f"{c}_0") for c in held))
+    w = order.cells(ctx)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in fields} | {"__row": F.lag("__row").over(w)})
+    df = df.join(starts.hint("merge"), [*keys, "__at"]).withColumns({c: F.coalesce(c, f"{c}_0") for c in held}).drop("__at", *(f"{c}_0" for c in held))
     for i in range(n):
-        event = F.struct(*FIELDS)
-        df = df.withColumn(f"__s{i}", F.last(F.when(F.col("__p") == i, event), ignorenulls=True).over(ctx.running()))
-        s = F.col(f"__s{i}")
-        t = F.coalesce(s["time"], F.lit(0))
-        old = (s["state"].eqNullSafe("expired")) | ((now >= t) & (now - t > F.coalesce(s["ttl"].cast("double"), F.lit(float(predicates.PREDICATE_DEFAULT_TTL)))))
-        df = df.withColumn(f"__old{i}", F.col(f"__s{i}").isNotNull() & (F.col("__p") != i) & old)
-        before = F.lag(F.struct(F.col(f"__old{i}").alias("old"), s["seq"].alias("seq"))).over(w)
-        df = df.withColumn(f"__gone{i}", F.col(f"__old{i}") & ~(F.coalesce(before["old"], F.lit(False)) & (before["seq"] == s["seq"])))
+        t = F.coalesce(slot(i, "time"), F.lit(0))
+        over = lambda now, t=t, i=i: slot(i, "state").eqNullSafe("expired") | ((now >= t) & (now - t > F.coalesce(slot(i, "ttl").cast("double"), F.lit(float(predicates.PREDICATE_DEFAULT_TTL)))))
+        df = df.withColumn(f"__old{i}", F.col(f"__s{i}_seq").isNotNull() & (F.col("__p") != i) & over(F.col("__now")))
+        # the slot has held the same event since the row before, if that was not its own
+        df = df.withColumn(f"__gone{i}", F.col(f"__old{i}") & ~F.coalesce((F.col("__row.__p") != i) & over(F.col("__row.__now")), F.lit(False)))
     return df
 
 
+def slot(i: int, field: str) -> Column:
+    """A field of the latest event of slot i of ``slotted`` events."""
+    return F.col(f"__s{i}_{field}.v")
+
+
 def alive(i: int) -> Column:
     """Of ``slotted`` events, whether slot i holds one that is alive."""
-    return F.col(f"__s{i}").isNotNull() & ~F.col(f"__old{i}")
+    return F.col(f"__s{i}_seq").isNotNull() & ~F.col(f"__old{i}")
 
 
 def first_of(preds) -> Column:

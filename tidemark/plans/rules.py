@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
 from tidemark.functions.folds import Fold
-from tidemark.operators.stateful import CountAlive, Hysteresis, alive, coalesce, first_of, slotted, stable
+from tidemark.operators.stateful import CountAlive, Hysteresis, alive, coalesce, first_of, slot, slotted, stable
 from tidemark.operators.stateless import state_any
 from tidemark.plans.stream import Assign, Node, Stream, by, hidden, sdo
 from tidemark.schema import FIELDS
@@ -71,7 +71,8 @@ class Ratio(Node):
         return out.filter(F.col("service").isNotNull()).select(hidden(ctx)), ctx
 
     def native(self, df, ctx):
-        df, x, y = slotted(df, ctx, 2), F.col("__s0"), F.col("__s1")
+        df = slotted(df, ctx, 2)
+        x, y = ({c: slot(i, c) for c in FIELDS} for i in range(2))
         near = F.abs(F.coalesce(x["time"], F.lit(0)) - F.coalesce(y["time"], F.lit(0))) < RATIO_SECONDS
         df = df.filter(alive(0) & alive(1) & x["metric"].isNotNull() & y["metric"].isNotNull() & near)
         own = {
