@@ -5,11 +5,12 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from tidemark import operators as O
 from tidemark.functions import folds
 from tidemark.functions import predicates as P
-from tidemark.operators import order
+from tidemark.operators import live, order
 from tidemark.operators.stateful import first_of
 from tidemark.plans import rules
 from tidemark.plans.stream import Context, by
@@ -99,3 +100,27 @@ def test_slots_are_filled_by_cells(spark, monkeypatch, name, ctx):
     assert windows and all(re.search(r"windowspecdefinition\(__(at|up)#|windowspecdefinition\(0, __at#", line) for line in windows)
     ratio = rules.ratio("a", "b", 7).apply(events)
     assert not re.search(r"windowspecdefinition\(0, seq#", plan(ratio))
+
+
+@pytest.mark.parametrize("name", ["mean", "maximum", "critical"])
+def test_live_sets_by_blocks(spark, monkeypatch, name):
+    """Blocks of four places, some rows at once: the same as the machine, by lives within a block, across some and without end; places come from cells."""
+    for module, values in ((order, {"CELL": 2, "GROUP": 1}), (live, {"BLOCK": 2, "SIZE": 4, "AT_ONCE": 8})):
+        for k, v in values.items():
+            monkeypatch.setattr(module, k, v)
+    rows = random_rows(160)
+    for i in range(40):  # all that is alive expires at once
+        rows.append({"seq": 10**6 + i, "time": 10**5 + i // 30, "host": f"h{i}", "service": "a", "metric": float(i), "state": "critical", "ttl": 1e6})
+    rows.append({"seq": 2 * 10**6, "time": 10**7, "host": "a", "service": "b", "metric": 1.0, "state": "ok", "ttl": 5.0})
+    events, ctx = make_events(spark, rows).withColumn("__k0", F.col("service")), Context(keys=("__k0",) if name == "maximum" else ())
+
+    def critical(es):
+        return es[0] | {"state": "critical" if sum(e["state"] == "critical" for e in es) >= 2 else "ok"}
+
+    fold = folds.BY_NAME.get(name)
+    out, after = (O.coalesce(fold) if fold else rules.max_critical_hosts(2)).lower(events, ctx)
+    want = scan(events, ctx, machines.Coalesce(name, fold.python if fold else critical, None, fold is None))
+    assert not re.search(r"windowspecdefinition\((0|__k0#\d+), seq#", plan(out))
+    show = lambda df: sorted(tuple(round(r[c], 6) if isinstance(r[c], float) else str(r[c]) for c in FIELDS) for r in df.select(FIELDS).collect())
+    assert show(out) == show(want)
+    assert {r[0] for r in out.select(after.order[-1]).distinct().collect()} == {0, 1}
